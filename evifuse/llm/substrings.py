@@ -195,22 +195,22 @@ def _scan(buckets: int, common):
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of grams: classes across tasks; covered ranges (key null) and occurrences whose bytes are asked for."""
+    """One bucket of grams: classes across tasks; covered ranges (done) and occurrences whose bytes are asked for."""
     done = pdf["doc_id"].notna()
     out = []
     for i, blob in zip(pdf["doc_id"][done], pdf["data"][done]):
         r = np.frombuffer(blob, "<i8").reshape(-1, 2)
-        out.append(pd.DataFrame({"doc_id": np.int64(i), "key": pd.array([pd.NA] * len(r), "Int64"), "q": 0, "a": r[:, 0], "b": r[:, 1]}))
+        out.append(pd.DataFrame({"doc_id": np.int64(i), "done": True, "key": 0, "q": 0, "a": r[:, 0], "b": r[:, 1]}))
     blobs = pdf["data"][~done]
     if len(blobs):
         key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         order, first, later = _collapse(key, run, doc, q)
         rest = order[later]
-        out.append(pd.DataFrame({"doc_id": doc[rest], "key": pd.array([pd.NA] * len(rest), "Int64"), "q": 0, "a": lo[rest], "b": hi[rest] + LENGTH}))
+        out.append(pd.DataFrame({"doc_id": doc[rest], "done": True, "key": 0, "q": 0, "a": lo[rest], "b": hi[rest] + LENGTH}))
         reps = order[first]
         _, inverse, n = np.unique(key[reps], return_inverse=True, return_counts=True)
         ask = reps[n[inverse] > 1]
-        out.append(pd.DataFrame({"doc_id": doc[ask], "key": pd.array(key[ask].view(np.int64), "Int64"), "q": q[ask], "a": lo[ask], "b": hi[ask] + LENGTH}))
+        out.append(pd.DataFrame({"doc_id": doc[ask], "done": False, "key": key[ask].view(np.int64), "q": q[ask], "a": lo[ask], "b": hi[ask] + LENGTH}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -219,18 +219,19 @@ def _surroundings(buckets: int):
         for pdf in batches:
             rows = []
             for i, text, asked in zip(pdf["doc_id"], pdf["text"], pdf["asked"]):
+                # nothing is asked of rows without an id
                 if asked is None or not len(asked):
                     continue
                 raw, covered = (text or "").encode("utf-8", "surrogatepass"), []
                 for r in asked:
                     key, a, b = r["key"], r["a"], r["b"]
-                    if key is None:
+                    if r["done"]:
                         covered.append((a, b))
                     else:
                         rows.append((key % buckets, i, key, r["q"], r["q"] - a, raw[a:b]))
                 if covered:
-                    rows.append((i % buckets, i, None, 0, 0, merge(np.array(covered, np.int64)).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "key", "q", "back", "data"]).astype({"key": "Int64"})
+                    rows.append((i % buckets, i, 0, 0, -1, merge(np.array(covered, np.int64)).tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "key", "q", "back", "data"])
 
     return run_task
 
@@ -275,7 +276,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
 
 def _repeat_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges that an earlier occurrence covers, per document."""
-    done = pdf["key"].isna()
+    done = pdf["back"] < 0
     rows = [(int(i), bytes(d)) for i, d in zip(pdf["doc_id"][done], pdf["data"][done])]
     covered: dict[int, list[tuple[int, int]]] = {}
     for _, own in pdf[~done].groupby("key", sort=False):
@@ -332,8 +333,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(64, 4 * docs.rdd.getNumPartitions())
     common = spark.sparkContext.broadcast(common_grams(docs))
     scanned = docs.mapInPandas(_scan(buckets, common), "bucket int, doc_id long, data binary")
-    resolved = scanned.groupBy("bucket").applyInPandas(_resolve, "doc_id long, key long, q long, a long, b long")
-    asked = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("key", "q", "a", "b")).alias("asked"))
+    resolved = scanned.groupBy("bucket").applyInPandas(_resolve, "doc_id long, done boolean, key long, q long, a long, b long")
+    asked = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("done", "key", "q", "a", "b")).alias("asked"))
     cut_out = docs.join(asked, "doc_id", "left").mapInPandas(_surroundings(buckets), "bucket int, doc_id long, key long, q long, back int, data binary")
     ranges = cut_out.groupBy("bucket").applyInPandas(_repeat_ranges, "doc_id long, data binary")
     found = ranges.groupBy("doc_id").agg(F.collect_list("data").alias("found"))
