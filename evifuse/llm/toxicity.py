@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from evifuse.llm.common import bounded_sample, crc_mod, cut, table
 
 #: Most labelled rows that are used, and most patterns kept.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 PATTERNS = 400
+CANDIDATES = 20_000
 LONGEST = 16
 THRESHOLD = 0.7
 
@@ -65,36 +66,32 @@ def clause_score(symbols: list[tuple[str, float]]) -> float:
     return total
 
 
-def induce(words: list[set[str]], toxic: list[bool], most: int = PATTERNS, support: int = 4, precision: float = 0.75) -> dict[str, float]:
-    """Word prefixes (a whole word is one too) that tell toxic rows apart, chosen by greedy cover, with log-odds weights."""
-    pos: dict[str, int] = {}
-    by: dict[str, set[int]] = {}
-    for i, (ws, bad) in enumerate(zip(words, toxic)):
-        if bad:
-            for p in {w[:n] for w in ws for n in range(3, min(len(w), LONGEST) + 1)}:
-                by.setdefault(p, set()).add(i)
-    pos = {p: len(s) for p, s in by.items() if len(s) >= support}
-    neg = dict.fromkeys(pos, 0)
-    for ws, bad in zip(words, toxic):
-        if not bad:
-            for p in {w[:n] for w in ws for n in range(3, min(len(w), LONGEST) + 1)}:
-                if p in neg:
-                    neg[p] += 1
-    good = {p: n for p, n in pos.items() if n >= precision * (n + neg[p])}
-    # of patterns with the same rows the longest says most: a prefix gives way to an extension that covers as much
-    for p in [p for p in good if len(p) > 3]:
-        if pos.get(p[:-1]) == pos[p] and neg[p[:-1]] == neg[p]:
-            good.pop(p[:-1], None)
+def induce(sample: DataFrame, most: int = PATTERNS, precision: float = 0.75, evidence: float = 14.0) -> dict[str, float]:
+    """Word prefixes (a whole word is one too) that tell toxic rows apart, with log-odds weights.
+
+    Rows are counted per prefix in Spark; only prefixes found mostly in toxic rows come to the driver, ``CANDIDATES`` at
+    most. ``evidence`` is the divergence from the toxic share, in nats over all rows, that chance must not reach.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), 0))
+    prefixes = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(3), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n)))))
+    counts = sample.select("toxic", F.explode(prefixes).alias("p")).groupBy("p").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    mostly = counts.filter((F.col("pos") >= 4) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
+    good = {r["p"]: (r["pos"], r["neg"]) for r in mostly.orderBy(F.desc("pos"), "p").limit(CANDIDATES).collect()}
+    n_pos, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    n_neg = n - n_pos
+    share = n_pos / n if n else 0.0
+    # of prefixes with the same rows the longest says most
+    for p in [p for p in good if good.get(p[:-1]) == good[p]]:
+        good.pop(p[:-1], None)
     chosen: dict[str, float] = {}
-    covered: set[int] = set()
-    n_pos, n_neg = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    for p in sorted(good, key=lambda p: (-(good[p] - 3 * neg[p]), len(p), p)):
+    for p in sorted(good, key=lambda p: (-(good[p][0] - 3 * good[p][1]), len(p), p)):
+        pos, neg = good[p]
         if len(chosen) == most:
             break
-        if any(p.startswith(c) for c in chosen) or len(by[p] - covered) < 1 and good[p] < 3 * support:
-            continue
-        chosen[p] = float(np.log((good[p] + 0.5) / (n_pos + 1)) - np.log((neg[p] + 0.5) / (n_neg + 1)))
-        covered |= by[p]
+        q = pos / (pos + neg)
+        told = (pos * np.log(q / share) + (neg * np.log((1 - q) / (1 - share)) if neg else 0.0)) if 0 < share < q else 0.0
+        if told >= evidence and not any(p.startswith(c) for c in chosen):
+            chosen[p] = float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
     return chosen
 
 
@@ -152,11 +149,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 
 def fit(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon and output weights from (text, toxic)."""
-    sample = cut(sample)
-    seen = sample.select(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), 0)).alias("w"), "toxic").collect()
-    y = [r["toxic"] == 1 for r in seen]
-    lexicon = induce([set(r["w"]) for r in seen], y) if any(y) else {}
+    """Lexicon and output weights from (text, toxic); equal texts count once."""
+    sample = cut(sample.withColumn("toxic", (F.col("toxic") == 1).cast("int")).groupBy("text").agg(F.max("toxic").alias("toxic")))
+    lexicon = induce(sample)
     x = sample.select(features_column(sample.sparkSession, lexicon)("text").alias("f"), "toxic").select("f.*", "toxic").toPandas()
     weights = logistic(x[["a", "b", "c"]].to_numpy(float), (x["toxic"] == 1).to_numpy(float)) if len(x) else np.array([0.0, 0.0, 0.0, -3.0])
     return lexicon, weights
