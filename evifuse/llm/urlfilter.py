@@ -1,7 +1,7 @@
 """URL filter: rules first, then host word segmentation and naive Bayes.
 
-Names such as ``cheappills`` split into words by unigram Viterbi: word counts come from the delimited words of all urls
-(hyphens and dots mark them) on top of the labelled names below; an unknown word pays per letter. Multinomial naive
+Names such as ``cheappills`` split into words by unigram Viterbi: word counts come from the hyphenated names of all urls
+(``cheap-pills`` shows two words; an undivided name shows none) on top of the labelled names below; an unknown word pays per letter. Multinomial naive
 Bayes then scores the words of host and path as block or allow.
 
 Defined results: a null url or one without ``://`` has empty host and path and is allowed by the method unless a rule
@@ -133,8 +133,8 @@ class Classifier:
 
 
 def word_counts(urls: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Counts of the delimited words of every host and path; the most frequent ``vocabulary`` words, ties by word."""
-    words = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"\p{L}{2,24}"), 0)).alias("w"))
+    """Counts of the words that hyphens set apart in every host and path; the most frequent ``vocabulary`` words, ties by word."""
+    words = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(?<=-)\p{L}{2,24}|\p{L}{2,24}(?=-)"), 0)).alias("w"))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary)
     return {r["w"]: float(r["count"]) for r in top.collect()}
 
