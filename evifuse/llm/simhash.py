@@ -29,6 +29,7 @@ SEGMENTS = 5
 BUDGET = 2
 #: Larger buckets use the neighbour listing instead of pairs.
 BUCKET = 64
+HOT = 1000
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 _MASKS = [((1 << _EDGES[i + 1]) - 1) ^ ((1 << _EDGES[i]) - 1) for i in range(SEGMENTS)]
 #: The longest chain whose share of the budget is under one bit.
@@ -135,12 +136,16 @@ def links(distinct: DataFrame) -> DataFrame:
 def components(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     fps = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(words)(F.col("text").cast("string")).alias("fp")))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     joined = connected_components(links(groups.select("fp")))
     low = groups.join(joined, groups["fp"] == joined["node"]).groupBy("component").agg(F.min("first").alias("low"))
     of = joined.join(low, "component").select(F.col("node").alias("fp"), "low")
-    named = groups.join(of, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = cut(groups.join(of, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")))
+    # a fingerprint with over a 1/HOT of all rows is one of HOT at most: those are broadcast, the rest join by shuffle
+    hot = F.broadcast(named.filter(F.col("n") * HOT > fps.count()).select("fp", "component_id"))
+    few = fps.join(hot, "fp").select("doc_id", "fp", "component_id")
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return few.union(rest)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

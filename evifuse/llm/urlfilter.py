@@ -44,6 +44,8 @@ LONGEST = 24
 UNKNOWN = math.log(1e-4)
 PER_LETTER = math.log(1 / 12)
 PRIOR_BLOCK = 0.35
+#: First labels that name a service, not a topic; they say nothing.
+SERVICES = ("www", "m", "mobile", "blog", "news", "shop", "mail")
 THRESHOLD = 0.6
 
 
@@ -126,7 +128,8 @@ class Classifier:
     def score(self, host: str, path: str) -> float:
         own = self.hosts.get(host)
         if own is None:
-            own = self.words(host)
+            first, _, rest = host.partition(".")
+            own = self.words(rest if first in SERVICES and "." in rest else host)
             if len(self.hosts) < 100_000:
                 self.hosts[host] = own
         return self.bayes.score(own + self.words(path))
