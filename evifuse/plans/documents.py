@@ -91,9 +91,9 @@ def repeated_lines(spark, d):
     return lines.groupBy("line").agg(F.count("*").alias("n")).filter("n >= 5")
 
 
-@query("SELECT doc_id, substr(regexp_replace(regexp_replace(text, '(?i)file://[^ \\t\\r\\n]+', '[local path]', 'g'), '(?i)\\b[a-z]:\\\\[^ \\t\\r\\n]+', '[local path]', 'g'), 1, 200) AS shown FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, substr(regexp_replace(regexp_replace(text, '(?i)file://[^ \\t\\r\\n]+', '[local path]', 'g'), '(?i)\\b[a-z]:\\\\[^ \\t\\r\\n]+', '[local path]', 'g'), 1, 4000) AS shown FROM documents")
 def public_text(spark, d):
-    return table(spark, d, "documents").filter("doc_id % 10 = 0").select("doc_id", tx.sanitize_public(F.col("text"), 200).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", tx.sanitize_public(F.col("text")).alias("shown"))
 
 
 @query(f"SELECT CASE WHEN ends_with({HOST_SQL}, '.example.org') THEN 'denylisted' WHEN regexp_matches(url, '://[^/]*/en/') THEN 'denied_path' WHEN NOT regexp_matches(url, '://[^/]*/[a-z][a-z]/[0-9][^?#]*') THEN 'outside_allowed_paths' ELSE 'admitted' END AS decision, count(*) AS n FROM pages GROUP BY 1")
@@ -110,14 +110,14 @@ def active_suppressions(spark, d):
     return discovery.suppressed(c, s, F.lit("2024-01-01").cast("timestamp")).select(F.col("candidate_id").alias("page_id"))
 
 
-@query("SELECT a.page_id AS left_id, b.page_id AS right_id, CASE WHEN a.page_id % 7 <> b.page_id % 7 AND a.page_id % 3 = b.page_id % 3 THEN 'merge' ELSE 'ambiguous' END AS decision FROM pages a JOIN pages b ON a.page_id < b.page_id AND a.page_id % 50 = b.page_id % 50 WHERE a.page_id < 200 AND b.page_id < 200")
+@query("SELECT a.page_id AS left_id, b.page_id AS right_id, CASE WHEN a.page_id % 2 <> b.page_id % 2 AND a.page_id % 3 = b.page_id % 3 THEN 'merge' ELSE 'ambiguous' END AS decision FROM pages a JOIN pages b ON a.page_id < b.page_id AND a.page_id // 5 = b.page_id // 5")
 def merge_decisions(spark, d):
-    """Same name; two shared contexts on equal page_id % 3, two domains on unequal page_id % 7."""
+    """Same name; two shared contexts on equal page_id % 3, two domains on unequal page_id % 2."""
     i = F.col("page_id")
     s = lambda c: c.cast("string")
-    p = table(spark, d, "pages").filter("page_id < 200").select(
-        i.alias("candidate_id"), F.lit("person").alias("entity_type"), F.array(s(i % 50)).alias("names"), F.create_map().cast("map<string,string>").alias("ids"),
-        F.create_map(F.lit("city"), s(i % 3), F.lit("date"), s(i % 3)).alias("context"), F.array(s(i % 7)).alias("domains"), F.lit(True).alias("cited"), F.lit(0.8).alias("reliability"),
+    p = table(spark, d, "pages").select(
+        i.alias("candidate_id"), F.lit("person").alias("entity_type"), F.array(s(F.floor(i / 5))).alias("names"), F.create_map().cast("map<string,string>").alias("ids"),
+        F.create_map(F.lit("city"), s(i % 3), F.lit("date"), s(i % 3)).alias("context"), F.array(s(i % 2)).alias("domains"), F.lit(True).alias("cited"), F.lit(0.8).alias("reliability"),
     )
     return entities.merge_pairs(p)
 
@@ -129,9 +129,9 @@ def revisit_intervals(spark, d):
     return table(spark, d, "documents").groupBy("lang", rules.revisit_seconds(kind, F.lit("html"), pace, F.lit(False)).alias("seconds")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '\\s+', ' ', 'g')) AS query FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query FROM documents")
 def research_queries(spark, d):
-    return table(spark, d, "documents").filter("doc_id % 20 = 0").select("doc_id", tx.normalize_query(F.array(F.substring("text", 1, 80))).alias("query"))
+    return table(spark, d, "documents").select("doc_id", tx.normalize_query(F.array("text")).alias("query"))
 
 
 @query("SELECT CASE WHEN page_id % 5 = 0 THEN 'disabled' WHEN page_id % 7 = 0 THEN 'unhealthy' ELSE 'planned' END AS reason, count(*) AS n FROM pages GROUP BY 1")
@@ -140,9 +140,9 @@ def fleet_plan(spark, d):
     return planning.fleet_plan(p).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id AS run, replace(replace(to_base64(encode(concat('{\"v\":1,\"watch_run_id\":', event_id, '}'))), '+', '-'), '/', '_') AS cursor FROM events WHERE event_id % 500 = 0")
+@query("SELECT event_id AS run, replace(replace(to_base64(encode(concat('{\"v\":1,\"watch_run_id\":', event_id, '}'))), '+', '-'), '/', '_') AS cursor FROM events")
 def feed_cursors(spark, d):
-    return table(spark, d, "events").filter("event_id % 500 = 0").select(F.col("event_id").alias("run"), tx.cursor_encode(F.col("event_id")).alias("cursor"))
+    return table(spark, d, "events").select(F.col("event_id").alias("run"), tx.cursor_encode(F.col("event_id")).alias("cursor"))
 
 
 @query("SELECT user_id, sum(CASE WHEN k = 'a' THEN 1 ELSE 0 END) AS n FROM (SELECT user_id, 'a' AS k FROM events WHERE event_type = 'view') GROUP BY 1 HAVING count(*) > 1")

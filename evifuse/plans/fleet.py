@@ -119,9 +119,9 @@ def storage_sweep(spark, d):
     return got.select("storage_object_id", _micros("expires_at").alias("expires_us"), "lifecycle_status")
 
 
-@query("SELECT storage_object_id, 'investigative' AS retention_class, 'promoted' AS lifecycle_status, observed_us + 720 * 3600000000 AS expires_us FROM storage WHERE storage_object_id % 31 = 0", ("storage",))
+@query("SELECT storage_object_id, 'investigative' AS retention_class, 'promoted' AS lifecycle_status, observed_us + 720 * 3600000000 AS expires_us FROM storage", ("storage",))
 def storage_promotion(spark, d):
-    got = storage.promote(view(spark, d, "storage").filter("storage_object_id % 31 = 0"), "investigative", "cold")
+    got = storage.promote(view(spark, d, "storage"), "investigative", "cold")
     return got.select("storage_object_id", "retention_class", "lifecycle_status", _micros("expires_at").alias("expires_us"))
 
 

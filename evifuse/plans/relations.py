@@ -60,9 +60,9 @@ def cosine_pairs(spark, d):
     return v.join(nxt, "vec_id").select("vec_id", F.round(evidence.cosine01(F.col("embedding"), F.col("other")), 5).alias("similarity"))
 
 
-@query("SELECT event_id, bit_count(xor(event_id, user_id * 7919)) AS distance FROM events WHERE event_id % 13 = 0")
+@query("SELECT event_id, bit_count(xor(event_id, user_id * 7919)) AS distance FROM events")
 def hash_distances(spark, d):
-    e = table(spark, d, "events").filter("event_id % 13 = 0")
+    e = table(spark, d, "events")
     return e.select("event_id", evidence.hex_hamming(F.lower(F.hex("event_id")), F.lower(F.hex(F.col("user_id") * 7919))).cast("tinyint").alias("distance"))
 
 
