@@ -3,6 +3,12 @@
 Clusters form in time order, first fit, with a moving centroid, so a session must be folded in sequence. Sessions are cut
 where more than the window passes without a located observation: there every open cluster is closed, so sessions are
 independent. They are found by islands of occupied time buckets, without a global sort of the observations.
+
+Sessions with more than ``LARGE`` observations split by place as well. A member lies within the distance of the centroid
+it joins, and moves the centroid towards itself; so consecutive members of a cluster are within twice the distance and
+within the window of each other, and clusters never leave a connected group of neighbouring space-time cells of that
+size. Only cells meet in the component search. Means of longitudes lose that property around the antimeridian and the
+poles: sessions with a group that reaches there stay whole.
 """
 
 from __future__ import annotations
@@ -13,7 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifuse.operators.components import cut, min_labels
+
 EARTH_KM = 6371.0
+#: Observations of a session above which it is split by place.
+LARGE = 200_000
+#: Latitude and longitude beyond which a group of cells keeps its session whole.
+POLAR, MERIDIAN = 80.0, 170.0
 
 
 def sessions(located: DataFrame, window_us: int, time: str = "t_us") -> DataFrame:
@@ -28,6 +40,27 @@ def sessions(located: DataFrame, window_us: int, time: str = "t_us") -> DataFram
     return located.withColumn("__b", b).join(marked, "__b").drop("__b")
 
 
+def places(located: DataFrame, window_us: int, km: float) -> DataFrame:
+    """Adds ``place`` to rows with a session: the connected group of space-time cells, or null where the session stays whole."""
+    lon, lat, size = F.radians("lon"), F.radians("lat"), 2.2 * max(km, 0.001)
+    axes = {"__x": F.cos(lat) * F.cos(lon), "__y": F.cos(lat) * F.sin(lon), "__z": F.sin(lat)}
+    keyed = located.withColumns({k: F.floor(v * EARTH_KM / size) for k, v in axes.items()} | {"__t": F.floor(F.col("t_us") / window_us)})
+    at = ["session", "__t", "__x", "__y", "__z"]
+    edge = F.max((F.abs("lat") > POLAR) | (F.abs("lon") > MERIDIAN)).alias("edge")
+    cells = cut(keyed.groupBy(*at).agg(edge).withColumn("cell", F.struct(*at)))
+    # half of the neighbours: every pair of neighbouring cells is met once
+    steps = [(t, x, y, z) for t in (-1, 0, 1) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (t, x, y, z) > (0, 0, 0, 0)]
+    around = F.array(*[F.struct("session", *[(F.col(c) + d).alias(c) for c, d in zip(at[1:], step)]) for step in steps])
+    met = cells.select("cell", F.explode(around).alias("other")).join(cells.select(F.col("cell").alias("other")), "other")
+    pairs = met.withColumn("pair", F.struct("cell", "other"))
+    sides = pairs.select("cell", "pair").union(pairs.select(F.col("other").alias("cell"), "pair"))
+    own = cells.select("cell", F.struct("cell", F.col("cell").alias("other")).alias("pair"))
+    named = cells.join(min_labels(sides.union(own), "cell", "pair"), "cell")
+    whole = named.filter("edge").select("session").distinct()
+    split = named.join(whole, "session", "left_anti").select(*at, F.col("label").alias("place"))
+    return keyed.join(split, at, "left").drop(*at[1:])
+
+
 def _km(lon1, lat1, lon2, lat2):
     lon1, lat1, lon2, lat2 = map(math.radians, (lon1, lat1, lon2, lat2))
     t = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
@@ -62,7 +95,14 @@ def assign_clusters(observations: DataFrame, window_minutes: int = 60, distance_
         rows = zip(pdf["t_us"].tolist(), pdf["observation_id"].tolist(), pdf["lon"].tolist(), pdf["lat"].tolist())
         return pd.DataFrame({"observation_id": pdf["observation_id"].to_numpy(), "cluster_seed": list(fold(rows, window_us, distance_km))})
 
-    return sessions(located, window_us).groupBy("session").applyInPandas(one, "observation_id long, cluster_seed long")
+    timed = sessions(located, window_us)
+    large = timed.groupBy("session").count().filter(F.col("count") > LARGE).select("session")
+    schema = "observation_id long, cluster_seed long"
+    if not large.limit(1).count():
+        return timed.groupBy("session").applyInPandas(one, schema)
+    large = cut(large)
+    split = places(timed.join(large, "session", "left_semi"), window_us, distance_km).groupBy("session", "place").applyInPandas(one, schema)
+    return timed.join(large, "session", "left_anti").groupBy("session").applyInPandas(one, schema).union(split)
 
 
 def summarize(members: DataFrame, cluster: str, min_signals: int = 2) -> DataFrame:

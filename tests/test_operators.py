@@ -107,6 +107,20 @@ def test_clustering_equals_the_plain_fold(spark):
     assert got == full_fold(rows, 3_600_000_000, 25.0)
 
 
+def test_large_sessions_split_by_place(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(r.randrange(0, 600) * 60_000_000, i, r.choice([-95.0, -93.0, 10.0]) + r.random() * 0.4, r.choice([29.0, 33.0]) + r.random() * 0.4) for i in range(500)]
+    make = lambda rows: spark.createDataFrame([(i, t, x, y) for t, i, x, y in rows], "observation_id long, t_us long, lon double, lat double")
+    monkeypatch.setattr(fusion, "LARGE", 50)
+    got = {x.observation_id: x.cluster_seed for x in fusion.assign_clusters(make(rows), 60, 25.0).collect()}
+    assert got == full_fold(rows, 3_600_000_000, 25.0)
+    timed = fusion.sessions(make(rows), 3_600_000_000)
+    assert fusion.places(timed, 3_600_000_000, 25.0).select("place").distinct().count() >= 6
+    rows += [(t, 1000 + i, x, y) for i, (t, x, y) in enumerate([(0, 179.95, 29.1), (60_000_000, -179.95, 29.1), (90_000_000, 0.0, 29.1)])]
+    got = {x.observation_id: x.cluster_seed for x in fusion.assign_clusters(make(rows), 60, 25.0).collect()}
+    assert got == full_fold(rows, 3_600_000_000, 25.0) and got[1002] == 1000
+
+
 def test_event_fusion_reruns_add_nothing(spark):
     rows = [(1, "cam", "a.org", 0, -95.0, 30.0, "trusted", 0.85, True), (2, "news", "b.org", 300_000_000, -95.01, 30.01, "neutral", 0.5, False)]
     df = spark.createDataFrame(rows, "observation_id long, layer_key string, source_domain string, t_us long, lon double, lat double, trust_level string, confidence_score double, ground_truth boolean")
