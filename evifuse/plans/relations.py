@@ -51,11 +51,11 @@ def materiality(spark, d):
 
 
 @query(
-    """v AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 400), p AS (SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
+    """v AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT a.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS c FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round((c + 1) / 2, 5) AS similarity FROM p""".replace("v AS", "WITH v AS", 1),
 )
 def cosine_pairs(spark, d):
-    v = table(spark, d, "embeddings").filter("vec_id < 400").select("vec_id", "embedding")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return v.join(nxt, "vec_id").select("vec_id", F.round(evidence.cosine01(F.col("embedding"), F.col("other")), 5).alias("similarity"))
 

@@ -9,9 +9,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from evifuse.functions import geo, rules, urls
+from evifuse.functions import geo, rules, signals, urls
 from evifuse.functions import text as tx
-from evifuse.operators import cameras, components, entities, evidence, fusion, geofence, graph, lookups, observations, planning, watches
+from evifuse.operators import cameras, components, entities, evidence, fusion, geofence, graph, lifecycle, lookups, observations, planning, watches
 from evifuse.sources import archive, readers
 from evifuse.streaming import watch
 
@@ -262,3 +262,33 @@ def test_stream_equals_batch(spark, tmp_path):
     got = watch.run_available(watch.watch_outcomes(watch.landing_zone(spark, f"{tmp_path}/in", df.schema)), f"{tmp_path}/out", f"{tmp_path}/cp")
     key = lambda d: {(r.watch_run_id, r.outcome) for r in d.collect()}
     assert key(got) == key(watches.outcomes(df))
+
+
+def test_text_and_json_signals(spark):
+    t = F.lit("lat: 10.5, lng=20 and longitude: -30 then latitude=95; State Route 7, I-95, Pacific Line on 2024-01-02T03:04Z see HTTPS://x.org/a?b.")
+    assert [tuple(p) for p in one(spark, signals.text_points(t))] == [(10.5, 20.0)]
+    assert one(spark, signals.routes(t))[:2] == ["State Route 7", "I-95"] and one(spark, signals.dates(t)) == ["2024-01-02T03:04Z"]
+    assert one(spark, signals.web_addresses(t)) == ["HTTPS://x.org/a?b."]
+    stamp = lambda *a: one(spark, signals.compact_timestamp(*[F.lit(x).cast("string") for x in a]))
+    assert stamp("20240102", "0304", None) == "2024-01-02T03:04:00" and stamp("2024", "1", "Z") == "2024T1" and stamp("20240102", "030405", "+0100") == "2024-01-02T03:04:05+01:00"
+    when = lambda v: str(one(spark, signals.document_time(F.lit(v)).cast("string")))
+    assert when("Tue, 02 Jan 2024 03:04:05 GMT") == when("2024-01-02T03:04:05Z") == "2024-01-02 03:04:05" and when("2024-01-02 odd") == "2024-01-02 00:00:00" and when("x") == "None"
+    labels = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    assert one(spark, signals.label_overlap(labels("houston", "x"), labels("houston port"), 100.0, 60.0)) == 60.0
+    df = spark.createDataFrame([('{"a": [{"id": 5}], "id": {"id": " z "}}',), ("bad",), (None,)], "p string")
+    assert [r.v for r in df.select(signals.nested_value(F.col("p"), "id").alias("v")).collect()] == ["5", None, None]
+    same = spark.createDataFrame([('{"b": [1, "x", 2], "a": null}',), ('{"a": null, "b": ["y", 3]}',), ("bad",)], "p string")
+    marks = [r.v for r in same.select(signals.json_fingerprint(F.col("p")).alias("v")).collect()]
+    assert marks[0] == marks[1] is not None and marks[2] is None
+
+
+def test_lifecycle(spark):
+    c = spark.createDataFrame([(1, "suppressed", None), (2, "candidate", None), (3, "candidate", "2024-02-01"), (4, None, "2023-01-01")], "candidate_id long, status string, n string").withColumn("next_revisit_at", F.to_timestamp("n"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert {r.candidate_id for r in lifecycle.revisit_plan(c, now).collect()} == {2, 4} and lifecycle.revisit_plan(c, now, force=True).count() == 3
+    a = spark.createDataFrame([(1, '{"watch_id": 5}'), (2, '{"watch_id": 6}'), (3, "bad"), (4, None)], "alert_id long, trigger_basis_json string")
+    assert [r.alert_id for r in lifecycle.watch_alerts(a, 5).collect()] == [1]
+    h = spark.createDataFrame([(True, "healthy"), (True, "changed"), (False, None)], "reachable boolean, result string")
+    assert tuple(lifecycle.scan_totals(h).first()) == (3, 2, 1, 1)
+    p = spark.createDataFrame([("public_dataset", True), ("established_news", False)], "source_kind string, enabled boolean")
+    assert {r.source_kind for r in lifecycle.kind_gaps(p, ["public_dataset", "established_news", "official_public_record"]).collect()} == {"established_news", "official_public_record"}
