@@ -15,7 +15,9 @@ surroundings of equal anchors finds every repeat of 100 bytes. An anchor stands
 4. Covered ranges meet their documents.
 
 A gram that a bounded sample of documents shows in many of them (a common line) would gather many different surroundings
-in one group; its windows are keyed one by one by their own 100 bytes instead, which pre-aggregates and spreads.
+in one group; its windows are keyed one by one by their own 100 bytes instead, which pre-aggregates and spreads. Step 2
+knows the exact number of surroundings: grams that the sample missed and that have more than ``MANY`` take the same way,
+so no group of step 3 is larger. Both ways are exact.
 
 Defined results: null text is empty; texts under 100 bytes lose nothing; rows that repeat a document get its result each;
 rows without an id lose nothing and remove nothing; an empty table gives no rows.
@@ -39,6 +41,8 @@ SPAN = LENGTH - GRAM + 1
 CHUNK, FLUSH = 1 << 20, 400_000
 #: Documents in the sample for common grams, and how many of them a common gram shows in.
 SAMPLE_DOCS, COMMON = 5_000, 5
+#: Different surroundings of one gram that are compared as a suffix array; grams with more go by single windows.
+MANY = 1_000
 _LOW = np.uint64((1 << 21) - 1)
 _U = np.uint64
 
@@ -154,28 +158,33 @@ def _collapse(key, run, doc, q):
     return order, first, later
 
 
+def _gathered(parts, buckets: int) -> list[tuple]:
+    """What a task has gathered, as (bucket, id, covered ranges) of repeats within it and (bucket, null, packed first occurrences)."""
+    key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*parts))
+    order, first, later = _collapse(key, run, doc, q)
+    rest = order[later]
+    rows = []
+    if len(rest):
+        rest = rest[np.argsort(doc[rest], kind="stable")]
+        ids, at = np.unique(doc[rest], return_index=True)
+        for i, own in zip(ids.tolist(), np.split(rest, at[1:])):
+            rows.append((i % buckets, i, merge(np.c_[lo[own], hi[own] + LENGTH]).astype("<i8").tobytes()))
+    keep = order[first]
+    home = (key[keep] % _U(buckets)).astype(np.int64)
+    keep = keep[np.lexsort((q[keep], doc[keep], home))]
+    home = (key[keep] % _U(buckets)).astype(np.int64)
+    at = np.flatnonzero(np.diff(home, prepend=-1))
+    for own, b in zip(np.split(keep, at[1:]), home[at].tolist()):
+        rows.append((b, None, _pack((key[own], run[own], doc[own], q[own], lo[own], hi[own]))))
+    return rows
+
+
 def _scan(buckets: int, common):
     def run_task(batches):
         hot, parts, held = common.value, [], 0
 
         def flush():
-            key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*parts))
-            order, first, later = _collapse(key, run, doc, q)
-            rest = order[later]
-            rows = []
-            if len(rest):
-                rest = rest[np.argsort(doc[rest], kind="stable")]
-                ids, at = np.unique(doc[rest], return_index=True)
-                for i, own in zip(ids.tolist(), np.split(rest, at[1:])):
-                    rows.append((i % buckets, i, merge(np.c_[lo[own], hi[own] + LENGTH]).astype("<i8").tobytes()))
-            keep = order[first]
-            home = (key[keep] % _U(buckets)).astype(np.int64)
-            keep = keep[np.lexsort((q[keep], doc[keep], home))]
-            home = (key[keep] % _U(buckets)).astype(np.int64)
-            at = np.flatnonzero(np.diff(home, prepend=-1))
-            for own, b in zip(np.split(keep, at[1:]), home[at].tolist()):
-                rows.append((b, None, _pack((key[own], run[own], doc[own], q[own], lo[own], hi[own]))))
-            return pd.DataFrame(rows, columns=["bucket", "doc_id", "data"]).astype({"doc_id": "Int64"})
+            return pd.DataFrame(_gathered(parts, buckets), columns=["bucket", "doc_id", "data"]).astype({"doc_id": "Int64"})
 
         for pdf in batches:
             for i, text in zip(pdf["doc_id"], pdf["text"]):
@@ -194,28 +203,55 @@ def _scan(buckets: int, common):
     return run_task
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of grams: classes across tasks; covered ranges (done) and occurrences whose bytes are asked for."""
-    done = pdf["doc_id"].notna()
-    out = []
-    for i, blob in zip(pdf["doc_id"][done], pdf["data"][done]):
-        r = np.frombuffer(blob, "<i8").reshape(-1, 2)
-        out.append(pd.DataFrame({"doc_id": np.int64(i), "done": True, "key": 0, "q": 0, "a": r[:, 0], "b": r[:, 1]}))
-    blobs = pdf["data"][~done]
-    if len(blobs):
-        key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
-        order, first, later = _collapse(key, run, doc, q)
-        rest = order[later]
-        out.append(pd.DataFrame({"doc_id": doc[rest], "done": True, "key": 0, "q": 0, "a": lo[rest], "b": hi[rest] + LENGTH}))
-        reps = order[first]
-        _, inverse, n = np.unique(key[reps], return_inverse=True, return_counts=True)
-        ask = reps[n[inverse] > 1]
-        out.append(pd.DataFrame({"doc_id": doc[ask], "done": False, "key": key[ask].view(np.int64), "q": q[ask], "a": lo[ask], "b": hi[ask] + LENGTH}))
-    return pd.concat(out, ignore_index=True)
+#: What a row asks of its document: nothing (a covered range), its bytes, or its single windows.
+_DONE, _BYTES, _WINDOWS = 0, 1, 2
+
+
+def _resolve(many: int):
+    def run_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One bucket of grams: classes across tasks; covered ranges and occurrences that ask for their bytes or windows."""
+        done = pdf["doc_id"].notna()
+        out = []
+        for i, blob in zip(pdf["doc_id"][done], pdf["data"][done]):
+            r = np.frombuffer(blob, "<i8").reshape(-1, 2)
+            out.append(pd.DataFrame({"doc_id": np.int64(i), "asks": _DONE, "key": 0, "q": 0, "a": r[:, 0], "b": r[:, 1]}))
+        blobs = pdf["data"][~done]
+        if len(blobs):
+            key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+            order, first, later = _collapse(key, run, doc, q)
+            rest = order[later]
+            out.append(pd.DataFrame({"doc_id": doc[rest], "asks": _DONE, "key": 0, "q": 0, "a": lo[rest], "b": hi[rest] + LENGTH}))
+            reps = order[first]
+            _, inverse, n = np.unique(key[reps], return_inverse=True, return_counts=True)
+            n = n[inverse]
+            ask, n = reps[n > 1], n[n > 1]
+            out.append(pd.DataFrame({"doc_id": doc[ask], "asks": np.where(n > many, _WINDOWS, _BYTES), "key": key[ask].view(np.int64), "q": q[ask], "a": lo[ask], "b": hi[ask] + LENGTH}))
+        return pd.concat(out, ignore_index=True)
+
+    return run_bucket
+
+
+def _single_windows(raw: bytes, doc: int, a: int, b: int):
+    """Every window of raw[a:b] under a key of its own bytes."""
+    part = np.frombuffer(raw[a:b], np.uint8)
+    s = np.arange(len(part) - LENGTH + 1)
+    key = _GRAMS.at(_GRAMS.prefix(part), s, s + LENGTH)
+    run = _RUNS.at(_RUNS.prefix(part), s, s + LENGTH)
+    return key, run, np.full(len(s), doc, np.int64), s + a, s + a, s + a
+
+
+#: Marks in column ``back`` of rows that are no surroundings.
+_RANGES, _PACKED = -1, -2
 
 
 def _surroundings(buckets: int):
+    columns = ["bucket", "doc_id", "key", "q", "back", "data"]
+
+    def marked(parts):
+        return [(bucket, i, 0, 0, _PACKED if i is None else _RANGES, data) for bucket, i, data in _gathered(parts, buckets)]
+
     def run_task(batches):
+        parts, held = [], 0
         for pdf in batches:
             rows = []
             for i, text, asked in zip(pdf["doc_id"], pdf["text"], pdf["asked"]):
@@ -225,13 +261,21 @@ def _surroundings(buckets: int):
                 raw, covered = (text or "").encode("utf-8", "surrogatepass"), []
                 for r in asked:
                     key, a, b = r["key"], r["a"], r["b"]
-                    if r["done"]:
+                    if r["asks"] == _DONE:
                         covered.append((a, b))
-                    else:
+                    elif r["asks"] == _BYTES:
                         rows.append((key % buckets, i, key, r["q"], r["q"] - a, raw[a:b]))
+                    else:
+                        parts.append(_single_windows(raw, int(i), a, b))
+                        held += len(parts[-1][0])
                 if covered:
-                    rows.append((i % buckets, i, 0, 0, -1, merge(np.array(covered, np.int64)).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "doc_id", "key", "q", "back", "data"])
+                    rows.append((i % buckets, i, 0, 0, _RANGES, merge(np.array(covered, np.int64)).tobytes()))
+            if held >= FLUSH:
+                rows += marked(parts)
+                parts, held = [], 0
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        if parts:
+            yield pd.DataFrame(marked(parts), columns=columns).astype({"doc_id": "Int64"})
 
     return run_task
 
@@ -276,10 +320,15 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int):
 
 def _repeat_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
     """Ranges that an earlier occurrence covers, per document."""
-    done = pdf["back"] < 0
+    done, packed = pdf["back"] == _RANGES, pdf["back"] == _PACKED
     rows = [(int(i), bytes(d)) for i, d in zip(pdf["doc_id"][done], pdf["data"][done])]
     covered: dict[int, list[tuple[int, int]]] = {}
-    for _, own in pdf[~done].groupby("key", sort=False):
+    if packed.any():
+        key, run, doc, q, lo, hi = (np.concatenate(x) for x in zip(*map(_unpack, pdf["data"][packed])))
+        order, _, later = _collapse(key, run, doc, q)
+        for k in order[later].tolist():
+            covered.setdefault(int(doc[k]), []).append((int(lo[k]), int(hi[k]) + LENGTH))
+    for _, own in pdf[~done & ~packed].groupby("key", sort=False):
         if len(own) < 2:
             continue
         own = own.sort_values(["doc_id", "q"])
@@ -326,15 +375,15 @@ def common_grams(docs: DataFrame, sample: int = SAMPLE_DOCS, least: int = COMMON
     return np.array([r["key"] for r in found.groupBy("key").count().filter(F.col("count") >= least).collect()], np.int64).view(np.uint64)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(64, 4 * docs.rdd.getNumPartitions())
     common = spark.sparkContext.broadcast(common_grams(docs))
     scanned = docs.mapInPandas(_scan(buckets, common), "bucket int, doc_id long, data binary")
-    resolved = scanned.groupBy("bucket").applyInPandas(_resolve, "doc_id long, done boolean, key long, q long, a long, b long")
-    asked = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("done", "key", "q", "a", "b")).alias("asked"))
+    resolved = scanned.groupBy("bucket").applyInPandas(_resolve(many), "doc_id long, asks int, key long, q long, a long, b long")
+    asked = resolved.groupBy("doc_id").agg(F.collect_list(F.struct("asks", "key", "q", "a", "b")).alias("asked"))
     cut_out = docs.join(asked, "doc_id", "left").mapInPandas(_surroundings(buckets), "bucket int, doc_id long, key long, q long, back int, data binary")
     ranges = cut_out.groupBy("bucket").applyInPandas(_repeat_ranges, "doc_id long, data binary")
     found = ranges.groupBy("doc_id").agg(F.collect_list("data").alias("found"))

@@ -116,6 +116,7 @@ def key4(df):
 
 def test_substrings_equal_brute_force(spark, docs, pairs, empty):
     assert key4(substrings.remove_repeats(docs)) == brute.substrings(pairs)
+    assert key4(substrings.remove_repeats(docs, many=1)) == brute.substrings(pairs)
     assert substrings.remove_repeats(empty).count() == 0
     d = driver_rows(spark)
     assert key4(substrings.op4_substring_dedup(spark, SF)) == brute.substrings([(r.doc_id, r.text) for r in d.collect()])
@@ -131,6 +132,7 @@ def test_substrings_with_common_grams(spark, monkeypatch):
     assert key4(substrings.remove_repeats(df)) == brute.substrings(rows)
     monkeypatch.setattr(substrings, "common_grams", lambda d: np.empty(0, np.uint64))
     assert key4(substrings.remove_repeats(df)) == brute.substrings(rows)
+    assert key4(substrings.remove_repeats(df, many=3)) == brute.substrings(rows)
 
 
 def test_substrings_repeated_rows_and_chunks(spark, monkeypatch):
