@@ -65,7 +65,7 @@ def endpoints(cameras: DataFrame, as_of: Column) -> DataFrame:
         - yes((F.col("endpoint_kind") == "page") & (F.col("image_url").isNotNull() | F.col("stream_url").isNotNull()), 0.05)
     )
     e = e.withColumn("graduation_score", F.round(rules.clamp(score), 3))
-    status = F.when(F.col("graduation_score") >= 0.85, "ready").when(F.col("graduation_score") >= 0.7, "candidate").when(F.col("graduation_score") >= 0.45, "needs_review").otherwise("observed")
+    status = F.when(F.col("graduation_score") >= 0.85, "graduated").when(F.col("graduation_score") >= 0.7, "ready").when(F.col("graduation_score") >= 0.45, "review").otherwise("candidate")
     return e.withColumn("endpoint_status", status).withColumn("candidate_key", F.concat_ws("-", F.coalesce("camera_id", "camera_key"), "endpoint_kind", tx.slug_key(F.col("source_domain"), F.col("camera_id"), F.col("endpoint_kind"), F.trim("endpoint_url"), F.col("layer_key"))))
 
 

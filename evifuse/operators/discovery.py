@@ -93,18 +93,18 @@ def admission(df: DataFrame, *, allow: list[str] = (), deny: list[str] = (), den
     """Ordered URL admission over ``domain`` and ``path``: first reason wins."""
     within = lambda ds: _any([rules.domain_within(F.col("domain"), F.lit(d)) for d in ds])
     globs = lambda ps: _any([rules.glob(F.col("path"), p) for p in ps])
-    cases = []
+    cases = [(F.coalesce(F.col("domain"), F.lit("")) == "", "invalid_domain")]
     if allow:
-        cases.append((~within(allow), "outside_allowlist"))
+        cases.append((~within(allow), "not_in_domain_allowlist"))
     if deny:
-        cases.append((within(deny), "denylisted"))
+        cases.append((within(deny), "domain_denylist"))
     if policy is not None:
-        cases.append((policy, "domain_policy"))
+        cases += [(policy == p, f"domain_policy_{p}") for p in ("deny", "block", "quarantine")]
     if denied_paths:
-        cases.append((globs(denied_paths), "denied_path"))
+        cases.append((globs(denied_paths), "path_denied"))
     if allowed_paths:
-        cases.append((~globs(allowed_paths), "outside_allowed_paths"))
-    return rules.first_reason(*cases, otherwise="admitted") if cases else F.lit("admitted")
+        cases.append((~globs(allowed_paths), "path_not_allowed"))
+    return rules.first_reason(*cases, otherwise="admitted")
 
 
 def _any(tests: list[Column]) -> Column:

@@ -11,16 +11,24 @@ from evifuse.operators.windows import per_group_limit
 
 # Fixed values.
 TRANSITIONS = {
-    "draft": ("planned", "cancelled"),
-    "planned": ("collecting", "cancelled"),
-    "collecting": ("reviewing", "paused", "stopped"),
-    "paused": ("collecting", "stopped"),
-    "reviewing": ("collecting", "completed", "stopped"),
-    "completed": (),
-    "stopped": (),
-    "cancelled": (),
+    "draft": ("planning", "archived", "failed"),
+    "planning": ("collecting", "insufficient_evidence", "failed", "archived"),
+    "collecting": ("normalizing", "insufficient_evidence", "failed", "archived"),
+    "normalizing": ("corroborating", "insufficient_evidence", "failed", "archived"),
+    "corroborating": ("reporting", "insufficient_evidence", "failed", "archived"),
+    "reporting": ("ready", "insufficient_evidence", "failed", "archived"),
+    "ready": ("monitoring", "archived"),
+    "monitoring": ("archived",),
+    "archived": (),
+    "insufficient_evidence": ("archived",),
+    "failed": ("archived",),
 }
-RETRIABLE = ("timeout", "connection_error", "rate_limited", "server_error")
+NEEDS_REASON = ("failed", "insufficient_evidence")
+RETRIABLE = ("network_error", "timeout", "rate_limited", "server_error")
+CAPABILITIES = ("search", "fetch_feed", "fetch_static", "parse_document", "browser_render", "source_health")
+STATIC_CAPABILITIES = ("structured_api", "rss_atom", "sitemap", "static_html", "document", "dataset")
+SOURCE_TYPES = ("government", "court", "financial", "news", "dataset", "website", "rss", "api", "social", "video")
+PRIVATE_HOST = r"^(?:localhost|.*\.localhost|.*\.local|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*|0\..*|\[?::1\]?|\[?f[cd][0-9a-f:]*\]?|\[?fe80:.*\]?)$"
 
 
 def backoff(attempt: Column, base: float = 1.0, most: float = 300.0) -> Column:
@@ -68,32 +76,66 @@ def research_plan(sources: DataFrame, class_cap: int, domain_cap: int, global_ca
     return sources.groupBy(question).applyInPandas(one, f"{question} long, source_id long, priority long")
 
 
-def fleet_plan(tasks: DataFrame) -> DataFrame:
-    """Filter ladder with a reason, and a stable task id for what passes."""
-    reason = rules.first_reason((~F.col("enabled"), "disabled"), (F.col("health") == "unhealthy", "unhealthy"), (~F.col("url").rlike("^https?://"), "unsafe_url"), otherwise="planned")
-    return tasks.withColumn("reason", reason).withColumn("task_key", F.when(F.col("reason") == "planned", F.substring(F.sha2(F.concat_ws("|", "provider", "url"), 256), 1, 16)))
+def _words(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def fleet_plan(providers: DataFrame, query: str, languages: tuple[str, ...] = ("en",), kinds: tuple[str, ...] = ()) -> DataFrame:
+    """One row per provider of the wanted kinds: why it is blocked, or a task with a stable id.
+
+    ``providers(provider_id, source_kind, enabled, cost, robots_supported, languages, capabilities)``.
+    """
+    wanted = sorted({x.strip().lower() for x in languages if x.strip()}) or ["en"]
+    df = providers.filter(F.col("source_kind").isin(*kinds)) if kinds else providers
+    df = df.withColumn("languages", F.filter(_words(wanted), lambda x: F.array_contains("languages", x)))
+    df = df.withColumn("capability", F.get(F.filter("capabilities", lambda c: c.isin(*STATIC_CAPABILITIES)), F.lit(0)))
+    reason = rules.first_reason(
+        (~F.col("enabled") | (F.col("cost") == "disabled"), "provider_disabled"),
+        (~F.col("robots_supported"), "robots_not_supported"),
+        (F.size("languages") == 0, "language_not_supported"),
+        (F.col("capability").isNull(), "no_static_collection_capability"),
+        otherwise="planned",
+    )
+    key = F.concat_ws("\0", F.col("provider_id").cast("string"), "capability", F.lit(query), F.array_join("languages", ","))
+    planned = F.col("reason") == "planned"
+    out = df.withColumn("reason", reason).withColumn("task_id", F.when(planned, F.concat(F.lit("fleet-"), F.substring(F.sha2(key, 256), 1, 20))))
+    return out.withColumn("priority", F.when(planned, F.when(F.col("source_kind") == "official_public_record", 1100).otherwise(1000)))
+
+
+def under_origin(url: Column, origin: Column) -> Column:
+    """Same scheme, host and port, and a path at or below the origin's."""
+    place = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*", 0))
+    path = lambda u: F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    root = F.regexp_replace(path(origin), "/+$", "")
+    return (place(url) == place(origin)) & ((path(url) == root) | path(url).startswith(F.concat(root, F.lit("/"))) | (root == ""))
 
 
 def provider_decision(df: DataFrame) -> Column:
+    """Ordered rules over (paused, enabled, health, capability, capabilities, url, base_urls)."""
     return rules.first_reason(
-        (F.col("paused"), "paused"),
-        (~F.col("enabled"), "disabled"),
-        (F.col("health") == "unhealthy", "unhealthy"),
-        (~F.array_contains("capabilities", F.col("capability")), "missing_capability"),
-        (~F.col("url").rlike("^https?://"), "unsafe_url"),
+        (F.col("paused"), "domain_paused"),
+        (~F.col("enabled"), "provider_disabled"),
+        (F.col("health") == "schema_quarantined", "schema_quarantined"),
+        (~F.col("health").eqNullSafe(F.lit("healthy")), "provider_disabled"),
+        (~F.col("capability").isin(*CAPABILITIES) | ~F.array_contains("capabilities", F.col("capability")), "unsupported_capability"),
+        (~F.col("url").rlike("^(?i:https?)://[^/?#@]+(?:[/?#]|$)") | _private(F.col("url")), "unsafe_target"),
+        (~F.exists("base_urls", lambda b: under_origin(F.col("url"), b)), "origin_not_allowed"),
         otherwise="allowed",
     )
 
 
-def source_policy(uri: Column, access: Column, robots: Column, rate: Column, size: Column, slots: Column) -> Column:
-    """Why a public source may not be collected, else null."""
+def _private(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)).rlike(PRIVATE_HOST)
+
+
+def source_policy(url: Column, source_type: Column, public: Column, login: Column, payment: Column, bypass: Column, terms: Column) -> Column:
+    """Why a public source may not be collected, else null; what is unknown denies."""
+    no = lambda c: F.coalesce(~c, F.lit(True))
     reason = rules.first_reason(
-        (~uri.rlike("^https?://[^/]+"), "no public endpoint"),
-        (F.lower(F.trim(access)).isin("login", "paywall", "bypass"), "access boundary"),
-        (~robots, "robots"),
-        (~rate, "rate limit"),
-        (~size, "byte limit"),
-        (~slots, "concurrency"),
+        (no(url.rlike("^(?i:https?)://[^/?#@]+(?:[/?#]|$)")), "source URL must be a credential-free HTTP(S) URL"),
+        (_private(url), "private or local source addresses are not public sources"),
+        (no(F.lower(F.trim(source_type)).isin(*SOURCE_TYPES)), "source type is not approved for public-record adapters"),
+        (no(public) | no(~login) | no(~payment) | no(~bypass) | no(terms), "source must be legally accessible without login, payment, or bypass"),
         otherwise="",
     )
     return F.nullif(reason, F.lit(""))
@@ -108,12 +150,12 @@ def provider_coverage(providers: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 def transitions(df: DataFrame, current: str = "status", wanted: str = "next_status", stop_reason: str = "stop_reason") -> DataFrame:
-    """Adds ``legal``: the move is listed, and a stop names its reason."""
+    """Adds ``legal``: the move is listed, and an end without a result names its reason."""
     listed = F.lit(False)
     for a, bs in TRANSITIONS.items():
         if bs:
             listed = listed | ((F.col(current) == a) & F.col(wanted).isin(*bs))
-    reasoned = (F.col(wanted) != "stopped") | (F.coalesce(F.trim(stop_reason), F.lit("")) != "")
+    reasoned = ~F.col(wanted).isin(*NEEDS_REASON) | (F.coalesce(F.trim(stop_reason), F.lit("")) != "")
     return df.withColumn("legal", F.coalesce(listed & reasoned, F.lit(False)))
 
 

@@ -96,7 +96,7 @@ def public_text(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.sanitize_public(F.col("text")).alias("shown"))
 
 
-@query(f"SELECT CASE WHEN ends_with({HOST_SQL}, '.example.org') THEN 'denylisted' WHEN regexp_matches(url, '://[^/]*/en/') THEN 'denied_path' WHEN NOT regexp_matches(url, '://[^/]*/[a-z][a-z]/[0-9][^?#]*') THEN 'outside_allowed_paths' ELSE 'admitted' END AS decision, count(*) AS n FROM pages GROUP BY 1")
+@query(f"SELECT CASE WHEN ends_with({HOST_SQL}, '.example.org') THEN 'domain_denylist' WHEN regexp_matches(url, '://[^/]*/en/') THEN 'path_denied' WHEN NOT regexp_matches(url, '://[^/]*/[a-z][a-z]/[0-9][^?#]*') THEN 'path_not_allowed' ELSE 'admitted' END AS decision, count(*) AS n FROM pages GROUP BY 1")
 def url_admission(spark, d):
     p = table(spark, d, "pages").select(tx.normalize_domain(F.col("url")).alias("domain"), F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1).alias("path"))
     rule = discovery.admission(p, allow=["example.com", "example.net", "example.org"], deny=["example.org"], denied_paths=["/en/*"], allowed_paths=["/??/*"])
@@ -134,10 +134,14 @@ def research_queries(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalize_query(F.array("text")).alias("query"))
 
 
-@query("SELECT CASE WHEN page_id % 5 = 0 THEN 'disabled' WHEN page_id % 7 = 0 THEN 'unhealthy' ELSE 'planned' END AS reason, count(*) AS n FROM pages GROUP BY 1")
+@query("SELECT CASE WHEN page_id % 5 = 0 THEN 'provider_disabled' WHEN page_id % 7 = 0 THEN 'robots_not_supported' WHEN page_id % 3 = 0 THEN 'language_not_supported' WHEN page_id % 11 = 0 THEN 'no_static_collection_capability' ELSE 'planned' END AS reason, count(*) AS n FROM pages GROUP BY 1")
 def fleet_plan(spark, d):
-    p = table(spark, d, "pages").select(F.lit("x").alias("provider"), "url", (F.col("page_id") % 5 != 0).alias("enabled"), F.when(F.col("page_id") % 7 == 0, "unhealthy").otherwise("ok").alias("health"))
-    return planning.fleet_plan(p).groupBy("reason").agg(F.count("*").alias("n"))
+    i, words = F.col("page_id"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    p = table(spark, d, "pages").select(
+        i.alias("provider_id"), F.lit("public_dataset").alias("source_kind"), (i % 5 != 0).alias("enabled"), F.lit("free").alias("cost"), (i % 7 != 0).alias("robots_supported"),
+        F.when(i % 3 == 0, words("de")).otherwise(words("en", "fr")).alias("languages"), F.when(i % 11 == 0, words("search")).otherwise(words("search", "rss_atom")).alias("capabilities"),
+    )
+    return planning.fleet_plan(p, "new pier").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id AS run, replace(replace(to_base64(encode(concat('{\"v\":1,\"watch_run_id\":', event_id, '}'))), '+', '-'), '/', '_') AS cursor FROM events")

@@ -154,7 +154,7 @@ def camera_inventory(spark, d):
 @query(
     f"""{CAMERA_SQL}, e AS (SELECT *, 'image' AS endpoint_kind, image_url AS u FROM inv UNION ALL SELECT *, 'stream', stream_url FROM inv UNION ALL SELECT *, 'page', page_url FROM inv),
 s AS (SELECT endpoint_kind, round(greatest(0, least(1, 0.1::DOUBLE + CASE endpoint_kind WHEN 'stream' THEN 0.25::DOUBLE WHEN 'image' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN active THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN status = 'active' THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN camera_id IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + 0.1::DOUBLE + CASE WHEN t_us >= {AS_OF_US - 48 * HOUR} THEN 0.1::DOUBLE ELSE 0 END + confidence_score * 0.1::DOUBLE - CASE WHEN endpoint_kind = 'page' AND (image_url IS NOT NULL OR stream_url IS NOT NULL) THEN 0.05::DOUBLE ELSE 0 END)), 3) AS score FROM e WHERE u IS NOT NULL)
-SELECT endpoint_kind, CASE WHEN score >= 0.85 THEN 'ready' WHEN score >= 0.7 THEN 'candidate' WHEN score >= 0.45 THEN 'needs_review' ELSE 'observed' END AS endpoint_status, count(*) AS n, round(sum(score), 0) AS scores FROM s GROUP BY 1, 2""",
+SELECT endpoint_kind, CASE WHEN score >= 0.85 THEN 'graduated' WHEN score >= 0.7 THEN 'ready' WHEN score >= 0.45 THEN 'review' ELSE 'candidate' END AS endpoint_status, count(*) AS n, round(sum(score), 0) AS scores FROM s GROUP BY 1, 2""",
     ("obs",),
 )
 def camera_endpoints(spark, d):
@@ -238,19 +238,24 @@ def provider_coverage(spark, d):
     return planning.provider_coverage(p, ["search", "maps", "news", "archive"])
 
 
-@query("SELECT user_id % 5 AS k, CASE WHEN user_id % 5 = 0 THEN 'paused' WHEN user_id % 7 = 0 THEN 'disabled' WHEN user_id % 11 = 0 THEN 'unhealthy' WHEN layer_key = 'error' THEN 'missing_capability' WHEN user_id % 13 = 0 THEN 'unsafe_url' ELSE 'allowed' END AS decision, count(*) AS n FROM obs GROUP BY 1, 2", ("obs",))
+@query("SELECT user_id % 5 AS k, CASE WHEN user_id % 5 = 0 THEN 'domain_paused' WHEN user_id % 7 = 0 THEN 'provider_disabled' WHEN user_id % 11 = 0 THEN 'schema_quarantined' WHEN user_id % 9 = 0 THEN 'provider_disabled' WHEN layer_key = 'error' THEN 'unsupported_capability' WHEN user_id % 13 = 0 THEN 'unsafe_target' WHEN user_id % 17 = 0 THEN 'origin_not_allowed' ELSE 'allowed' END AS decision, count(*) AS n FROM obs GROUP BY 1, 2", ("obs",))
 def provider_decisions(spark, d):
     u = F.col("user_id")
-    o = view(spark, d, "obs").select((u % 5).alias("k"), (u % 5 == 0).alias("paused"), (u % 7 != 0).alias("enabled"), F.when(u % 11 == 0, "unhealthy").otherwise("ok").alias("health"), F.array(F.lit("click"), F.lit("view"), F.lit("purchase"), F.lit("signup")).alias("capabilities"), F.col("layer_key").alias("capability"), F.when(u % 13 == 0, "ftp://x").otherwise("https://x").alias("url"))
+    can = {"click": "search", "view": "fetch_feed", "purchase": "fetch_static", "signup": "parse_document"}
+    url = F.when(u % 13 == 0, "http://127.0.0.1/x").when(u % 17 == 0, "https://other.org/a/x").otherwise("https://X.org/a/x")
+    o = view(spark, d, "obs").select(
+        (u % 5).alias("k"), (u % 5 == 0).alias("paused"), (u % 7 != 0).alias("enabled"), F.when(u % 11 == 0, "schema_quarantined").when(u % 9 == 0, "degraded").otherwise("healthy").alias("health"),
+        F.array(*[F.lit(c) for c in can.values()]).alias("capabilities"), rules.lookup(F.col("layer_key"), can, "other").alias("capability"), url.alias("url"), F.array(F.lit("https://x.org/a/")).alias("base_urls"),
+    )
     return o.withColumn("decision", planning.provider_decision(o)).groupBy("k", "decision").agg(F.count("*").alias("n"))
 
 
-@query("SELECT status, nxt, legal, count(*) AS n FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'planned' WHEN 2 THEN 'collecting' ELSE 'reviewing' END AS status, CASE event_id % 3 WHEN 0 THEN 'collecting' WHEN 1 THEN 'stopped' ELSE 'planned' END AS nxt, CASE WHEN event_id % 3 = 0 THEN user_id % 4 IN (1, 3) WHEN event_id % 3 = 1 THEN user_id % 4 IN (2, 3) AND event_id % 2 = 0 ELSE user_id % 4 = 0 END AS legal FROM events) GROUP BY 1, 2, 3")
+@query("SELECT status, nxt, legal, count(*) AS n FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'planning' WHEN 2 THEN 'collecting' ELSE 'reporting' END AS status, CASE event_id % 3 WHEN 0 THEN 'collecting' WHEN 1 THEN 'failed' ELSE 'ready' END AS nxt, CASE WHEN event_id % 3 = 0 THEN user_id % 4 = 1 WHEN event_id % 3 = 1 THEN event_id % 2 = 0 ELSE user_id % 4 = 3 END AS legal FROM events) GROUP BY 1, 2, 3")
 def state_transitions(spark, d):
     from evifuse.session import table
 
     e = table(spark, d, "events")
-    s = e.select(F.expr("CASE user_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'planned' WHEN 2 THEN 'collecting' ELSE 'reviewing' END").alias("status"), F.expr("CASE event_id % 3 WHEN 0 THEN 'collecting' WHEN 1 THEN 'stopped' ELSE 'planned' END").alias("nxt"), F.when(F.col("event_id") % 2 == 0, "done").alias("stop_reason"))
+    s = e.select(F.expr("CASE user_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'planning' WHEN 2 THEN 'collecting' ELSE 'reporting' END").alias("status"), F.expr("CASE event_id % 3 WHEN 0 THEN 'collecting' WHEN 1 THEN 'failed' ELSE 'ready' END").alias("nxt"), F.when(F.col("event_id") % 2 == 0, "done").alias("stop_reason"))
     return planning.transitions(s, wanted="nxt").groupBy("status", "nxt", "legal").agg(F.count("*").alias("n"))
 
 

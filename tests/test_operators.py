@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import sqlite3
@@ -292,3 +293,14 @@ def test_lifecycle(spark):
     assert tuple(lifecycle.scan_totals(h).first()) == (3, 2, 1, 1)
     p = spark.createDataFrame([("public_dataset", True), ("established_news", False)], "source_kind string, enabled boolean")
     assert {r.source_kind for r in lifecycle.kind_gaps(p, ["public_dataset", "established_news", "official_public_record"]).collect()} == {"established_news", "official_public_record"}
+
+
+def test_planning_rules(spark):
+    p = spark.createDataFrame([(1, "official_public_record", True, "free", True, ["en"], ["search", "dataset"]), (2, "news", True, "disabled", True, ["en"], ["dataset"])], "provider_id long, source_kind string, enabled boolean, cost string, robots_supported boolean, languages array<string>, capabilities array<string>")
+    got = {r.provider_id: (r.reason, r.task_id, r.priority) for r in planning.fleet_plan(p, "q", (" EN ", "de")).collect()}
+    assert got == {1: ("planned", "fleet-" + hashlib.sha256(b"1\0dataset\0q\0en").hexdigest()[:20], 1100), 2: ("provider_disabled", None, None)}
+    policy = lambda url, kind="news", public=True: one(spark, planning.source_policy(F.lit(url).cast("string"), F.lit(kind), F.lit(public).cast("boolean"), F.lit(False), F.lit(False), F.lit(False), F.lit(True)))
+    assert policy("https://a.org/x") is None and "credential-free" in policy("https://u:p@a.org/x") and "credential-free" in policy(None)
+    assert "private" in policy("http://192.168.1.4:80/") and "private" in policy("http://x.local") and "type" in policy("https://a.org", "blog") and "legally" in policy("https://a.org", public=None)
+    under = lambda u, o: one(spark, planning.under_origin(F.lit(u), F.lit(o)))
+    assert under("https://X.org/a/b", "https://x.org/a/") and not under("https://x.org/ab", "https://x.org/a") and under("https://x.org/z", "https://x.org") and not under("http://x.org/a", "https://x.org/a")
