@@ -19,7 +19,8 @@ def lookup(key: Column, table: dict, default) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Null stays null: least and greatest would skip it."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def trust_score(level: Column) -> Column:

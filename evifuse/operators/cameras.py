@@ -61,7 +61,7 @@ def endpoints(cameras: DataFrame, as_of: Column) -> DataFrame:
         + yes(F.col("camera_id").isNotNull(), 0.1)
         + yes(F.col("source_domain").isNotNull(), 0.1)
         + yes(F.col("last_observed_at") >= as_of - F.expr("INTERVAL 2 DAYS"), 0.1)
-        + rules.clamp(F.col("confidence_score")) * 0.1
+        + rules.clamp(F.coalesce("confidence_score", F.lit(0.0))) * 0.1
         - yes((F.col("endpoint_kind") == "page") & (F.col("image_url").isNotNull() | F.col("stream_url").isNotNull()), 0.05)
     )
     e = e.withColumn("graduation_score", F.round(rules.clamp(score), 3))

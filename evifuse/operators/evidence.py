@@ -71,9 +71,9 @@ def materiality(stream: DataFrame, min_score: float = 0.45, min_alert_confidence
     score = (
         0.20 * (~duplicate).cast("double")
         + 0.20 * independent.cast("double")
-        + 0.20 * rules.clamp(F.col("claim_impact"))
-        + 0.10 * rules.clamp(F.col("temporal_relevance"))
-        + 0.10 * rules.clamp(F.col("geographic_relevance"))
+        + 0.20 * rules.clamp(F.coalesce("claim_impact", F.lit(0.0)))
+        + 0.10 * rules.clamp(F.coalesce("temporal_relevance", F.lit(0.0)))
+        + 0.10 * rules.clamp(F.coalesce("geographic_relevance", F.lit(0.0)))
         + 0.10 * rules.clamp(change)
         + 0.10 * F.col("event_id").isNotNull().cast("double")
     )

@@ -111,3 +111,14 @@ def record_validation(spark, d):
     payload = F.when(i == 1, '{"k": 1, "z": 2}').when(i == 2, "[1]").otherwise(F.col("props"))
     r = table(spark, d, "events").select(payload.alias("payload"), F.when(i == 0, "v1").otherwise("v2").alias("schema_version"))
     return lifecycle.validate_records(r, "v2", ["k"], ["k"]).groupBy("quarantine_reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT CASE WHEN lon BETWEEN -95.5 AND -94.6 AND lat BETWEEN 29.4 AND 30.2 THEN 100.0::DOUBLE WHEN layer_key = 'click' AND source_domain = 's3.example.com' THEN 95.0::DOUBLE WHEN layer_key = 'click' THEN 92.0::DOUBLE WHEN source_domain = 's3.example.com' THEN 90.0::DOUBLE ELSE 8.0::DOUBLE END AS score, count(*) AS n FROM obs GROUP BY 1""",
+    ("obs",),
+)
+def geo_relevance(spark, d):
+    o = view(spark, d, "obs")
+    points = F.array(F.struct("lat", "lon"))
+    score = signals.geo_relevance(points, F.array("source_domain"), F.array("layer_key"), F.array().cast("array<string>"), F.lit("point"), {"bbox": (-95.5, 29.4, -94.6, 30.2), "jurisdictions": ["CLICK"], "places": ["S3-Example-Com"]})
+    return o.groupBy(score.alias("score")).agg(F.count("*").alias("n"))

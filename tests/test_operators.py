@@ -304,3 +304,16 @@ def test_planning_rules(spark):
     assert "private" in policy("http://192.168.1.4:80/") and "private" in policy("http://x.local") and "type" in policy("https://a.org", "blog") and "legally" in policy("https://a.org", public=None)
     under = lambda u, o: one(spark, planning.under_origin(F.lit(u), F.lit(o)))
     assert under("https://X.org/a/b", "https://x.org/a/") and not under("https://x.org/ab", "https://x.org/a") and under("https://x.org/z", "https://x.org") and not under("http://x.org/a", "https://x.org/a")
+
+
+def test_geo_relevance(spark):
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    none, at = F.array().cast("array<struct<lat:double,lon:double>>"), F.array(F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")))
+    score = lambda points, kind, target, places=(), roads=(): one(spark, signals.geo_relevance(points, words(*places), words(), words(*roads), F.lit(kind), target))
+    assert [score(at, "point", None), score(none, "x", None, ["A"]), score(none, "global", None), score(none, "x", None)] == [65.0, 45.0, 30.0, 20.0]
+    area = {"polygon": [(0, 0), (4, 0), (4, 4), (0, 4)], "places": ["Port Alpha"], "routes": ["I-95"]}
+    assert [score(at, "point", area), score(none, "x", area, ["port  ALPHA"], ["i 95"]), score(none, "x", area, ["alpha"])] == [100.0, 99.0, 72.0]
+    assert [score(none, "nationwide", area), score(none, "global", area), score(none, "x", area, ["zz"]), score(none, "x", area)] == [45.0, 30.0, 8.0, 0.0]
+    assert score(at, "point", {"points": [(2, 1)]}) == 95.0
+    kind = lambda points, places, text: one(spark, signals.footprint(points, words(*places), words(), words(), F.lit(text)))
+    assert [kind(at, [], ""), kind(none, [], "Nationwide"), kind(none, ["a"], ""), kind(none, [], "")] == ["point", "nationwide", "local_area", "unknown"]
