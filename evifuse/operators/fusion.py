@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from evifuse.operators.components import cut, min_labels
 
 EARTH_KM = 6371.0
+#: Time buckets that one task scans for session starts.
+BLOCK = 4096
 #: Observations of a session above which it is split by place.
 LARGE = 200_000
 #: Latitude and longitude beyond which a group of cells keeps its session whole.
@@ -32,11 +34,13 @@ def sessions(located: DataFrame, window_us: int, time: str = "t_us") -> DataFram
     """Adds ``session``: an empty bucket between two occupied ones means a gap above the window."""
     b = F.floor(F.col(time) / window_us)
     buckets = located.select(b.alias("__b")).distinct()
-    # islands over distinct buckets: a day-sized key keeps the running windows apart, neighbours are looked up by equality
     before = buckets.select((F.col("__b") + 1).alias("__b"), F.lit(True).alias("__joined"))
-    starts = buckets.join(before, "__b", "left").filter("__joined is null").select("__b")
-    w = Window.orderBy("__b")
-    marked = buckets.join(starts.withColumn("__start", F.col("__b")), "__b", "left").withColumn("session", F.max("__start").over(w)).select("__b", "session")
+    starts = buckets.join(before, "__b", "left").withColumn("__start", F.when(F.col("__joined").isNull(), F.col("__b")))
+    # the latest start so far: within blocks of buckets in parallel, then carried over one row per block
+    blocks = starts.withColumn("__block", F.floor(F.col("__b") / BLOCK)).withColumn("__own", F.max("__start").over(Window.partitionBy("__block").orderBy("__b")))
+    ends = blocks.groupBy("__block").agg(F.max("__start").alias("__last"))
+    carried = ends.select("__block", F.max("__last").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    marked = blocks.join(carried, "__block").select("__b", F.coalesce("__own", "__carried").alias("session"))
     return located.withColumn("__b", b).join(marked, "__b").drop("__b")
 
 

@@ -113,6 +113,7 @@ def test_large_sessions_split_by_place(spark, monkeypatch):
     rows = [(r.randrange(0, 600) * 60_000_000, i, r.choice([-95.0, -93.0, 10.0]) + r.random() * 0.4, r.choice([29.0, 33.0]) + r.random() * 0.4) for i in range(500)]
     make = lambda rows: spark.createDataFrame([(i, t, x, y) for t, i, x, y in rows], "observation_id long, t_us long, lon double, lat double")
     monkeypatch.setattr(fusion, "LARGE", 50)
+    monkeypatch.setattr(fusion, "BLOCK", 3)
     got = {x.observation_id: x.cluster_seed for x in fusion.assign_clusters(make(rows), 60, 25.0).collect()}
     assert got == full_fold(rows, 3_600_000_000, 25.0)
     timed = fusion.sessions(make(rows), 3_600_000_000)
