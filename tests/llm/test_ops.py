@@ -315,6 +315,17 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_groups(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_dense_group(spark):
+    r = np.random.RandomState(5)
+    x = r.normal(size=32) / 32**0.5 + 0.26 * r.normal(size=(1200, 32)) / 32**0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= vectors.THRESHOLD
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for more in ({}, {"cell": 500}):
+        got = {row.vec_id: row.n_links for row in vectors.near_groups(df, leaf=64, **more).collect()}
+        assert got == dict(enumerate((near.sum(1) - 1).tolist()))
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
