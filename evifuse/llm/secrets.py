@@ -1,16 +1,18 @@
 """Secret scan: base patterns, and a small character convolutional network over every further candidate.
 
-Base spans always stay. A wide generator proposes other tokens (long mixed tokens, values of credential-like names); the
-network reads each candidate with its surroundings and adds those above a threshold. It is trained on labelled findings
+Base spans always stay. A wide generator proposes other tokens (long mixed tokens, values of credential-like names), also
+where they overlap; the network reads each candidate with its surroundings, long ones in windows of which the highest
+counts, and of overlapping candidates above a threshold the likeliest is added. It is trained on labelled findings
 that a seeded generator writes out, calibrated on a held-out part, and its threshold is the highest that keeps the
 required recall there.
 
-Defined results: null or empty text has no span; a span is (kind, start, end) in code points, end exclusive; added spans
-that overlap a base span are dropped; repeated rows scan alike; an empty table gives no rows.
+Defined results: null or empty text has no span; a span is (kind, start, end) in code points, end exclusive; of an
+added token only what lies outside base spans is added; repeated rows scan alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -28,11 +30,14 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The wide generator: values of other credential-like names, and long tokens.
-NAMED = re.compile(r"""(?ai:pwd|passphrase|credential|auth|bearer|private_?key|access_?key|client_?id)["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
+NAMED = re.compile(r"""(?ai:pwd|passphrase|credential|auth|bearer|private_?key|access_?key|client_?id)["']?\x20*[:=\x20]\x20*["']?(?=[A-Za-z0-9+/_.=-]{8})""")
+VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT = re.compile(r"[0-9]")
 
 WIDTH, BEFORE, LONGEST = 72, 20, 40
+#: Step between the windows of a long candidate.
+STEP = 20
 FILTERS, KERNEL, EMBED = 24, 5, 8
 REQUIRED_RECALL = 0.9
 ALPHABET = {c: i + 1 for i, c in enumerate(string.printable[:95])}
@@ -49,21 +54,65 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _mixed(s: str) -> bool:
+    return len(s) >= 20 and bool(_DIGIT.search(s)) and any(c.isalpha() for c in s)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Further spans the network judges: (start, kind index, end), none overlapping a base span or an earlier candidate."""
-    if not _DIGIT.search(text):
-        return []
-    found = [(m.start(1), 0, m.end(1)) for m in NAMED.finditer(text)]
-    for m in LONG.finditer(text):
-        s = m.group()
-        if _DIGIT.search(s) and any(c.isalpha() for c in s):
-            found.append((m.start(), 1 if s.isupper() else 0, m.end()))
-    out, end, taken = [], -1, [(a, b) for a, _, b in base]
-    for a, k, b in sorted(found):
-        if a >= end and not any(a < y and x < b for x, y in taken):
-            out.append((a, k, b))
-            end = b
-    return out
+    """Further spans the network judges: (start, kind index, end). They may overlap each other and base spans, but none lies in a base span."""
+    found, end = set(), -1
+    for m in NAMED.finditer(text):
+        # values that start in one run end with it
+        if m.end() >= end:
+            end = VALUE.match(text, m.end()).end()
+        found.add((m.end(), 0, end))
+    if _DIGIT.search(text):
+        assigned = [(a, b) for a, k, b in base if k == 0]
+        at = 0
+        for m in LONG.finditer(text):
+            # what an assignment leaves of a token must be one by itself
+            while at < len(assigned) and assigned[at][1] <= m.start():
+                at += 1
+            a, j = m.start(), at
+            while j < len(assigned) and assigned[j][0] < m.end():
+                if _mixed(text[a : assigned[j][0]]):
+                    found.add((a, 0, assigned[j][0]))
+                a, j = max(a, assigned[j][1]), j + 1
+            if _mixed(text[a : m.end()]):
+                found.add((a, 1 if text[a : m.end()].isupper() else 0, m.end()))
+    return [(a, k, b) for a, k, b in sorted(found) if outside(a, b, base)]
+
+
+def outside(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What sorted base spans leave of a span."""
+    out = []
+    for a, _, b in base:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return out + [(start, end)] if start < end else out
+
+
+def windows(start: int, end: int) -> list[int]:
+    """Where the network starts to read a candidate: at its start, and in a long one at every further step up to its last characters."""
+    if end - start <= LONGEST:
+        return [start]
+    return [start, *range((start // STEP + 1) * STEP, end - LONGEST, STEP), end - LONGEST]
+
+
+def chosen(scored: list[tuple[float, tuple[int, int, int]]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+    """Of overlapping accepted candidates the likeliest, then the first; without the places of base spans."""
+    kept: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for _, (a, k, b) in sorted(scored, key=lambda c: (-c[0], c[1])):
+        i = bisect.bisect_left(starts, a)
+        if (i == 0 or kept[i - 1][2] <= a) and (i == len(kept) or kept[i][0] >= b):
+            kept.insert(i, (a, k, b))
+            starts.insert(i, a)
+    return [(x, k, y) for a, k, b in kept for x, y in outside(a, b, base)]
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
@@ -153,9 +202,15 @@ def labelled_findings(n: int = 1600, seed: int = 11) -> tuple[np.ndarray, np.nda
         if secret:
             body = r.choice([lambda: pick(mixed, r.randint(20, 44)), lambda: pick(mixed + "+/", r.randint(24, 44)) + "=", lambda: r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(mixed, 24), lambda: pick(mixed + "_-", r.randint(10, 24))])()
             before = r.choice(["pwd=", "auth: ", "bearer ", "credential = ", "private_key: ", 'access_key="', "export KEY=", word() + " "])
+            if i % 16 == 0:
+                body = "".join(word() for _ in range(4))[:24].ljust(8, "e")
+                before = r.choice(["pwd=", "pwd: ", "passphrase: ", "passphrase=", "pwd = "])
         else:
             body = r.choice([lambda: "-".join(word() for _ in range(5)) + str(r.randint(1, 99)), lambda: "/" + "/".join(word() for _ in range(4)) + "/" + str(r.randint(1, 999)), lambda: pick(string.digits, r.randint(20, 26)), lambda: word() + "_" + word() + "_" + word() + "_" + str(r.randint(1, 9999)), lambda: (word() * 6)[:24] + str(r.randint(0, 9)), lambda: "-" * r.randint(20, 30) + str(r.randint(1, 9)) + "a"])()
             before = r.choice([word() + " ", word() + ", ", "see ", "page ", "auth: " if r.random() < 0.1 else "in "])
+            if i % 16 == 1:
+                body = "".join(word() for _ in range(4))[:24].ljust(8, "e")
+                before = r.choice(["auth ", "bearer ", "credential ", "passphrase ", "pwd ", "private key "])
         text = f"{word()} {word()} {before}{body} {word()} {word()}"
         at = text.index(body, text.index(before))
         x.append(encode(text, at, at + len(body)))
@@ -183,13 +238,20 @@ def scan_batch(texts, net: CharCNN) -> pd.DataFrame:
         base = base_spans(t)
         bases.append(base)
         wide.append([])
+        seen: dict[tuple[int, int], int] = {}
         for c in candidates(t, base):
-            rows.append(encode(t, c[0], c[2]))
-            where.append((i, c))
+            for w in windows(c[0], c[2]):
+                if (w, c[2]) not in seen:
+                    seen[w, c[2]] = len(rows)
+                    rows.append(encode(t, w, c[2]))
+            where.append((i, c, [seen[w, c[2]] for w in windows(c[0], c[2])]))
     if rows:
-        for (i, c), p in zip(where, net.probability(np.array(rows))):
-            if p >= net.threshold:
-                wide[i].append(c)
+        p = net.probability(np.array(rows))
+        for i, c, at in where:
+            best = float(p[at].max())
+            if best >= net.threshold:
+                wide[i].append((best, c))
+    wide = [chosen(more, base) if more else [] for base, more in zip(bases, wide)]
     out = []
     for base, more in zip(bases, wide):
         text = digest(base)

@@ -237,6 +237,19 @@ def test_secret_network_on_unseen_findings():
     assert p[y == 1].mean() >= 0.85 and p[y == 0].mean() <= 0.1
 
 
+def test_secret_candidates_are_judged_whole():
+    net, r = secrets.train(), random.Random(3)
+    spans = lambda t: secrets.scan_batch([t], net).spans[0]
+    pick = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    token, path = pick(30), "/the/on/er/in/" * 4
+    assert spans(path + "1") == ""
+    assert sum(spans("see " + path + pick(36)) == "assign:4:96" for _ in range(100)) >= 70
+    assert {(0, 0, 35), (5, 0, 35)} <= set(secrets.candidates("auth=" + token, []))
+    assert spans("pwd: correcthorsebattery") == "assign:5:24" and spans("the bearer consideration") == ""
+    inside = [pick(20) + "_" + "0123456789abcdef" * 2 + "_" + pick(20) for _ in range(100)]
+    assert sum(spans("auth: " + t) == "assign:6:27,hex:27:59,assign:59:80" for t in inside) >= 70
+
+
 # --- classifiers -----------------------------------------------------------------------------------------------------
 
 
