@@ -2,7 +2,7 @@
 
 Regular expressions run inside the JVM; places come from the lengths of what lies between matches. Quantifiers are
 possessive where no other split can match, so long runs neither recurse nor rescan. High-recall generators then propose
-overlapping candidates (numbers of card length that fail the checksum, local phone numbers, spelled-out addresses); a
+overlapping candidates (other numbers of card length, local phone numbers, spelled-out addresses); a
 small gradient-boosted tree ensemble scores each from format and context features, written out as one SQL expression,
 and a calibrated threshold per kind selects. Candidates that overlap a base span or an accepted one are dropped.
 
@@ -33,13 +33,17 @@ PATTERNS = {
 }
 #: Cheap tests that a text must pass before a pattern runs.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+_DOT = r"(?: ?(?:\(dot\)|\[dot\]|\[\.\]|\(\.\)) ?| dot )"
 #: Further candidates by kind.
 WIDE = {
     "email": rf"[{_LOCAL}]{{1,64}} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{{1,63}}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{{1,63}}){{1,5}}",
-    "phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ip": rf"(?<![0-9]){_OCTET}(?:{_DOT}{_OCTET}){{3}}(?![0-9])",
+    # 3-3-4; pairs after 0x (fr); area codes with 0 (de, en); nine digits in threes or pairs (es)
+    "phone": r"(?<![0-9+(])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|0[1-9](?:[ .-]?[0-9]{2}){4}|\(?0[0-9]{1,4}\)?[ /-]{1,3}[0-9]{3,4}[ -]?[0-9]{2,5}|[6-9][0-9]{2}(?:(?:[ .-][0-9]{3}){2}|(?:[ .-][0-9]{2}){3}))(?![0-9])",
 }
-WIDE_GUARDS = {"email": r"[(\[]at[)\]]", "phone": r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"}
-HINTS = "(?i)(?:card|visa|credit|kreditkarte|carte|tarjeta|account|konto|call|tel|phone|fon|mobile|fax|mail|contact|write)"
+WIDE_GUARDS = {"email": r"[(\[]at[)\]]", "ip": rf"[0-9]{_DOT}[0-9]", "phone": r"[0-9]{2}\)?[ ./-]{1,3}[0-9]{2}|0[1-9][0-9]{8}"}
+HINTS = "(?i)(?:card|visa|credit|kreditkarte|carte|tarjeta|account|konto|call|tel|phone|fon|mobile|fax|mail|contact|write|anruf|handy|appel|llam|m[oó]vil|host|server)"
 AGAINST = "(?i)(?:order|isbn|serial|ref|version|invoice|sku|model|part|hash|#)"
 TRAIN_ROWS = 900
 FEATURES = ("kind", "digits", "luhn", "left", "right", "hint", "against", "marks")
@@ -162,22 +166,45 @@ def labelled_texts(rows: int = TRAIN_ROWS, seed: int = 5) -> list[tuple[int, str
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("the an er in on re ti es de ue ar os ver ung eau".split()) for _ in range(r.randint(1, 3)))
+
+    def number(k, valid):
+        d = digits(k - 1)
+        total = sum(int(c) if j % 2 else int(c) * 2 - 9 * (c > "4") for j, c in enumerate(reversed(d)))
+        return d + str((-total + (0 if valid else r.randint(1, 9))) % 10)
+
     out = []
     for i in range(rows):
-        good, kind = i % 2 == 0, r.choice(["card", "phone", "email"])
+        good, kind = i % 2 == 0, r.choice(["card", "phone", "email", "ip", "card", "phone", "email"])
         a, b = f"{word()} {word()} ", f" {word()} {word()}"
+        hints, against = ["call ", "tel ", "phone: "], ["isbn ", "part x", "version ", "model ", "sku-"]
         if kind == "card":
-            body = digits(16) if good else digits(r.choice([13, 14, 15, 17, 18, 19]))
+            # valid numbers of 16 to 19 digits are base spans; failing ones are cards only where the context says so
+            valid = r.random() < (0.7 if good else 0.3)
+            body = number(r.choice([13, 14, 15, 15]) if valid else r.randint(13, 19), valid)
             if r.random() < 0.3:
                 body = " ".join(body[k : k + 4] for k in range(0, len(body), 4))
-            a += r.choice(["card ", "account ", "", "", ""]) if good else r.choice(["order ", "serial ", "ref ", "#", "hash a", ""])
+            if good:
+                a += r.choice(["card ", "account ", "", "", ""] if valid else ["card ", "account ", "visa ", "credit "])
+            else:
+                a += r.choice(["order ", "serial ", "ref ", "#", "hash a"] + ([] if valid else ["", "", ""]))
         elif kind == "phone":
-            body = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
-            a += r.choice(["call ", "tel ", "phone: ", ""]) if good else r.choice(["isbn ", "part x", "version ", "model ", "sku-"])
+            full = [f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", "0" + r.choice("1234567") + "".join(" " + digits(2) for _ in range(4)), f"0{r.choice('2346789')}{digits(1)} {digits(7)}", f"0{digits(3)}/{digits(6)}", f"020 {digits(4)} {digits(4)}"]
+            nine = [f"{r.choice('6789')}{digits(2)} {digits(3)} {digits(3)}", f"9{digits(2)} {digits(2)} {digits(2)} {digits(2)}"]
+            loose = r.random() < 0.3
+            body = r.choice(nine if loose else full)
+            # nine digits in groups may be any number
+            a += r.choice(hints if loose else [*hints, ""]) if good else r.choice([*against, "", ""] if loose else against)
+        elif kind == "ip":
+            body = r.choice([" dot ", "[.]", "(dot)", " [dot] ", "(.)"]).join(str(r.randint(1, 255)) for _ in range(4))
+            a += r.choice(["host ", "server ", "", ""]) if good else r.choice(["version ", "part ", "model "])
         else:
-            body = f"{word()}{r.choice(['(at)', ' (at) ', ' [at] '])}{word()}{r.choice(['.', ' [dot] ', '(dot)'])}{r.choice(['com', 'org', 'de'])}"
-            a += r.choice(["mail ", "write ", "contact ", ""])
-            good = True
+            at = r.choice(["(at)", " (at) ", " [at] "])
+            body = f"{word()}{at}{word()}{r.choice(['.', ' [dot] ', '(dot)'])}{r.choice(['com', 'org', 'de'])}"
+            if not good and r.random() < 0.5:
+                body = f"{word()}{at}{r.randint(1, 99)}.{digits(2)}"
+                a += r.choice(["mail ", "", ""])
+            else:
+                a += r.choice(["mail ", "write ", "contact ", "", "", ""]) if good else r.choice(["version ", "model ", "part "])
         out.append((i, a + body + b, int(good)))
     return out
 

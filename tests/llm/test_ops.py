@@ -212,6 +212,23 @@ def test_pii_candidates_and_redaction(spark):
     assert pii.stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
 
+def test_pii_cards_and_local_forms(spark):
+    text = {
+        "the 378282246310005 on": "the [CARD] on",
+        "the 4222222222222 on": "the [CARD] on",
+        "the 4111111111111112 on": "the 4111111111111112 on",
+        "the 378282246310006 on": "the 378282246310006 on",
+        "the order 378282246310005 on": "the order 378282246310005 on",
+        "tel 06 12 34 56 78 an": "tel [PHONE] an",
+        "tel 030 1234567 an": "tel [PHONE] an",
+        "tel 612 345 678 an": "tel [PHONE] an",
+        "the host 10 dot 1 dot 22 dot 3 on": "the host [IP] on",
+        "the er (at) 12.50 on": "the er (at) 12.50 on",
+    }
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "h", 1.0) for i, t in enumerate(text)], SCHEMA)
+    assert [r.text for r in pii.stage(spark, df, "").orderBy("doc_id").collect()] == list(text.values())
+
+
 def test_boosted_trees_as_sql(spark):
     trees, _ = pii.train(spark)
     x = np.random.RandomState(0).randint(0, 4, (50, len(pii.FEATURES))).astype(float)
