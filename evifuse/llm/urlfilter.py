@@ -1,24 +1,30 @@
 """URL filter: rules first, then host word segmentation and naive Bayes.
 
-Names such as ``cheappills`` split into words by unigram Viterbi: word counts come from the hyphenated names of all urls
-(``cheap-pills`` shows two words; an undivided name shows none) on top of the labelled names below; an unknown word pays per letter. Multinomial naive
-Bayes then scores the words of host and path as block or allow.
+Names such as ``cheappills`` split into words by unigram Viterbi. A word's probability is half its share of the words that
+hyphens set apart in all urls (``cheap-pills`` shows two words; an undivided name shows none) and half its share of the
+labelled names below, so it means the same in a table of any size; an unknown word pays per letter. Multinomial naive
+Bayes then adds up the words of host and path as block or allow.
+
+All counted words take part. Only runs of letters that hold a labelled word are split, each different run once: the
+others add nothing to a score however they split. The words of such a run come by an equi-join of its stretches with the
+counts, so neither the vocabulary nor the urls are gathered; runs and urls that fill the table meet their result by
+``join_skewed``.
 
 Defined results: a null url or one without ``://`` has empty host and path and is allowed by the method unless a rule
-fits; repeated rows judge alike; an empty table gives no rows. Very long names segment in linear time (words of at most
-``LONGEST`` letters).
+fits; rows without a page_id are judged like others; repeated rows judge alike, equal splits take the shorter last word;
+an empty table gives no rows. Names of any length segment in linear time, in stretches of ``STRETCH`` letters; a word has
+at most ``LONGEST`` letters, longer runs between hyphens are no words.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evifuse.llm.common import table
+from evifuse.llm.common import cut, join_skewed, table
 
 #: (verdict, host, path) in the order of the contract.
 RULES = [
@@ -38,9 +44,11 @@ ALLOWED_NAMES = """city-library public-school science-journal history-museum dai
 music-archive film-review book-store open-source-code software-docs math-lessons language-course health-clinic sports-club football-news
 university-research art-gallery local-government train-timetable photo-album language-wiki press-archive mail-server cloud-host
 tech-blog physics-lab bird-watching chess-club map-service data-archive law-review parent-forum school-blog news-feed video-lessons""".split()
-#: Words kept for segmentation; rarer ones count as unknown.
-VOCABULARY = 50_000
 LONGEST = 24
+#: Letters of a run that are looked up at a time.
+STRETCH = 1024
+#: Share of the labelled names in the probability of a word.
+LABELLED = 0.5
 UNKNOWN = math.log(1e-4)
 PER_LETTER = math.log(1 / 12)
 PRIOR_BLOCK = 0.35
@@ -69,19 +77,24 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 class Segmenter:
-    """Unigram Viterbi over a run of letters."""
+    """Unigram Viterbi over a run of letters: probabilities from counted words and labelled names."""
+
+    def __init__(self, labelled: list[str], total: float):
+        words = [w for n in labelled for w in n.split("-")]
+        self.labelled = {w: LABELLED * words.count(w) / len(words) for w in set(words)}
+        self.total = total
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) or 1.0
-        self.logp = {w: math.log(n / total) for w, n in counts.items()}
+    def logp(self, word: str, counted: dict[str, int]) -> float:
+        p = self.labelled.get(word, 0.0) + ((1 - LABELLED) * counted.get(word, 0) / self.total if self.total else 0.0)
+        unknown = UNKNOWN + PER_LETTER * len(word)
+        return max(math.log(p), unknown) if p else unknown
 
-    def split(self, run: str) -> list[str]:
+    def split(self, run: str, counted: dict[str, int]) -> list[str]:
         n = len(run)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
-                w = run[start:end]
-                s = best[start] + self.logp.get(w, UNKNOWN + PER_LETTER * (end - start))
+            for start in range(end - 1, max(0, end - LONGEST) - 1, -1):
+                s = best[start] + self.logp(run[start:end], counted)
                 if s > best[end]:
                     best[end], back[end] = s, start
         words, at = [], n
@@ -91,9 +104,6 @@ class Segmenter:
         return words[::-1]
 
 
-_RUN = re.compile(r"[^\W\d_]+")
-
-
 class NaiveBayes:
     """Multinomial, two classes; unseen words say nothing."""
 
@@ -107,58 +117,69 @@ class NaiveBayes:
         self.weight = {w: math.log((c[0] + alpha) / total[0]) - math.log((c[1] + alpha) / total[1]) for w, c in counts.items()}
         self.bias = math.log(prior / (1 - prior))
 
-    def score(self, words: list[str]) -> float:
-        z = self.bias + sum(self.weight.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def add(self, words: list[str]) -> float:
+        return sum(self.weight.get(w, 0.0) for w in words)
+
 
+def bayes() -> NaiveBayes:
+    return NaiveBayes([n.split("-") for n in BLOCKED_NAMES], [n.split("-") for n in ALLOWED_NAMES])
 
-class Classifier:
-    def __init__(self, counts: dict[str, float]):
-        known = dict(counts)
-        for name in BLOCKED_NAMES + ALLOWED_NAMES:
-            for w in name.split("-"):
-                known[w] = known.get(w, 0.0) + 50.0
-        self.segmenter = Segmenter(known)
-        self.bayes = NaiveBayes([n.split("-") for n in BLOCKED_NAMES], [n.split("-") for n in ALLOWED_NAMES])
-        self.hosts: dict[str, list[str]] = {}
 
-    def words(self, text: str) -> list[str]:
-        return [w for run in _RUN.findall(text.lower()) for w in self.segmenter.split(run)]
+def letter_runs(host: Column, path: Column) -> Column:
+    """Runs of letters in host and path, lower-cased, without a first label that names a service."""
+    topic = F.when(F.split(host, r"\.")[0].isin(*SERVICES), F.regexp_replace(host, r"^[^.]*\.(?=.*\.)", "")).otherwise(host)
+    return F.regexp_extract_all(F.lower(F.concat_ws("/", topic, path)), F.lit(r"\p{L}+"), 0)
 
-    def score(self, host: str, path: str) -> float:
-        own = self.hosts.get(host)
-        if own is None:
-            first, _, rest = host.partition(".")
-            own = self.words(rest if first in SERVICES and "." in rest else host)
-            if len(self.hosts) < 100_000:
-                self.hosts[host] = own
-        return self.bayes.score(own + self.words(path))
 
+def word_counts(urls: DataFrame) -> DataFrame:
+    """(w, c): how often hyphens set each word apart in ``urls(host, path, n)``."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(rf"(?<=-)\p{{L}}{{2,{LONGEST}}}(?!\p{{L}})|(?<!\p{{L}})\p{{L}}{{2,{LONGEST}}}(?=-)"), 0)
+    return urls.select(F.explode(words).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("c"))
 
-def word_counts(urls: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Counts of the words that hyphens set apart in every host and path; the most frequent ``vocabulary`` words, ties by word."""
-    words = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(?<=-)\p{L}{2,24}|\p{L}{2,24}(?=-)"), 0)).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary)
-    return {r["w"]: float(r["count"]) for r in top.collect()}
+
+def split_runs(runs: DataFrame, counts: DataFrame, labelled: list[str]) -> DataFrame:
+    """(run, words) for distinct ``runs(run)``, with ``counts(w, c)`` of all counted words."""
+    total = float(counts.agg(F.sum("c")).first()[0] or 0)
+    model = Segmenter(labelled, total)
+    # a word below the price of an unknown one never wins
+    price = UNKNOWN + F.length("w") * PER_LETTER
+    useful = counts.filter(F.log(F.col("c") * ((1 - LABELLED) / total)) > price) if total else counts
+    parts = F.transform(F.sequence(F.lit(0), F.length("run") - 1, F.lit(STRETCH)), lambda i: F.substring(F.col("run"), i + 1, F.lit(STRETCH + LONGEST - 1)))
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("part") - i + 1, F.lit(LONGEST))), lambda n: F.substring(F.col("part"), i, n))))
+    keyed = runs.select("run", F.sha2("run", 256).alias("id"))
+    found = keyed.select("id", F.explode(parts).alias("part")).select("id", F.explode(F.array_distinct(windows)).alias("w")).distinct().join(useful, "w")
+    own = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("counted"))
+
+    @F.pandas_udf("array<string>")
+    def split(runs: pd.Series, counted: pd.Series) -> pd.Series:
+        return pd.Series([model.split(r, dict(c) if c is not None else {}) for r, c in zip(runs, counted)], dtype=object)
+
+    return keyed.join(own, "id", "left").select("run", split("run", "counted").alias("words"))
 
 
 def judged(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, method_score."""
     host, path = split_url(F.col("url").cast("string"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    shared = spark.sparkContext.broadcast(word_counts(urls))
-    kept: dict = {}
-
-    @F.pandas_udf("double")
-    def block_score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        if "c" not in kept:
-            kept["c"] = Classifier(shared.value)
-        return pd.Series([kept["c"].score(h, p) for h, p in zip(hosts, paths)], dtype=float)
-
+    urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("url", F.sha2(F.concat_ws("/", "host", "path"), 256))
+    distinct = cut(urls.groupBy("host", "path").agg(F.count("*").alias("n")))
+    model, labelled = bayes(), BLOCKED_NAMES + ALLOWED_NAMES
+    holds = "|".join(sorted({w for n in labelled for w in n.split("-")}))
+    told = cut(distinct.select(F.sha2(F.concat_ws("/", "host", "path"), 256).alias("url"), "n", F.filter(letter_runs(F.col("host"), F.col("path")), lambda r: r.rlike(holds)).alias("runs")).filter(F.size("runs") > 0))
+    uses = told.select("url", F.explode("runs").alias("run"))
+    times = cut(uses.groupBy("run").agg(F.count("*").alias("n")))
+    words = split_runs(times.select("run"), word_counts(distinct), labelled)
+    weights = F.create_map(*[F.lit(x) for w in model.weight for x in (w, round(model.weight[w] * 1e9))])
+    # whole numbers add up alike in any order
+    weight = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.coalesce(F.element_at(weights, w), F.lit(0)).cast("long"))
+    weighed = cut(words.select("run", weight.alias("weight")).join(times, "run"))
+    sums = join_skewed(uses, weighed, "run", uses.count()).groupBy("url").agg(F.sum("weight").alias("z"))
+    scored = cut(told.select("url", "n").join(sums, "url"))
+    out = join_skewed(urls, scored, "url", urls.count(), "left")
+    z = F.lit(model.bias) + F.coalesce(F.col("z"), F.lit(0)) / 1e9
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     rule, verdict = rule_columns(F.col("host"), F.col("path"))
-    out = urls.withColumn("method_score", block_score("host", "path"))
-    method = F.when(F.col("method_score") >= THRESHOLD, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "method_score")
+    method = F.when(score >= THRESHOLD, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), score.alias("method_score"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

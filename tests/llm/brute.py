@@ -120,6 +120,49 @@ def vectors(rows, threshold=0.93):
     return out
 
 
+def url_scores(urls, ids):
+    """Method scores: words between hyphens are counted over all rows, every way to split a run is tried."""
+    import functools
+    import math
+
+    from evifuse.llm import urlfilter as u
+
+    names = u.BLOCKED_NAMES + u.ALLOWED_NAMES
+    named = [w for n in names for w in n.split("-")]
+    counted = {}
+    for host, path in urls:
+        for w in re.findall(r"(?<=-)[a-z]{2,24}(?![a-z])|(?<![a-z])[a-z]{2,24}(?=-)", f"{host}/{path}"):
+            counted[w] = counted.get(w, 0) + 1
+    total = sum(counted.values())
+
+    def price(w):
+        p = 0.5 * named.count(w) / len(named) + (0.5 * counted.get(w, 0) / total if total else 0)
+        return max(math.log(p) if p else -math.inf, math.log(1e-4) - len(w) * math.log(12))
+
+    @functools.cache
+    def best(run):
+        """(score, words) of the likeliest split; of equal ones the shorter last word."""
+        if not run:
+            return 0.0, ()
+        tried = []
+        for n in range(1, min(24, len(run)) + 1):
+            s, words = best(run[:-n])
+            tried.append((s + price(run[-n:]), -n, (*words, run[-n:])))
+        s, _, words = max(tried)
+        return s, words
+
+    sides = [[w for n in side for w in n.split("-")] for side in (u.BLOCKED_NAMES, u.ALLOWED_NAMES)]
+    every = set(named)
+    weight = {w: math.log((sides[0].count(w) + 0.3) / (len(sides[0]) + 0.3 * (len(every) + 1))) - math.log((sides[1].count(w) + 0.3) / (len(sides[1]) + 0.3 * (len(every) + 1))) for w in every}
+    out = {}
+    for i, (host, path) in zip(ids, urls):
+        first, _, rest = host.partition(".")
+        topic = rest if first in u.SERVICES and "." in rest else host
+        z = math.log(u.PRIOR_BLOCK / (1 - u.PRIOR_BLOCK)) + sum(weight.get(w, 0.0) for run in re.findall("[a-z]+", f"{topic}/{path}".lower()) for w in best(run)[1])
+        out[i] = 1 / (1 + math.exp(-z))
+    return out
+
+
 def edit_distance(item, text):
     """Smallest distance of the item to any substring."""
     row = [0] * (len(text) + 1)

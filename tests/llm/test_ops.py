@@ -322,9 +322,30 @@ def test_url_filter(spark, tmp_path):
     assert got[7][3] == got[8][3] == "block" and got[9][3] == "allow" and got[11][:2] == ("h", "")
 
 
-def test_segmentation():
-    c = urlfilter.Classifier({})
-    assert c.words("cheappillscasino") == ["cheap", "pills", "casino"] and c.words("") == []
+def test_segmentation(spark):
+    model = urlfilter.Segmenter(urlfilter.BLOCKED_NAMES + urlfilter.ALLOWED_NAMES, 0.0)
+    assert model.split("cheappillscasino", {}) == ["cheap", "pills", "casino"] and model.split("", {}) == []
+    # shares do not depend on the size of the table
+    for n in (1, 10**12):
+        assert urlfilter.Segmenter(urlfilter.BLOCKED_NAMES, 1000 * n).split("betwin", {"bet": n, "the": 999 * n}) == ["bet", "win"]
+    long = "cheappills" * 700 + "q" * 50
+    got = urlfilter.split_runs(spark.createDataFrame([(long,), ("a",)], "run string"), spark.createDataFrame([("q" * 9, 4)], "w string, c long"), urlfilter.BLOCKED_NAMES)
+    assert {r.run: r.words for r in got.collect()} == {r: urlfilter.Segmenter(urlfilter.BLOCKED_NAMES, 4).split(r, {"q" * 9: 4}) for r in (long, "a")}
+
+
+def test_url_filter_equals_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    words = "cheap pills casino win city library news free blog x ads the er on te zz".split()
+    name = lambda k: r.choice(["", "-", "."]).join(r.choice(words) for _ in range(k))
+    urls = [f"http://{r.choice(['', 'www.', 'blog.'])}{name(r.randint(1, 3))}.{r.choice(['org', 'info'])}/{name(r.randint(0, 2))}/{name(1)}" for _ in range(150)]
+    urls += urls[:40] + ["http://www.com/", None]
+    spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)], "page_id long, url string, host string, runs string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.host, x.path, x.method_score) for x in urlfilter.judged(spark, pages).collect()}
+    want = brute.url_scores([(x[0], x[1]) for x in got.values()], list(got))
+    assert len(got) == len(urls) and len({round(x[2], 6) for x in got.values()}) > 20
+    assert all(abs(got[i][2] - want[i]) < 1e-6 for i in got)
+    assert urlfilter.judged(spark, pages.limit(0)).count() == 0
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
