@@ -163,12 +163,13 @@ def url_scores(urls, ids):
     return out
 
 
-def edit_distance(item, text):
-    """Smallest distance of the item to any substring."""
-    row = [0] * (len(text) + 1)
+def best_match(item, text):
+    """(smallest distance of the item to any substring, last start of the substring with the first end)."""
+    row = [(0, -j) for j in range(len(text) + 1)]
     for i, c in enumerate(item, 1):
-        new = [i]
+        new = [(i, 0)]
         for j, d in enumerate(text, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            new.append(min((row[j - 1][0] + (c != d), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
         row = new
-    return min(row)
+    d, start = min(row, key=lambda x: x[0])
+    return d, -start

@@ -383,29 +383,33 @@ def test_vectors_of_one_dense_group(spark):
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(6)
     text = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
-    items = [(i, text(60 + i)) for i in range(8)] + [(8, None), (9, "short"), (10, "")]
-    rows = [(100, None), (101, ""), (102, text(300))]
-    for k in range(40):
+    items = [(i, text(60 + i)) for i in range(8)] + [(8, None), (9, "short"), (10, ""), (11, "nineteen characters"), (12, "short"), (13, " \n")]
+    rows = [(100, None), (101, ""), (102, text(300)), (103, "too short, here"), (104, "shorten"), (None, "so short"), (105, "Nineteen\nchraracters")]
+    for k in range(60):
         i = r.randrange(8)
         body = list(items[i][1])
-        for _ in range(r.randint(0, 6)):
+        for _ in range(r.randint(0, 9)):
             p = r.randrange(len(body))
             body[p : p + 1] = r.choice([[], [r.choice("xyz")], [body[p], "q"]])
         rows.append((k, text(r.randint(0, 80)) + " ".join("".join(body).split(" ")) + text(r.randint(0, 80))))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += rows[-3:]
+    docs = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, matches string, m int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.with_matches(spark, docs, bench).select("doc_id", F.explode("__matches").alias("m")).collect()
-    got = {(x.doc_id, x.m.item_id): x.m.distance for x in out}
-    want = {}
+    want = set()
     for d, t in rows:
         for i, item in items:
             item, body = decontaminate.normalise(item or ""), decontaminate.normalise(t or "")
-            if len(item) >= decontaminate.MIN_CHARS:
-                n = brute.edit_distance(item, body)
-                if n <= int(len(item) * decontaminate.ERROR_RATE):
-                    want[(d, i)] = n
-    assert got == want and len(got) > 10
-    assert decontaminate.with_matches(spark, docs, bench.limit(0)).filter(F.size("__matches") > 0).count() == 0
+            got = brute.best_match(item, body) if item else None
+            if got and got[0] <= int(len(item) * decontaminate.ERROR_RATE):
+                if len(item) >= 10 or (d, body) in {(103, "too short, here"), (None, "so short")}:
+                    want.add((d, i, *got))
+    for more in ({}, {"block_chars": 150}):
+        out = decontaminate.with_matches(spark, docs, bench, **more)
+        assert out.count() == len(rows)
+        got = [(x.doc_id, x.m.item_id, x.m.distance, x.m.start) for x in out.select("row.doc_id", F.explode("matches").alias("m")).collect()]
+        assert set(got) == want and len(got) > len(want) > 30
+    assert {x[2] for x in want} >= {0, 1, 2, 3, 4, 5}
+    assert decontaminate.with_matches(spark, docs, bench.limit(0)).filter(F.size("matches") > 0).count() == 0
 
 
 # --- pipeline and guard ----------------------------------------------------------------------------------------------
