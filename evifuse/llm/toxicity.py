@@ -1,21 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer rewrites the words of a clause as weighted symbols: insult (word patterns induced from labelled
-rows), threat, target, negation and reported speech (short closed lists). The symbol string then runs through a clause
-automaton whose states remember a negation in force, reported speech and an addressed target; its arcs scale the insult
-weight. The clause scores, not isolated words, make the features that a logistic output calibrates.
+Five transducers read the words of a clause. The lexical one rewrites words as symbols: insult (word stems induced from
+labelled rows, each with its weight), threat, target, negation and reported speech (short closed lists). The others copy
+symbols and mark what they govern: negation the next words, reported speech the rest of the clause, a target the insults
+after it, and a threat becomes a menace once it meets a target. Each arc has a weight; composing the four gives one
+deterministic transducer over symbols, in which weights along a path multiply and the marked insults and menaces of a
+clause add up. Clause scores, not isolated words, make the features that a logistic output calibrates.
 
-Everything learned comes from a bounded sample of labelled rows (``TRAIN_ROWS``). The induced lexicon has at most
-``PATTERNS`` entries, so the broadcast is bounded.
+Everything learned comes from a bounded sample of labelled rows (``TRAIN_ROWS``), so the lexicon is bounded as well. A
+word is known by its first ``STEM`` letters.
 
 Defined results: null, empty or wordless text gets the score of a text without a match; rows whose id is null are scored
 and count as not held out; several labels of one document count as toxic if any is; with no toxic training row no word
-is an insult; repeated rows score alike.
+is an insult; repeated rows score alike; other columns of any name play no part; a text of any length is one row of work,
+linear in its length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,17 +28,19 @@ from pyspark.sql import functions as F
 
 from evifuse.llm.common import bounded_sample, crc_mod, cut, table
 
-#: Most labelled rows that are used, and most patterns kept.
+#: Most labelled rows that are used.
 TRAIN_ROWS = 8_000
-PATTERNS = 400
-CANDIDATES = 20_000
-LONGEST = 16
+#: Letters by which a word is known.
+STEM = 16
 THRESHOLD = 0.7
 
 TARGET = set("you your he him she her they them ye du dich dir ihr euch sie tu te toi vous il elle ils tú usted ustedes ellos ella él vosotros".split())
 NEGATION = set("not no never isn't aren't nor nicht kein keine keinen nie niemals pas jamais aucun nunca jamás ningún tampoco".split())
 REPORTED = set("said says called claimed reported quoted sagte sagt nannte behauptete dit disait appelé déclaré dijo dice llamó afirmó".split())
 THREAT = set("kill hurt destroy beat stab shoot hang umbringen töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
+#: Words that a negation governs, and the weights of the arcs.
+SCOPE = 3
+NEGATED, QUOTED, AIMED, MENACE = 0.5, 0.7, 1.2, 0.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -44,60 +50,123 @@ def class_of(word: str) -> str:
     return "N" if word in NEGATION else "T" if word in TARGET else "R" if word in REPORTED else "H" if word in THREAT else "O"
 
 
-def clause_score(symbols: list[tuple[str, float]]) -> float:
-    """Run the clause automaton. State: words that a negation still governs, reported speech, target seen."""
-    total, negated, reported, target, threat = 0.0, 0, False, False, False
-    for symbol, weight in symbols:
-        if symbol == "N":
-            negated = 3
-            continue
-        if symbol == "R":
-            reported = True
-        elif symbol == "T":
-            target = True
-        elif symbol == "H":
-            threat = True
-        elif symbol == "I":
-            total += weight * (0.5 if negated else 1.0) * (0.7 if reported else 1.0) * (1.2 if target else 1.0)
-        if threat and target and symbol in "HT":
-            total += 0.0 if negated else 0.5
-            threat = False
-        negated = max(0, negated - 1)
-    return total
-
-
-def induce(sample: DataFrame, most: int = PATTERNS, precision: float = 0.75, evidence: float = 14.0) -> dict[str, float]:
-    """Word prefixes (a whole word is one too) that tell toxic rows apart, with log-odds weights.
-
-    Rows are counted per prefix in Spark; only prefixes found mostly in toxic rows come to the driver, ``CANDIDATES`` at
-    most. ``evidence`` is the divergence from the toxic share, in nats over all rows, that chance must not reach.
+class Transducer:
+    """Deterministic weighted transducer: ``arcs[state, symbol] = (next state, output symbol, weight)``."""
+
+    def __init__(self, start, symbols: set[str], rule: Callable):
+        self.start, self.symbols, self.arcs = start, symbols, {}
+        new = [start]
+        while new:
+            state = new.pop()
+            for x in sorted(symbols):
+                arc = rule(state, x)
+                self.arcs[state, x] = arc
+                if (arc[0], x) not in self.arcs and arc[0] not in new and arc[0] != state:
+                    new.append(arc[0])
+
+    def outputs(self) -> set[str]:
+        return {out for _, out, _ in self.arcs.values()}
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes; weights multiply."""
+
+        def rule(state, x):
+            a, mid, u = self.arcs[state[0], x]
+            b, out, v = other.arcs[state[1], mid]
+            return (a, b), out, u * v
+
+        return Transducer((self.start, other.start), self.symbols, rule)
+
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """Output symbols with their weights."""
+        state, out = self.start, []
+        for x in symbols:
+            state, y, w = self.arcs[state, x]
+            out.append((y, w))
+        return out
+
+
+def negation(symbols: set[str]) -> Transducer:
+    """The next ``SCOPE`` words after a negation: insults weigh less, threats are none."""
+
+    def rule(left, x):
+        if x == "N":
+            return SCOPE, x, 1.0
+        if not left:
+            return 0, x, 1.0
+        return left - 1, "O" if x == "H" else x, NEGATED if x == "I" else 1.0
+
+    return Transducer(0, symbols, rule)
+
+
+def reported(symbols: set[str]) -> Transducer:
+    """Insults after a verb of speaking weigh less."""
+    return Transducer(False, symbols, lambda quoted, x: (quoted or x == "R", x, QUOTED if quoted and x == "I" else 1.0))
+
+
+def target(symbols: set[str]) -> Transducer:
+    """Insults after a target weigh more; a threat after one is a menace."""
+    return Transducer(False, symbols, lambda aimed, x: (aimed or x == "T", "M" if aimed and x == "H" else x, AIMED if aimed and x == "I" else 1.0))
+
+
+def threat(symbols: set[str]) -> Transducer:
+    """A target after a threat is a menace; each menace has its weight."""
+
+    def rule(open_, x):
+        if x == "M" or x == "T" and open_:
+            return False, "M", MENACE
+        return open_ or x == "H", x, 1.0
+
+    return Transducer(False, symbols, rule)
+
+
+def grammar() -> Transducer:
+    """Negation, then reported speech, then target, then threat, over the symbols of the lexical transducer."""
+    whole = negation({"I", "H", "T", "N", "R", "O"})
+    for part in (reported, target, threat):
+        whole = whole.then(part(whole.outputs()))
+    return whole
+
+
+def clause_score(symbols: list[tuple[str, float]], fst: Transducer) -> float:
+    """Sum of the marked insults (lexical weight times arc weights) and menaces of a clause."""
+    return sum((w * u if y == "I" else u) for (_, w), (y, u) in zip(symbols, fst.run([x for x, _ in symbols])) if y in "IM")
+
+
+def induce(sample: DataFrame, precision: float = 0.75, evidence: float = 12.0) -> dict[str, float]:
+    """Word stems (a whole word is one too) that tell toxic rows apart, with log-odds weights.
+
+    Rows are counted per stem in Spark; only stems with ``evidence`` come to the driver: their divergence from the toxic
+    share, in nats over all rows, that chance must not reach. The sample is bounded, so these are too.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), 0))
-    prefixes = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(3), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n)))))
-    counts = sample.select("toxic", F.explode(prefixes).alias("p")).groupBy("p").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    mostly = counts.filter((F.col("pos") >= 4) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg"))))
-    good = {r["p"]: (r["pos"], r["neg"]) for r in mostly.orderBy(F.desc("pos"), "p").limit(CANDIDATES).collect()}
     n_pos, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_neg = n - n_pos
-    share = n_pos / n if n else 0.0
-    # of prefixes with the same rows the longest says most
-    for p in [p for p in good if good.get(p[:-1]) == good[p]]:
-        good.pop(p[:-1], None)
+    if not n_pos or not n_neg:
+        return {}
+    share = n_pos / n
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"\p{{L}}{{3,{STEM}}}"), 0))
+    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
+    counts = sample.select("toxic", F.explode(stems).alias("p")).groupBy("p").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    pos, neg, q = F.col("pos"), F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
+    told = pos * F.log(q / share) + F.when(neg > 0, neg * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    good = {r["p"]: (r["pos"], r["neg"]) for r in counts.filter((pos >= 4) & (q >= precision) & (q > share) & (told >= evidence)).collect()}
+    # of stems with the same rows the longest says most
+    for p in sorted(good):
+        if good.get(p[:-1]) == good[p]:
+            good.pop(p[:-1])
     chosen: dict[str, float] = {}
     for p in sorted(good, key=lambda p: (-(good[p][0] - 3 * good[p][1]), len(p), p)):
-        pos, neg = good[p]
-        if len(chosen) == most:
-            break
-        q = pos / (pos + neg)
-        told = (pos * np.log(q / share) + (neg * np.log((1 - q) / (1 - share)) if neg else 0.0)) if 0 < share < q else 0.0
-        if told >= evidence and not any(p.startswith(c) for c in chosen):
+        if not any(p[:k] in chosen for k in range(3, len(p))):
+            pos, neg = good[p]
             chosen[p] = float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
     return chosen
 
 
 class Grammar:
+    """The lexical transducer over a lexicon, followed by ``grammar()``."""
+
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+        self.lexicon, self.fst = lexicon, grammar()
         stems = sorted(lexicon, key=len, reverse=True) + sorted(THREAT)
         self.hit = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, stems)) + ")")
         self.cache: dict[str, tuple[str, float]] = {}
@@ -122,7 +191,7 @@ class Grammar:
             if self.hit.search(clause):
                 ws = _WORD.findall(clause)
                 symbols = [self.symbol(w) for w in ws]
-                score = clause_score(symbols)
+                score = clause_score(symbols, self.fst)
                 if score > 0:
                     total, clauses = total + score, clauses + 1
                     words.update(w for w, (s, _) in zip(ws, symbols) if s == "I")

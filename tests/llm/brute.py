@@ -163,6 +163,62 @@ def url_scores(urls, ids):
     return out
 
 
+def stems(rows, precision=0.75, evidence=12.0):
+    """Toxic word stems of (text, toxic), equal texts once, with their log-odds."""
+    import math
+
+    once = {}
+    for t, y in rows:
+        once[t] = max(once.get(t, 0), y)
+    n_pos, n = sum(once.values()), len(once)
+    counts = {}
+    for t, y in once.items():
+        for p in {w[:k] for w in re.findall(r"[^\W\d_]{3,16}", (t or "").lower()) for k in range(3, len(w) + 1)}:
+            counts.setdefault(p, [0, 0])[1 - y] += 1
+    good = {}
+    for p, (a, b) in counts.items():
+        q, share = a / (a + b), n_pos / n
+        if a >= 4 and q >= precision and q > share and a * math.log(q / share) + (b * math.log((1 - q) / (1 - share)) if b else 0) >= evidence:
+            good[p] = (a, b)
+    longest = {p for p in good if not any(len(x) == len(p) + 1 and x.startswith(p) and good[x] == good[p] for x in good)}
+    out = {}
+    for p in sorted(longest, key=lambda p: (-(good[p][0] - 3 * good[p][1]), len(p), p)):
+        if not any(p.startswith(c) for c in out):
+            out[p] = math.log((good[p][0] + 0.5) / (n_pos + 1)) - math.log((good[p][1] + 0.5) / (n - n_pos + 1))
+    return out
+
+
+def toxic_score(text, lexicon, weights):
+    """Clause by clause, word by word: what is in force when an insult comes."""
+    import math
+
+    from evifuse.llm import toxicity as x
+
+    total, clauses, different = 0.0, 0, set()
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        negated = quoted = aimed = menaced = 0
+        score, insults = 0.0, set()
+        for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
+            insult = max((v for p, v in lexicon.items() if w.startswith(p)), default=0.0)
+            if insult:
+                score += insult * (0.5 if negated else 1) * (0.7 if quoted else 1) * (1.2 if aimed else 1)
+                insults.add(w)
+            elif w in x.NEGATION:
+                negated = 4
+            elif w in x.TARGET:
+                score, aimed, menaced = score + 0.5 * menaced, 1, 0
+            elif w in x.REPORTED:
+                quoted = 1
+            elif w in x.THREAT and not negated:
+                score, menaced = (score + 0.5, 0) if aimed else (score, 1)
+            negated = max(0, negated - 1)
+        if score > 0:
+            total, clauses = total + score, clauses + 1
+            different |= insults
+    z = weights[0] * math.log1p(total) + weights[1] * math.log1p(clauses) + weights[2] * math.log1p(len(different)) + weights[3]
+    return 1 / (1 + math.exp(-z))
+
+
 def best_match(item, text):
     """(smallest distance of the item to any substring, last start of the substring with the first end)."""
     row = [(0, -j) for j in range(len(text) + 1)]

@@ -293,15 +293,56 @@ def test_toxicity_held_out(spark):
     got = [r for r in toxicity.op1_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
     hit = sum(r.predicted and labels[r.doc_id] for r in got)
     assert all(0 <= r.score <= 1 for r in got)
-    assert hit >= 0.9 * sum(r.predicted for r in got) and hit >= 0.75 * sum(labels[r.doc_id] for r in got)
-
-
-def test_clause_automaton():
-    score = toxicity.clause_score
-    insult = ("I", 2.0)
-    assert score([insult]) == 2.0 and score([("T", 0), insult]) > 2.0
-    assert score([("N", 0), insult]) < 2.0 and score([("R", 0), insult]) < 2.0
-    assert score([("T", 0), ("H", 0)]) > 0 and score([("N", 0), ("T", 0), ("H", 0)]) == 0 and score([("O", 0)] * 4) == 0
+    assert hit >= 0.9 * sum(r.predicted for r in got) and hit >= 0.85 * sum(labels[r.doc_id] for r in got)
+
+
+def test_clause_transducer():
+    fst = toxicity.grammar()
+    score = lambda *c: toxicity.clause_score(list(c), fst)
+    insult, no, you, said, kill, word = ("I", 2.0), ("N", 0), ("T", 0), ("R", 0), ("H", 0), ("O", 0)
+    assert score(insult) == 2.0 and score(you, insult) == 2.4 and score(insult, you) == 2.0
+    assert score(no, insult) == 1.0 and score(no, word, word, word, insult) == 2.0 and score(said, insult) == 1.4
+    assert score(you, kill) == score(kill, you) == 0.5 and score(no, you, kill) == 0 and score(kill) == score(*[word] * 4) == 0
+
+
+def test_composition_equals_one_after_the_other():
+    parts = [toxicity.negation({"I", "H", "T", "N", "R", "O"})]
+    for make in (toxicity.reported, toxicity.target, toxicity.threat):
+        parts.append(make(parts[-1].outputs()))
+    whole, r = toxicity.grammar(), random.Random(1)
+    for _ in range(300):
+        symbols = [r.choice("IHTNRO") for _ in range(r.randint(0, 9))]
+        at, weights = symbols, np.ones(len(symbols))
+        for p in parts:
+            got = p.run(at)
+            at, weights = [y for y, _ in got], weights * [w for _, w in got]
+        assert [y for y, _ in whole.run(symbols)] == at and np.allclose([w for _, w in whole.run(symbols)], weights)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Stems and scores against counts in plain Python, on rows with awkward cases."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["an", "er", "on", "ti"]) for _ in range(r.randint(1, 4)))
+    rows = []
+    for i in range(240):
+        toxic = i % 4 == 0
+        words = [word() for _ in range(r.randint(1, 30))]
+        if toxic:
+            words.insert(r.randrange(len(words)), r.choice(["blarg", "blargs", "zonk"]))
+        rows.append((i, " ".join(words) + r.choice([".", "! You", "\n"]), int(toxic)))
+    rows += [(300, None, 1), (301, "", 0), (302, "blarg " * 20_000, 1), (303, "z" * 50_000, 0)]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t, _ in rows] + rows_without_id(), "doc_id long, text string, toxic string, a int")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(i, 1, 0) for i, _, _ in rows[:30]] + [(None, None, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    lexicon, weights = toxicity.fit(sample)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    assert lexicon == pytest.approx(brute.stems([(t, y) for i, t, y in rows if not held(i)])) and set(lexicon) == {"blarg", "zonk"}
+    got = docs.select("doc_id", "text", toxicity.scorer(spark, lexicon, weights)("text").alias("s")).collect()
+    assert len(got) == len(rows) + 2 and all(x.s == pytest.approx(brute.toxic_score(x.text, lexicon, weights)) for x in got)
+
+
+def rows_without_id():
+    return [(None, "you blarg", "x", 0), (None, None, None, None)]
 
 
 def test_toxicity_edges(spark, docs):
