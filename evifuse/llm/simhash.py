@@ -11,8 +11,9 @@ bits just if some value lies within 1 bit of both, so each member lists itself a
 key, and members that list the same value (65 at most) are linked to the smallest of them.
 
 Defined results: null or wordless text has fingerprint 0 and links like any other; texts with fewer words than a shingle
-hash their whole word sequence; repeated rows share a component; an empty table gives no rows; rows without an id keep
-their fingerprint and get their group's component.
+hash their whole word sequence; a text of any length is hashed whole, in pieces; repeated rows share a component; an
+empty table gives no rows; rows without an id keep their fingerprint and get their group's component (null if no member
+has an id); other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evifuse.llm.common import connected_components, cut, table
+from evifuse.llm.common import boxed, connected_components, cut, join_skewed, table, unboxed
 
 SEGMENTS = 5
 BUDGET = 2
 #: Larger buckets use the neighbour listing instead of pairs.
 BUCKET = 64
-HOT = 1000
 _EDGES = [round(64 * i / SEGMENTS) for i in range(SEGMENTS + 1)]
 _MASKS = [((1 << _EDGES[i + 1]) - 1) ^ ((1 << _EDGES[i]) - 1) for i in range(SEGMENTS)]
 #: The longest chain whose share of the budget is under one bit.
@@ -141,11 +141,7 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     low = groups.join(joined, groups["fp"] == joined["node"]).groupBy("component").agg(F.min("first").alias("low"))
     of = joined.join(low, "component").select(F.col("node").alias("fp"), "low")
     named = cut(groups.join(of, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")))
-    # a fingerprint with over a 1/HOT of all rows is one of HOT at most: those are broadcast, the rest join by shuffle
-    hot = F.broadcast(named.filter(F.col("n") * HOT > fps.count()).select("fp", "component_id"))
-    few = fps.join(hot, "fp").select("doc_id", "fp", "component_id")
-    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named, "fp", "left").select("doc_id", "fp", "component_id")
-    return few.union(rest)
+    return join_skewed(fps, named, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,9 +149,15 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Only ids travel to the join; rows that repeat an id stay once; rows without an id stay."""
-    drop = components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    """One document of each group stays: the one with the smallest id.
+
+    Rows that repeat an id count once, with the least of their texts; rows without an id stay. Fingerprints and groups
+    carry ids only; the last join moves each text once.
+    """
     once = docs
     if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null"))
+        first = boxed(docs.filter("doc_id is not null"), doc_id=F.col("doc_id"), order=F.struct(F.col("text"), F.to_json(F.struct("*"))))
+        first = first.groupBy("doc_id").agg(F.min_by("row", "order").alias("row"))
+        once = unboxed(first, docs.columns).union(docs.filter("doc_id is null"))
+    drop = components(once).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return once.join(drop, "doc_id", "left_anti").select(*docs.columns)
