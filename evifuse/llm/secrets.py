@@ -7,7 +7,9 @@ that a seeded generator writes out, calibrated on a held-out part, and its thres
 required recall there.
 
 Defined results: null or empty text has no span; a span is (kind, start, end) in code points, end exclusive; of an
-added token only what lies outside base spans is added; repeated rows scan alike; an empty table gives no rows.
+added token only what lies outside base spans is added; of equally likely candidates the first stays; repeated rows and
+rows without an id scan alike; texts and candidates of any length are read whole; other columns of any name play no part;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,19 +82,30 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
                 a, j = max(a, assigned[j][1]), j + 1
             if _mixed(text[a : m.end()]):
                 found.add((a, 1 if text[a : m.end()].isupper() else 0, m.end()))
-    return [(a, k, b) for a, k, b in sorted(found) if outside(a, b, base)]
+    covered = union(base)
+    return [(a, k, b) for a, k, b in sorted(found) if outside(a, b, covered)]
 
 
-def outside(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """What sorted base spans leave of a span."""
-    out = []
-    for a, _, b in base:
-        if a >= end:
-            break
-        if b > start:
-            if a > start:
-                out.append((start, a))
-            start = max(start, b)
+def union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The places that sorted spans cover, as separate stretches in order."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What covered stretches leave of a span."""
+    out, i = [], bisect.bisect_right(covered, (start, 0))
+    if i and covered[i - 1][1] > start:
+        start = covered[i - 1][1]
+    while i < len(covered) and covered[i][0] < end:
+        if covered[i][0] > start:
+            out.append((start, covered[i][0]))
+        start, i = max(start, covered[i][1]), i + 1
     return out + [(start, end)] if start < end else out
 
 
@@ -112,7 +125,8 @@ def chosen(scored: list[tuple[float, tuple[int, int, int]]], base: list[tuple[in
         if (i == 0 or kept[i - 1][2] <= a) and (i == len(kept) or kept[i][0] >= b):
             kept.insert(i, (a, k, b))
             starts.insert(i, a)
-    return [(x, k, y) for a, k, b in kept for x, y in outside(a, b, base)]
+    covered = union(base)
+    return [(x, k, y) for a, k, b in kept for x, y in outside(a, b, covered)]
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
