@@ -4,13 +4,15 @@ Regular expressions run inside the JVM; places come from the lengths of what lie
 possessive where no other split can match, so long runs neither recurse nor rescan. High-recall generators then propose
 overlapping candidates (other numbers of card length, local phone numbers, spelled-out addresses); a
 small gradient-boosted tree ensemble scores each from format and context features, written out as one SQL expression,
-and a calibrated threshold per kind selects. Candidates that overlap a base span or an accepted one are dropped.
+its margins are calibrated to probabilities, and a threshold per kind selects. Candidates that overlap a base span or an accepted one are dropped.
 
 The trees are trained on labelled candidates that a seeded generator writes (``TRAIN_ROWS``); their features come from
 the same columns that score documents.
 
 Defined results: null or empty text has no span; spans are (kind, start, end) in code points, end exclusive; base spans of
-different kinds may overlap and all count; repeated rows scan alike; an empty table gives no rows.
+different kinds may overlap and all count; of overlapping candidates the first by kind, then start, stays; repeated rows
+and rows without an id scan alike; texts of any length are read whole; other columns of any name stay; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evifuse.llm.common import table
+from evifuse.llm.common import boxed, table, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -114,13 +116,13 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.filter(spans, lambda s: s["k"] == kind)
 
 
-def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``__found`` (all pattern matches by kind) and ``__base`` (those that pass) as structs of arrays."""
-    t = F.col(text)
+def with_base(rows: DataFrame) -> DataFrame:
+    """Adds to ``rows(t, ...)`` the columns ``found`` (all pattern matches by kind) and ``base`` (those that pass) as structs of arrays."""
+    t = F.col("t")
     found = [_guarded(t, GUARDS[k], _located(t, PATTERNS[k], i)).alias(k) for i, k in enumerate(KINDS)]
-    out = docs.withColumn("__found", F.struct(*found))
-    base = [_passing(F.col("__found")[k], k).alias(k) for k in KINDS]
-    return out.withColumn("__base", F.struct(*base))
+    out = rows.withColumn("found", F.struct(*found))
+    base = [_passing(F.col("found")[k], k).alias(k) for k in KINDS]
+    return out.withColumn("base", F.struct(*base))
 
 
 def _overlaps(a: Column, spans: Column) -> Column:
@@ -149,13 +151,13 @@ def candidate_features(text: Column, s: Column) -> dict[str, Column]:
     }
 
 
-def with_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``__wide``: proposed spans that overlap no base span."""
-    t, base = F.col(text), F.concat(*[F.col("__base")[k] for k in KINDS])
-    long_number = F.filter(F.col("__found")["card"], lambda s: F.length(_digits(s["m"])).between(13, 19))
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """Adds ``wide``: proposed spans that overlap no base span."""
+    t, base = F.col("t"), F.concat(*[F.col("base")[k] for k in KINDS])
+    long_number = F.filter(F.col("found")["card"], lambda s: F.length(_digits(s["m"])).between(13, 19))
     wide = F.concat(long_number, *[_guarded(t, WIDE_GUARDS[k], _located(t, WIDE[k], KINDS.index(k))) for k in WIDE])
-    out = docs.withColumn("__all", base).withColumn("__wide", wide)
-    return out.withColumn("__wide", F.when(F.size("__wide") > 0, F.filter("__wide", lambda s: ~_overlaps(s, F.col("__all")))).otherwise(F.col("__wide")))
+    out = rows.withColumn("all", base).withColumn("wide", wide)
+    return out.withColumn("wide", F.when(F.size("wide") > 0, F.filter("wide", lambda s: ~_overlaps(s, F.col("all")))).otherwise(F.col("wide")))
 
 
 # --- boosted trees ---------------------------------------------------------------------------------------------------
@@ -284,19 +286,32 @@ def _paths(node, path=()):
         yield from _paths(node[3], (*path, (node[0], node[1], False)))
 
 
+def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Scale and shift that turn margins into probabilities, by Newton's method."""
+    a, w = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0])
+    keep = np.diag([1e-2, 1e-2])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w -= np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + keep, a.T @ (p - y) + keep @ (w - [1.0, 0.0]))
+    return float(w[0]), float(w[1])
+
+
 def train(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[BoostedTrees, dict[int, float]]:
-    """Trees and the margin that each kind's candidates must reach."""
-    made = spark.createDataFrame(labelled_texts(rows), "id int, text string, y int")
-    spans = with_candidates(with_base(made, "text"), "text").select("id", "text", "y", F.explode("__wide").alias("s"))
-    feats = candidate_features(F.col("text"), F.col("s"))
+    """Trees and the margin that each kind's candidates must reach: a calibrated probability of a half at least, and more where ``REQUIRED_RECALL`` is kept."""
+    made = spark.createDataFrame(labelled_texts(rows), "id int, t string, y int")
+    spans = with_candidates(with_base(made)).select("id", "t", "y", F.explode("wide").alias("s"))
+    feats = candidate_features(F.col("t"), F.col("s"))
     got = spans.select("id", "y", *[feats[n].alias(n) for n in FEATURES]).orderBy("id").collect()
     x, y = np.array([[r[n] for n in FEATURES] for r in got], float), np.array([r["y"] for r in got], float)
     cal = np.array([r["id"] % 4 == 3 or r["id"] % 4 == 0 and r["id"] % 8 == 0 for r in got])
     trees = BoostedTrees().fit(x[~cal], y[~cal])
     z, limits = trees.margin(x[cal]), {}
     for k in range(len(KINDS)):
-        own = np.sort(z[(x[cal][:, 0] == k) & (y[cal] == 1)])
-        limits[k] = max(0.0, float(own[int((1 - REQUIRED_RECALL) * len(own))])) - 1e-9 if len(own) else 0.0
+        of = x[cal][:, 0] == k
+        own = np.sort(z[of & (y[cal] == 1)])
+        scale, shift = platt(z[of], y[cal][of])
+        even = -shift / scale if scale > 0 else np.inf
+        limits[k] = float(max(even, own[int((1 - REQUIRED_RECALL) * len(own))] if len(own) else even)) - 1e-9
     return trees, limits
 
 
@@ -304,25 +319,24 @@ def train(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[BoostedTrees, di
 
 
 def with_spans(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``__t`` (null text is empty), ``__base`` and ``__spans`` (structs of arrays by kind)."""
+    """(row, t, base, spans): every row of ``docs`` as a struct, its text (null is empty), and structs of arrays by kind."""
     trees, limits = train(spark)
-    df = with_candidates(with_base(docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))), "__t"), "__t")
-    limit = F.lit(0.0)
-    feature_struct = lambda s: F.struct(*[c.alias(n) for n, c in candidate_features(F.col("__t"), s).items()])
+    df = with_candidates(with_base(boxed(docs, t=F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    feature_struct = lambda s: F.struct(*[c.alias(n) for n, c in candidate_features(F.col("t"), s).items()])
 
     def accept(s):
-        need = limit
+        need = F.lit(float("inf"))
         for k, v in limits.items():
             need = F.when(s["k"] == k, v).otherwise(need)
         return _let(feature_struct(s), lambda f: trees.column({n: f[n] for n in FEATURES})) >= need
 
-    good = F.when(F.size("__wide") > 0, F.filter("__wide", accept)).otherwise(F.col("__wide"))
-    df = df.withColumn("__good", good)
+    good = F.when(F.size("wide") > 0, F.filter("wide", accept)).otherwise(F.col("wide"))
+    df = df.withColumn("good", good)
     # of overlapping accepted candidates the first by kind order, then start, stays
-    clear = F.filter("__good", lambda s, i: ~_overlaps(s, F.slice(F.col("__good"), F.lit(1), i)))
-    df = df.withColumn("__good", F.when(F.size("__good") > 1, clear).otherwise(F.col("__good")))
-    spans = [F.array_sort(F.concat(F.col("__base")[k], _of_kind(F.col("__good"), i)), lambda x, y: x["a"] - y["a"]).alias(k) for i, k in enumerate(KINDS)]
-    return df.withColumn("__spans", F.when(F.size("__good") > 0, F.struct(*spans)).otherwise(F.col("__base"))).drop("__found", "__all", "__wide", "__good")
+    clear = F.filter("good", lambda s, i: ~_overlaps(s, F.slice(F.col("good"), F.lit(1), i)))
+    df = df.withColumn("good", F.when(F.size("good") > 1, clear).otherwise(F.col("good")))
+    spans = [F.array_sort(F.concat(F.col("base")[k], _of_kind(F.col("good"), i)), lambda x, y: x["a"] - y["a"]).alias(k) for i, k in enumerate(KINDS)]
+    return df.withColumn("spans", F.when(F.size("good") > 0, F.struct(*spans)).otherwise(F.col("base"))).select("row", "t", "base", "spans")
 
 
 def digest(spans: Column) -> Column:
@@ -333,8 +347,8 @@ def digest(spans: Column) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_spans(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.col("__base")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
-    return df.select("doc_id", *counts, F.sha2(digest(F.col("__base")), 256).alias("base_sha256"), digest(F.col("__spans")).alias("spans"))
+    counts = [F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
+    return df.select("row.doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -354,9 +368,13 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays with its spans redacted; ``n_chars`` follows the new text."""
+    """Every document stays with its spans redacted; ``n_chars``, where there is one, follows the new text."""
     df = with_spans(spark, docs)
-    n = sum((F.size(F.col("__spans")[k]) for k in KINDS), F.lit(0))
-    df = df.withColumn("__text", F.when(n > 0, redact(F.col("__t"), F.col("__spans"))).otherwise(F.col("text")))
-    new = {"text": F.col("__text"), "n_chars": F.when(n > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))}
-    return df.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    n = sum((F.size(F.col("spans")[k]) for k in KINDS), F.lit(0))
+    df = df.select("row", "spans", "t", F.when(n > 0, redact(F.col("t"), F.col("spans"))).alias("new"))
+    found = F.col("new").isNotNull()
+    text = F.when(found, F.col("new")).otherwise(F.col("row.text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(found, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unboxed(df, docs.columns, **changed)
