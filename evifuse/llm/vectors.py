@@ -1,6 +1,6 @@
 """Embedding near-dedup with a random-projection tree forest.
 
-Equal vectors of a label collapse first. Each tree splits a node with more than ``LEAF`` vectors at random: the vectors
+Equal vectors of a label collapse first. Each tree splits a node with more vectors than a leaf holds at random: the vectors
 are projected on a random direction of that tree and depth, and those within ``MARGIN`` of the cut go to both children
 (spill). The margin is a distance, set from how far the projections of two vectors at the threshold lie apart, so a node
 of near copies does not lose its pairs as it grows: where the margin would hold too large a share of the vectors, the
@@ -10,7 +10,7 @@ numbers. A pair counts in the first leaf that it shares, so leaves emit one row
 
 Defined results: vectors that are null, zero, of another width than most, or hold null or non-finite components, and
 vectors without a label, link with nothing; copies link with each other; rows without an id get null components; an
-empty table gives no rows.
+empty table gives no rows; repeated rows count as copies; other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from evifuse.llm.common import connected_components, cut, table
 
 THRESHOLD = 0.93
-TREES, LEAF = 6, 4096
+TREES = 6
+#: A leaf holds at most ``LEAF`` vectors, and in a smaller label at most 1/``SPLITS`` of them but ``LEAST`` anyway, so the
+#: forest works alike in small labels and large ones.
+LEAF, SPLITS, LEAST = 4096, 16, 48
 #: Half the width of the spill as a share of the distance between unit vectors at the threshold, which is also the
 #: standard deviation of the difference of their projections.
 MARGIN = 0.535
@@ -64,8 +67,9 @@ def _project(trees: int, depth: int):
 
 def leaves(points: DataFrame, leaf: int = LEAF, trees: int = TREES, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
     """(rep, leaves): for every vector the sorted leaves (code, blocks): codes hold the tree in the high bits."""
-    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = min(DEEPEST, math.ceil(math.log(largest / leaf) / -math.log(0.5 + SPREAD / 2)) + 2) if largest > leaf else 0
+    sizes = cut(points.groupBy("label").agg(F.count("*").alias("n")).withColumn("leaf", F.least(F.lit(leaf), F.greatest(F.lit(min(LEAST, leaf)), F.ceil(F.col("n") / SPLITS)))))
+    most = sizes.agg(F.max(F.col("n") / F.col("leaf"))).first()[0] or 0
+    depth = min(DEEPEST, math.ceil(math.log(most) / -math.log(0.5 + SPREAD / 2)) + 2) if most > 1 else 0
     if not depth:
         return points.select("rep", F.array(F.struct(F.lit(1).cast("long").alias("code"), F.lit(1).alias("blocks"))).alias("leaves"))
     trees = max(trees, math.ceil(math.log(MISSED) / math.log(1 - (1 - PARTED) ** depth)))
@@ -79,7 +83,7 @@ def leaves(points: DataFrame, leaf: int = LEAF, trees: int = TREES, threshold: f
         growing = state.filter("blocks = 0")
         # after the last level nothing is split
         q = F.percentile_approx(F.col("p")[d], shares, 2000) if d < depth else F.array(*[F.lit(0.0)] * 4)
-        nodes = growing.groupBy(*at).agg(F.count("*").alias("n"), q.alias("q")).filter(F.col("n") > leaf)
+        nodes = growing.groupBy(*at).agg(F.count("*").alias("n"), q.alias("q")).join(sizes.select("label", "leaf"), "label").filter(F.col("n") > F.col("leaf"))
         wide = F.when(F.col("n") <= EXACT, F.col("q")[2] - F.col("q")[1]).otherwise(F.col("q")[3] - F.col("q")[0]) >= 2 * margin
         middle = F.when(F.col("n") <= EXACT, F.col("q")[2] + F.col("q")[1]).otherwise(F.col("q")[3] + F.col("q")[0]) / 2
         nodes = cut(nodes.select(*at, F.when(wide, middle).alias("c"), blocks.alias("exact")))
