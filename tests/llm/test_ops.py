@@ -280,9 +280,28 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edges(spark, empty):
     langs, m = ["en"], np.zeros((langid.BUCKETS, 1), np.float32)
-    assert langid.score_text(None, langs, m) == langid.score_text("12 !?", langs, m) == ("und", 0.0)
-    assert langid.score_text("𐐀", langs, m)[0] == "en" and langid.score_text("abc", [], m[:, :0]) == ("und", 0.0)
+    got = langid.score_batch([None, "", "12 !?", "𐐀", "abc"], langs, m)
+    assert got["lang"].tolist() == ["und", "und", "und", "en", "en"] and got["score"].tolist() == [0.0, 0.0, 0.0, 1.0, 1.0]
+    assert langid.score_batch(["abc"], [], m[:, :0])["lang"].tolist() == ["und"] and len(langid.score_batch([], langs, m)) == 0
     assert langid.stage(spark, empty, "").count() == 0
+    # equal evidence: the first language by name
+    assert langid.score_batch(["abc"], ["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32))["lang"].tolist() == ["de"]
+
+
+def test_language_equals_brute_force(spark, rows, tmp_path, monkeypatch):
+    r = random.Random(7)
+    text = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(1, 60)))
+    more = [(1000 + i, text(["the ", "an", "er", "IS "] if i % 2 else ["der ", "ung", "ß", "ist "]), "en" if i % 2 else "de", "s", 1, "clash", 0.5) for i in range(60)]
+    all_rows = rows + more + more[:9] + [(None, "the er", "en", "s", 1, "h", 0.1), (None, None, None, None, None, None, None)]
+    spark.createDataFrame(all_rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.languages([(x[0], x[1], x[2]) for x in all_rows])
+    monkeypatch.setattr(langid, "_CHUNK", 1 << 12)
+    got = langid.op9_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(all_rows) and all((x.lang_pred, x.score) == (want[x.doc_id, x.held_out][0], pytest.approx(want[x.doc_id, x.held_out][1])) for x in got if x.doc_id is not None)
+    assert {x.lang_pred for x in got} == {"und", "de", "en"}
+    docs = spark.createDataFrame([(*x, "a", "b") for x in all_rows], SCHEMA + ", lang2 string, row string")
+    kept = langid.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.filter("doc_id is not null").collect()) == sorted(x[0] for x in all_rows if x[0] is not None and want[x[0], zlib.crc32(str(x[0]).encode()) % 4 == 2][0] != "und")
 
 
 def test_toxicity_held_out(spark):
@@ -407,6 +426,21 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_groups(df.limit(0)).count() == 0
 
 
+def test_forest_works_in_small_labels(spark):
+    """At the production parameters: labels of a few hundred vectors are split, and nearly every link is found."""
+    r = np.random.RandomState(4)
+    centres = r.normal(size=(90, 24))
+    rows = [(i, (centres[r.randint(90)] + 0.2 * r.normal(size=24)).tolist(), i % 2, "clash") for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    points = df.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v"), F.col("label").cast("string").alias("label"))
+    at = vectors.leaves(points).collect()
+    assert len({x.code for row in at for x in row.leaves}) > vectors.TREES
+    want = brute.vectors([x[:3] for x in rows])
+    got = {x.vec_id: x.n_links for x in vectors.near_groups(df).collect()}
+    found, there = sum(got.values()), sum(n for n, _ in want.values())
+    assert there > 1000 and 0.97 * there <= found <= there and all(got[i] <= want[i][0] for i in want)
+
+
 def test_vectors_of_one_dense_group(spark):
     r = np.random.RandomState(5)
     x = r.normal(size=32) / 32**0.5 + 0.26 * r.normal(size=(1200, 32)) / 32**0.5
