@@ -88,6 +88,76 @@ def pii(text):
     return out
 
 
+def pii_spans(text, trees, limits):
+    """All spans as a digest: base spans, then accepted candidates by kind order and start where nothing overlaps."""
+    from evifuse.llm import pii as p
+
+    text = text or ""
+    base = pii(text)
+    found = [(2, m.start(), m.end(), m.group()) for m in re.finditer(PII["card"], text) if 13 <= len(re.sub("[^0-9]", "", m.group())) <= 19]
+    for kind, regex in p.WIDE.items():
+        found += [(p.KINDS.index(kind), m.start(), m.end(), m.group()) for m in re.finditer(regex, text)]
+    side = lambda c: 0.0 if not c or c.isspace() else 2.0 if c.isalnum() or c == "_" else 1.0
+    kept = []
+    for k, a, b, m in found:
+        if any(a < y and x < b for _, x, y in base):
+            continue
+        d, before = re.sub("[^0-9]", "", m), text[max(0, a - 18) : a]
+        row = [k, len(d), float(bool(d) and luhn(d)), side(text[a - 1 : a] if a else ""), side(text[b : b + 1]), float(bool(re.search(p.HINTS, before))), float(bool(re.search(p.AGAINST, before))), len(re.sub("[0-9A-Za-z]", "", m))]
+        if trees.margin(np.array([row], float))[0] >= limits[k]:
+            kept.append((k, a, b))
+    # a candidate gives way to any accepted one before it, kept or not
+    kept = [s for i, s in enumerate(kept) if not any(s[1] < y and x < s[2] for _, x, y in kept[:i])]
+    spans = sorted([(p.KINDS.index(k), a, b) for k, a, b in base] + kept)
+    return ",".join(f"{p.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def secret_spans(text, net):
+    """All spans as a digest: every candidate scored in every window, the likeliest taken one after the other."""
+    from evifuse.llm import secrets as x
+
+    text = text or ""
+    base = [(a, ("assign", "access", "hex").index(k), b) for k, a, b in secrets(text)]
+    gone = set()
+    for a, _, b in base:
+        gone.update(range(a, b))
+    found = set()
+    for m in re.finditer(r"""(?ai:pwd|passphrase|credential|auth|bearer|private_?key|access_?key|client_?id)["']?\x20*[:=\x20]\x20*["']?(?=[A-Za-z0-9+/_.=-]{8})""", text):
+        found.add((m.end(), 0, re.compile("[A-Za-z0-9+/_.=-]+").match(text, m.end()).end()))
+    mixed = lambda s: len(s) >= 20 and re.search("[0-9]", s) and re.search("[A-Za-z]", s)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        a = m.start()
+        for s, k, e in base:
+            if k == 0 and e > m.start() and s < m.end():
+                if mixed(text[a:s]):
+                    found.add((a, 0, s))
+                a = max(a, e)
+        if mixed(text[a : m.end()]):
+            found.add((a, int(text[a : m.end()].isupper()), m.end()))
+    scored = []
+    for a, k, b in found:
+        if all(i in gone for i in range(a, b)):
+            continue
+        starts = [a] if b - a <= 40 else sorted({a, b - 40} | {i for i in range(a + 1, b - 40) if i % 20 == 0 and i >= (a // 20 + 1) * 20})
+        p = max(net.probability(np.array([x.encode(text, i, b)]))[0] for i in starts)
+        if p >= net.threshold:
+            scored.append((-p, (a, k, b)))
+    kept = []
+    for _, (a, k, b) in sorted(scored):
+        if not any(a < e and s < b for s, _, e in kept):
+            kept.append((a, k, b))
+    out = list(base)
+    for a, k, b in kept:
+        free = [i for i in range(a, b) if i not in gone]
+        for i in free:
+            if i - 1 not in free or i == a:
+                end = i
+                while end in free:
+                    end += 1
+                out.append((i, k, end))
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
 def secrets(text):
     """Base spans by start, then kind as listed."""
     out = []

@@ -229,6 +229,18 @@ def test_pii_cards_and_local_forms(spark):
     assert [r.text for r in pii.stage(spark, df, "").orderBy("doc_id").collect()] == list(text.values())
 
 
+def test_pii_added_spans_equal_brute_force(spark, pairs, tmp_path):
+    """Spans that the trees add: candidates, features, margins and thresholds in plain Python."""
+    trees, limits = pii.train(spark)
+    made = [(i, t) for i, t, _ in pii.labelled_texts(300, seed=77)]
+    longer = [(1000, " ".join(t for _, t in made)), (1001, "x " * 30_000 + made[0][1]), (None, made[1][1]), (1002, None)]
+    texts = made + longer + [(2000 + i, t) for i, t in pairs]
+    spark.createDataFrame([(i, t, "clash", 1) for i, t in texts], "doc_id long, text string, spans string, base int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.spans) for r in pii.op5_pii(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(((i, brute.pii_spans(t, trees, limits)) for i, t in texts), key=str)
+    assert got == want and sum(len(s.split(",")) for _, s in want) > 300
+
+
 def test_boosted_trees_as_sql(spark):
     trees, _ = pii.train(spark)
     x = np.random.RandomState(0).randint(0, 4, (50, len(pii.FEATURES))).astype(float)
@@ -254,6 +266,20 @@ def test_secret_network_on_unseen_findings():
     assert p[y == 1].mean() >= 0.85 and p[y == 0].mean() <= 0.1
 
 
+def test_secret_added_spans_equal_brute_force(spark, pairs, tmp_path):
+    net, r = secrets.train(), random.Random(13)
+    pick = lambda k: "".join(r.choice("abcXYZ0189_-/=") for _ in range(k))
+    parts = ["pwd=", "auth: ", "token=", "the ", " er ", "\n", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "bearer ", "secret: "]
+    texts = [(i, "".join(r.choice(parts) + (pick(r.randint(1, 60)) if r.random() < 0.5 else "") for _ in range(r.randint(1, 12)))) for i in range(150)]
+    texts += [(1000, " ".join(t for _, t in texts)), (None, "pwd=" + pick(30)), (1001, None)] + [(2000 + i, t) for i, t in pairs if len(t or "") < 30_000]
+    spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, s string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((x.doc_id, x.spans) for x in secrets.op7_secret_scan(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(((i, brute.secret_spans(t, net)) for i, t in texts), key=str)
+    assert got == want and sum(s.count("assign") for _, s in want) > 200
+    t = "token=abcdef0 " * 4_000 + "pwd=" + "Zk39sPq81LmN0aQw7Tt " * 2_000
+    assert len(secrets.scan_batch([t], net)["spans"][0]) > 50_000
+
+
 def test_secret_candidates_are_judged_whole():
     net, r = secrets.train(), random.Random(3)
     spans = lambda t: secrets.scan_batch([t], net).spans[0]
