@@ -138,8 +138,8 @@ def components(docs: DataFrame, words: int = 3) -> DataFrame:
     fps = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(words)(F.col("text").cast("string")).alias("fp")))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     joined = connected_components(links(groups.select("fp")))
-    low = groups.join(joined, groups["fp"] == joined["node"]).groupBy("component").agg(F.min("first").alias("low"))
-    of = joined.join(low, "component").select(F.col("node").alias("fp"), "low")
+    low = groups.join(joined, groups["fp"] == joined["node"]).groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("n"))
+    of = join_skewed(joined, low, "component", joined.count()).select(F.col("node").alias("fp"), "low")
     named = cut(groups.join(of, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")))
     return join_skewed(fps, named, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
