@@ -10,6 +10,15 @@ from evifuse.functions import text as tx
 
 CONSTRUCTION = "crane excavator construction building foundation steel scaffolding".split()  # fixed values
 
+#: What the limitation list says.
+LIMITATIONS = (
+    "No supporting evidence was collected.",
+    "Conflicting evidence remains visible and requires attribution.",
+    "Some support is inferential rather than directly observed.",
+    "Only one independent supporting origin was found.",
+    "Evidence threshold was not met; no conclusion is emitted.",
+)
+
 
 def recency(age_days: Column) -> Column:
     return F.greatest(F.lit(0.25), 1 - F.least(F.greatest(age_days, F.lit(0.0)), F.lit(730.0)) / 1460.0)
@@ -22,7 +31,8 @@ def independence_key(*ids: Column) -> Column:
 def assess_claims(evidence: DataFrame, minimum: float = 0.6) -> DataFrame:
     """Per claim: weights of independent support and conflict, confidence, status.
 
-    ``evidence(claim_id, evidence_id, relation, independence_key, source_trust, age_days, fit, completeness)``. The best
+    ``evidence(claim_id, evidence_id, relation, independence_key, source_trust, age_days, fit, completeness)``, and
+    ``statement_kind`` where known; ``limitations`` lists what weakens the result, in the order of ``LIMITATIONS``. The best
     trusted record of an independence key counts, the first seen on ties; both steps are plain aggregates.
     """
     weight = F.col("source_trust") * recency(F.col("age_days")) * F.col("fit") * F.col("completeness")
@@ -36,10 +46,18 @@ def assess_claims(evidence: DataFrame, minimum: float = 0.6) -> DataFrame:
         F.count_if(per("supports")).alias("support_count"),
         F.count_if(per("contradicts")).alias("conflict_count"),
     )
-    every = evidence.select("claim_id").distinct().join(out, "claim_id", "left").fillna(0)
+    inferred = F.count_if((F.col("relation") == "supports") & (F.col("statement_kind") == "inferential")) if "statement_kind" in evidence.columns else F.lit(0).cast("long")
+    every = evidence.groupBy("claim_id").agg(inferred.alias("inferential")).join(out, "claim_id", "left").fillna(0)
     confidence = rules.clamp(F.col("support_weight") * (1 - 0.55 * F.col("conflict_weight")))
     status = rules.first_reason(((F.col("support_count") == 0) | (F.round(confidence, 3) < minimum), "insufficient_evidence"), (F.col("conflict_count") > 0, "contested"), otherwise="supported")
-    return every.withColumn("confidence", confidence).withColumn("status", status)
+    limits = F.array_compact(F.array(*[F.when(test, text) for text, test in zip(LIMITATIONS, (
+        F.col("support_count") == 0,
+        F.col("conflict_count") > 0,
+        F.col("inferential") > 0,
+        F.col("support_count") == 1,
+        F.col("status") == "insufficient_evidence",
+    ))]))
+    return every.withColumn("confidence", confidence).withColumn("status", status).withColumn("limitations", limits).drop("inferential")
 
 
 def materiality(stream: DataFrame, min_score: float = 0.45, min_alert_confidence: float = 0.7, require_citation: bool = True) -> DataFrame:
@@ -136,15 +154,24 @@ def visual_change(pairs: DataFrame, material: float = 0.70, possible: float = 0.
 
 
 def near_duplicate_hashes(hashes: DataFrame, limit: int = 4, bits: int = 64) -> DataFrame:
-    """For 64-character bit strings: each id with its nearest other id within ``limit`` bits. Strings within the limit
-    agree on one of limit + 1 bands, so pairs meet by equality of a band."""
+    """For bit strings: each id with its nearest other id within ``limit`` bits, the smallest of equally near ones.
+
+    Equal strings collapse first, so copies never meet in pairs; different ones within the limit agree on one of limit + 1
+    bands and meet by equality of a band.
+    """
+    groups = hashes.groupBy("bits").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    second = hashes.join(groups.filter("n > 1"), "bits").filter("id <> low").groupBy("bits").agg(F.min("id").alias("next"))
     cuts = [round(bits * i / (limit + 1)) for i in range(limit + 2)]
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("bits", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-    x = hashes.select("id", "bits", F.explode(bands).alias("s")).select("id", "bits", "s.*")
-    y = x.select(F.col("id").alias("other"), F.col("bits").alias("obits"), "band", "part")
+    x = groups.select("bits", "low", F.explode(bands).alias("s")).select("bits", "low", "s.*")
+    y = x.select(F.col("low").alias("other"), F.col("bits").alias("obits"), "band", "part")
     distance = F.length(F.array_join(F.filter(F.zip_with(F.split("bits", ""), F.split("obits", ""), lambda p, q: F.when(p != q, "1")), lambda c: c.isNotNull()), ""))
-    near = x.join(y, ["band", "part"]).filter("id <> other").withColumn("distance", distance).filter(F.col("distance") <= limit)
-    return near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m")).select("id", F.col("m.other").alias("nearest"), F.col("m.distance").alias("distance"))
+    met = x.join(y, ["band", "part"]).filter("bits <> obits").withColumn("distance", distance).filter(F.col("distance") <= limit)
+    near = met.groupBy("bits").agg(F.min(F.struct("distance", "other")).alias("m"))
+    own = hashes.join(groups.select("bits", "low"), "bits").join(second, "bits", "left").join(near, "bits", "left")
+    copy = F.when(F.col("id") != F.col("low"), F.col("low")).otherwise(F.col("next"))
+    out = own.select("id", F.coalesce(copy, F.col("m.other")).alias("nearest"), F.when(copy.isNotNull(), 0).otherwise(F.col("m.distance")).alias("distance"))
+    return out.filter("nearest is not null")
 
 
 def seen_before(df: DataFrame, key: str, order: str) -> Column:

@@ -71,42 +71,62 @@ def _km(lon1, lat1, lon2, lat2):
     return EARTH_KM * 2 * math.atan2(math.sqrt(t), math.sqrt(1 - t))
 
 
+class FirstFit:
+    """First-fit clusters of observations that arrive in order of time and id. Only open clusters are held: those whose
+    last member is older than the window can never match again."""
+
+    def __init__(self, window_us: int, km: float):
+        self.window_us, self.km, self.open = window_us, km, []
+
+    def place(self, t: int, i: int, lon: float, lat: float) -> int:
+        """The id of the first member of the observation's cluster."""
+        self.open = [c for c in self.open if t - c[1] <= self.window_us]
+        for c in self.open:
+            if _km(c[2] / c[4], c[3] / c[4], lon, lat) <= self.km:
+                c[1], c[2], c[3], c[4] = t, c[2] + lon, c[3] + lat, c[4] + 1
+                return c[0]
+        self.open.append([i, t, lon, lat, 1])
+        return i
+
+
 def fold(rows, window_us: int, km: float):
-    """First-fit clusters of (time, id, lon, lat) rows in order; yields the id of each row's first cluster member.
+    """Seeds of (time, id, lon, lat) rows in order."""
+    clusters = FirstFit(window_us, km)
+    return [clusters.place(*row) for row in rows]
 
-    Clusters whose last member is older than the window can never match again and leave the active list.
-    """
-    active: list[list] = []
-    for t, i, lon, lat in rows:
-        active = [c for c in active if t - c[1] <= window_us]
-        for c in active:
-            if _km(c[2] / c[4], c[3] / c[4], lon, lat) <= km:
-                c[1], c[2], c[3], c[4] = t, c[2] + lon, c[3] + lat, c[4] + 1
-                yield c[0]
-                break
-        else:
-            active.append([i, t, lon, lat, 1])
-            yield i
+
+def _fold_sorted(window_us: int, km: float):
+    def run_task(batches):
+        key, clusters = None, None
+        for pdf in batches:
+            seeds = []
+            for session, place, t, i, lon, lat in zip(*(pdf[c].tolist() for c in ("session", "place", "t_us", "observation_id", "lon", "lat"))):
+                if (session, place) != key:
+                    key, clusters = (session, place), FirstFit(window_us, km)
+                seeds.append(clusters.place(t, i, lon, lat))
+            yield pd.DataFrame({"observation_id": pdf["observation_id"], "cluster_seed": pd.Series(seeds, dtype="int64")})
+
+    return run_task
 
 
 def assign_clusters(observations: DataFrame, window_minutes: int = 60, distance_km: float = 25.0) -> DataFrame:
-    """(observation_id, cluster_seed): the seed is the cluster's first member."""
+    """(observation_id, cluster_seed): the seed is the cluster's first member.
+
+    Spark sorts the observations of each session and place (and spills); the fold reads them batch by batch and holds the
+    open clusters only, so its memory does not grow with a session.
+    """
     window_us = window_minutes * 60_000_000
     located = observations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("observation_id", "t_us", "lon", "lat")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "observation_id"])
-        rows = zip(pdf["t_us"].tolist(), pdf["observation_id"].tolist(), pdf["lon"].tolist(), pdf["lat"].tolist())
-        return pd.DataFrame({"observation_id": pdf["observation_id"].to_numpy(), "cluster_seed": list(fold(rows, window_us, distance_km))})
-
     timed = sessions(located, window_us)
     large = timed.groupBy("session").count().filter(F.col("count") > LARGE).select("session")
-    schema = "observation_id long, cluster_seed long"
-    if not large.limit(1).count():
-        return timed.groupBy("session").applyInPandas(one, schema)
-    large = cut(large)
-    split = places(timed.join(large, "session", "left_semi"), window_us, distance_km).groupBy("session", "place").applyInPandas(one, schema)
-    return timed.join(large, "session", "left_anti").groupBy("session").applyInPandas(one, schema).union(split)
+    # a null place would not equal itself
+    keyed = timed.withColumn("place", F.lit(""))
+    if large.limit(1).count():
+        large = cut(large)
+        split = places(timed.join(large, "session", "left_semi"), window_us, distance_km).withColumn("place", F.coalesce(F.to_json("place"), F.lit("")))
+        keyed = keyed.join(large, "session", "left_anti").unionByName(split)
+    ordered = keyed.repartition("session", "place").sortWithinPartitions("session", "place", "t_us", "observation_id")
+    return ordered.mapInPandas(_fold_sorted(window_us, distance_km), "observation_id long, cluster_seed long")
 
 
 def summarize(members: DataFrame, cluster: str, min_signals: int = 2) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from evifuse.functions import geo
 
+#: Grids, and how much coarser each is than the one before.
+LEVELS, STEP = 6, 4.0
 
-def _cell(c: Column, size: float) -> Column:
+
+def _cell(c: Column, size: float | Column) -> Column:
     return F.floor(c / size).cast("int")
 
 
@@ -22,20 +25,24 @@ def bounds(fences: DataFrame) -> DataFrame:
 def hits(points: DataFrame, fences: DataFrame, cell: float = 1.0, most_cells: int = 4096) -> DataFrame:
     """(point, fence) rows inside enabled fences ``(geofence_id, enabled, polygons)``.
 
-    Fences cover grid cells and points fall in one, so the join is by equality; a fence that covers more than
-    ``most_cells`` cells meets the points by its bounding box instead.
+    Fences cover grid cells and points fall in one, so the join is by equality. Every fence takes the finest grid on which it
+    covers at most ``most_cells`` cells, of grids that coarsen by ``STEP``; points look into the grids in use.
     """
-    f = bounds(fences.filter("enabled"))
-    nx, ny = _cell(F.col("east"), cell) - _cell(F.col("west"), cell) + 1, _cell(F.col("north"), cell) - _cell(F.col("south"), cell) + 1
-    f = f.withColumn("__cells", nx.cast("long") * ny)
-    tiled = f.filter(F.col("__cells") <= most_cells).withColumn("__cx", F.explode(F.sequence(_cell(F.col("west"), cell), _cell(F.col("east"), cell)))).withColumn("__cy", F.explode(F.sequence(_cell(F.col("south"), cell), _cell(F.col("north"), cell))))
+    f = bounds(fences.filter("enabled")).filter("west is not null")
+    sizes = [cell * STEP**k for k in range(LEVELS)]
+    span = lambda c: (_cell(F.col("east"), c) - _cell(F.col("west"), c) + 1).cast("long") * (_cell(F.col("north"), c) - _cell(F.col("south"), c) + 1)
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(span(sizes[k]) <= most_cells, k).otherwise(level)
+    f = f.withColumn("__level", level)
+    used = sorted(r[0] for r in f.select("__level").distinct().collect())  # LEVELS at most
+    size = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.col("__level") + 1)
+    tiled = f.withColumn("__cx", F.explode(F.sequence(_cell(F.col("west"), size), _cell(F.col("east"), size)))).withColumn("__cy", F.explode(F.sequence(_cell(F.col("south"), size), _cell(F.col("north"), size))))
     p = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    near = p.withColumn("__cx", _cell(F.col("lon"), cell)).withColumn("__cy", _cell(F.col("lat"), cell)).join(tiled, ["__cx", "__cy"]).drop("__cx", "__cy")
-    wide = f.filter(F.col("__cells") > most_cells)
-    if wide.limit(1).count():
-        near = near.unionByName(p.join(wide, geo.in_bbox(p["lon"], p["lat"], wide["west"], wide["south"], wide["east"], wide["north"])))
+    p = p.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>")))
+    near = p.withColumn("__cx", _cell(F.col("lon"), size)).withColumn("__cy", _cell(F.col("lat"), size)).join(tiled, ["__level", "__cx", "__cy"])
     inside = near.filter(geo.in_bbox(F.col("lon"), F.col("lat"), F.col("west"), F.col("south"), F.col("east"), F.col("north")))
-    return inside.filter(geo.in_multipolygon(F.col("lon"), F.col("lat"), F.col("polygons"))).drop("__cells", "west", "east", "south", "north")
+    return inside.filter(geo.in_multipolygon(F.col("lon"), F.col("lat"), F.col("polygons"))).drop("__level", "__cx", "__cy", "west", "east", "south", "north")
 
 
 def alerts(found: DataFrame, open_alerts: DataFrame | None = None) -> DataFrame:

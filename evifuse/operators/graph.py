@@ -60,7 +60,7 @@ def timeline(edges: DataFrame) -> DataFrame:
 def check_assertions(rows: DataFrame, types: DataFrame, citations: DataFrame) -> DataFrame:
     """Adds ``reject_reason``, null for valid assertions; ``types(relation_type, subject_types, object_types)``."""
     cited = citations.select("assertion_id").distinct().withColumn("__cited", F.lit(True))
-    df = rows.join(F.broadcast(types.limit(10_000)), "relation_type", "left").join(cited, "assertion_id", "left")
+    df = rows.join(types.dropDuplicates(["relation_type"]), "relation_type", "left").join(cited, "assertion_id", "left")
     reason = rules.first_reason(
         (F.col("subject_types").isNull(), "unregistered relation type"),
         (F.col("subject_entity_id") == F.col("object_entity_id"), "endpoints are the same"),

@@ -57,23 +57,31 @@ def alternates(candidates: DataFrame, attempted: DataFrame, used: DataFrame, bud
 
 
 def research_plan(sources: DataFrame, class_cap: int, domain_cap: int, global_cap: int, question: str = "question_id") -> DataFrame:
-    """Greedy picks per question under class, domain and global caps, which depend on one another: a fold in order of
-    relevance, trust, class, domain and id. The catalogue of one question is bounded."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["relevance", "trust", "source_class", "domain", "source_id"], ascending=[False, False, True, True, True])
-        classes: dict[str, int] = {}
-        domains: dict[str, int] = {}
-        keep = []
-        for c, d in zip(pdf["source_class"], pdf["domain"]):
-            ok = len([k for k in keep if k]) < global_cap and classes.get(c, 0) < class_cap and domains.get(d, 0) < domain_cap
-            if ok:
-                classes[c], domains[d] = classes.get(c, 0) + 1, domains.get(d, 0) + 1
-            keep.append(ok)
-        out = pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-        return out.assign(priority=1000 + out["relevance"] * 10 + (out["trust"] * 10).astype(int))[[question, "source_id", "priority"]]
-
-    return sources.groupBy(question).applyInPandas(one, f"{question} long, source_id long, priority long")
+    """Greedy picks per question under class, domain and global caps, in order of relevance, trust, class, domain and id.
+
+    Among sources of one class and domain the picked ones come first, for every full cap stays full: only the first
+    ``min`` of the caps of each can be picked, and the others go before the shuffle. The caps depend on one another, so the rest is
+    folded in order; Spark sorts, and the fold holds the counts of one question.
+    """
+    order = [F.desc("relevance"), F.desc("trust"), "source_class", "domain", "source_id"]
+    few = per_group_limit(sources, [question, "source_class", "domain"], [*order[:2], "source_id"], min(class_cap, domain_cap, global_cap))
+
+    def run_task(batches):
+        key, classes, domains, taken = None, {}, {}, 0
+        for pdf in batches:
+            keep = []
+            for q, c, d in zip(pdf[question].tolist(), pdf["source_class"].tolist(), pdf["domain"].tolist()):
+                if q != key:
+                    key, classes, domains, taken = q, {}, {}, 0
+                ok = taken < global_cap and classes.get(c, 0) < class_cap and domains.get(d, 0) < domain_cap
+                if ok:
+                    classes[c], domains[d], taken = classes.get(c, 0) + 1, domains.get(d, 0) + 1, taken + 1
+                keep.append(ok)
+            out = pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+            yield out.assign(priority=1000 + out["relevance"] * 10 + (out["trust"] * 10).astype(int))[[question, "source_id", "priority"]]
+
+    ordered = few.repartition(question).sortWithinPartitions(question, *order)
+    return ordered.mapInPandas(run_task, f"{question} long, source_id long, priority long")
 
 
 def _words(values) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from evifuse.functions import geo, rules
 from evifuse.operators import fusion, geofence, lookups, observations, windows
 from evifuse.plans.registry import query
 from evifuse.plans.views import view
+from evifuse.session import shared_dir
 from evifuse.sources import archive
 
 PROFILES = [
@@ -100,16 +100,12 @@ def archive_layer_counts(spark, d):
 @query("SELECT layer_key, count(*) AS n, sum(observation_id)::BIGINT AS ids FROM obs WHERE layer_key IN ('click', 'purchase') GROUP BY 1", ("obs",))
 def archive_round_trip(spark, d):
     """Export to the partitioned archive and read two layers back with pruning."""
-    root = f"{_scratch(spark)}/archive-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     archive.export(view(spark, d, "obs"), root)
     both = archive.read_archive(spark, root, "click").unionByName(archive.read_archive(spark, root, "purchase"))
     return both.groupBy("layer_key").agg(F.count("*").alias("n"), F.sum("observation_id").alias("ids"))
 
 
-def _scratch(spark) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evifuse-")
-
-
 @query(
     """cells AS (SELECT *, floor(lon / 0.5) AS cx, floor(lat / 0.5) AS cy, t_us - lag(t_us) OVER (PARTITION BY floor(lon / 0.5), floor(lat / 0.5) ORDER BY t_us, observation_id) AS gap FROM obs),
 numbered AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY cx, cy ORDER BY t_us, observation_id) AS k FROM cells),
@@ -129,19 +125,37 @@ def cluster_scores(spark, d):
     return got.select("cell.*", "observation_count", "independent_signal_count", F.round("verification_score", 6).alias("verification_score"), "trusted_observation_count", "ground_truth_count", F.round("time_span_minutes", 3).alias("time_span_minutes"))
 
 
-@query()
+#: First fit in order of time and id, one observation a step; the open clusters travel as a list.
+CLUSTER_SQL = """ordered AS (SELECT row_number() OVER (ORDER BY t_us, observation_id) AS n, t_us, observation_id, lon, lat FROM obs),
+folded(n, open, seed, observation_id) AS (
+  SELECT 0::BIGINT, []::STRUCT(id BIGINT, last BIGINT, x DOUBLE, y DOUBLE, k BIGINT)[], 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT n, CASE WHEN pos IS NULL THEN list_append(alive, {'id': observation_id, 'last': t_us, 'x': lon, 'y': lat, 'k': 1::BIGINT}) ELSE list_concat(list_append(alive[:pos - 1], {'id': alive[pos].id, 'last': t_us, 'x': alive[pos].x + lon, 'y': alive[pos].y + lat, 'k': alive[pos].k + 1}), alive[pos + 1:]) END,
+    coalesce(alive[pos].id, observation_id), observation_id
+  FROM (SELECT *, list_position([6371.0::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h)) <= 25.0::DOUBLE FOR h IN [pow(sin((radians(lat) - radians(c.y / c.k)) / 2), 2) + cos(radians(c.y / c.k)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(c.x / c.k)) / 2), 2) FOR c IN alive]], true) AS pos
+    FROM (SELECT o.n, o.t_us, o.observation_id, o.lon, o.lat, [c FOR c IN f.open IF o.t_us - c.last <= 3600000000] AS alive FROM folded f JOIN ordered o ON o.n = f.n + 1))),
+found AS (SELECT seed AS cluster_seed, count(*) AS observation_count, count(DISTINCT source_domain) AS source_domain_count, count(DISTINCT layer_key) AS layer_count, avg(confidence_score) AS ac, count(*) FILTER (trust_level = 'trusted') AS trusted_observation_count, count(*) FILTER (ground_truth) AS ground_truth_count, min(t_us) AS started_us, max(t_us) AS ended_us, avg(lon) AS centroid_lon, avg(lat) AS centroid_lat, round((max(t_us) - min(t_us)) / 60000000.0::DOUBLE, 3) AS time_span_minutes
+  FROM folded JOIN obs USING (observation_id) WHERE n > 0 GROUP BY 1),
+scored AS (SELECT *, greatest(source_domain_count, layer_count) AS independent_signal_count, least(0.99::DOUBLE, ac + 0.15::DOUBLE * greatest(source_domain_count - 1, 0) + 0.1::DOUBLE * greatest(layer_count - 1, 0)) AS score FROM found WHERE greatest(source_domain_count, layer_count) >= 2),
+events_found AS (SELECT *, concat('event-', substr(sha1(concat_ws('|', cluster_seed, started_us, observation_count)), 1, 12)) AS slug FROM scored)"""
+
+
+@query(f"RECURSIVE {CLUSTER_SQL} SELECT cluster_seed, observation_count, source_domain_count, layer_count, round(ac, 6) AS avg_confidence, trusted_observation_count, ground_truth_count, started_us, ended_us, round(centroid_lon, 6) AS centroid_lon, round(centroid_lat, 6) AS centroid_lat, independent_signal_count, round(score, 4) AS verification_score, time_span_minutes FROM scored", ("obs",))
 def cross_verify(spark, d):
-    """Order-dependent clustering: checked against a plain fold in the tests."""
-    return fusion.cross_verify(view(spark, d, "obs")).withColumn("verification_score", F.round("verification_score", 4)).withColumn("time_span_minutes", F.round("time_span_minutes", 3))
+    """Order-dependent clustering over the whole table."""
+    got = fusion.cross_verify(view(spark, d, "obs"))
+    for c, n in {"verification_score": 4, "time_span_minutes": 3, "avg_confidence": 6, "centroid_lon": 6, "centroid_lat": 6}.items():
+        got = got.withColumn(c, F.round(c, n))
+    return got
 
 
-@query()
+@query(f"RECURSIVE {CLUSTER_SQL} SELECT slug, observation_count, observation_count AS links, round(score, 4) AS verification_score FROM events_found", ("obs",))
 def event_fusion(spark, d):
     events, links, _ = fusion.fuse_events(view(spark, d, "obs"))
     return events.join(links.groupBy("slug").agg(F.count("*").alias("links")), "slug").select("slug", "observation_count", "links", F.round("verification_score", 4).alias("verification_score"))
 
 
-@query()
+@query(f"RECURSIVE {CLUSTER_SQL} SELECT slug, product_type, CASE WHEN product_type = 'report' THEN concat(head, chr(10), printf('Verification score %.4f over %.3f minutes', score, time_span_minutes)) ELSE head END AS body FROM (SELECT *, printf('%d observations from %d domains in %d layers', observation_count, source_domain_count, layer_count) AS head, unnest(['cited_summary', 'report']) AS product_type FROM events_found)", ("obs",))
 def event_products(spark, d):
     return fusion.fuse_events(view(spark, d, "obs"))[2]
 
