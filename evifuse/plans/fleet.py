@@ -207,9 +207,16 @@ def alternate_sources(spark, d):
     return planning.alternates(c, tried, used, 3, 25).select("source_id", "domain_class")
 
 
-@query()
+@query(
+    """RECURSIVE s AS (SELECT DISTINCT user_id % 4 AS question_id, user_id AS source_id, layer_key AS source_class, source_domain AS domain, user_id % 6 AS relevance, confidence_score AS trust FROM obs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, trust DESC, source_class, domain, source_id) AS n FROM s),
+folded(question_id, n, picked, ok) AS (SELECT DISTINCT question_id, 0::BIGINT, []::STRUCT(c VARCHAR, d VARCHAR)[], false FROM ranked UNION ALL
+  SELECT question_id, n, CASE WHEN fits THEN list_append(picked, {'c': source_class, 'd': domain}) ELSE picked END, fits FROM (SELECT r.question_id, r.n, r.source_class, r.domain, f.picked, len(f.picked) < 12 AND len([x FOR x IN f.picked IF x.c = r.source_class]) < 5 AND len([x FOR x IN f.picked IF x.d = r.domain]) < 3 AS fits FROM folded f JOIN ranked r ON r.question_id = f.question_id AND r.n = f.n + 1))
+SELECT question_id, source_id, 1000 + relevance * 10 + CAST(floor(trust * 10) AS BIGINT) AS priority FROM folded JOIN ranked USING (question_id, n) WHERE ok""",
+    ("obs",),
+)
 def research_plan(spark, d):
-    """Greedy selection under three caps: checked against a plain fold in the tests."""
+    """Greedy selection under three caps."""
     o = view(spark, d, "obs")
     s = o.select((F.col("user_id") % 4).alias("question_id"), F.col("user_id").alias("source_id"), F.col("layer_key").alias("source_class"), F.col("source_domain").alias("domain"), (F.col("user_id") % 6).alias("relevance"), F.col("confidence_score").alias("trust")).dropDuplicates(["question_id", "source_id", "source_class"])
     return planning.research_plan(s, 5, 3, 12)
