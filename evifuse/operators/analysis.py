@@ -243,19 +243,6 @@ def latest_time(df: DataFrame) -> Column:
     return F.array_max(F.concat(F.array("updated_at", "modified_at", "published_at"), "observed_dates"))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_link(links: pd.Series, bases: pd.Series) -> pd.Series:
-    """Canonical URL of a link on a page."""
-
-    def one(link, base):
-        try:
-            return urls.canonical(link, base)
-        except ValueError:
-            return None
-
-    return pd.Series([one(a, b) for a, b in zip(links, bases)], dtype=object)
-
-
 def html_anchors(page: Column) -> Column:
     """(href, nofollow) of every anchor, whatever the order of its attributes."""
     tags = F.regexp_extract_all(page, F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
@@ -275,7 +262,7 @@ def page_links(pages: DataFrame, key: str, url: str = "url", page: str = "html")
     """
     base = F.coalesce(tx.blank_to_null(F.regexp_extract(page, r"(?is)<base\s[^>]*href\s*=\s*[\"']([^\"']*)", 1)), F.col(url))
     rows = pages.select(key, F.col(url).alias("__url"), base.alias("__base"), F.posexplode(html_anchors(F.col(page))).alias("position", "a"))
-    rows = rows.filter(~F.lower(F.trim("a.href")).rlike(NOT_LINKS)).withColumn("canonical_url", canonical_link("a.href", "__base"))
+    rows = rows.filter(~F.lower(F.trim("a.href")).rlike(NOT_LINKS)).withColumn("canonical_url", urls.canonical_url(F.col("a.href"), F.col("__base")))
     rows = rows.filter(F.col("canonical_url").isNotNull() & ~F.col("canonical_url").eqNullSafe(urls.canonical_url(F.col("__url"))))
     first = rows.groupBy(key, "canonical_url").agg(F.min_by(F.struct("position", "a.nofollow", "__url"), "position").alias("f"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -8,7 +8,6 @@ from evifuse.functions import rules, urls
 from evifuse.functions import text as tx
 from evifuse.operators import discovery, entities, planning
 from evifuse.plans.registry import query
-from evifuse.plans.views import view
 from evifuse.session import table
 
 HOST_SQL = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
@@ -23,7 +22,7 @@ def page_domains(spark, d):
 
 @query(f"WITH {CANON_SQL} SELECT page_id, canonical AS canonical_url, sha256(canonical) AS url_hash FROM canon")
 def canonical_urls(spark, d):
-    c = urls.canonical_url_plain(F.col("url"))
+    c = urls.canonical_url(F.col("url"), plain=True)
     return table(spark, d, "pages").select("page_id", c.alias("canonical_url"), urls.url_hash(c).alias("url_hash"))
 
 
@@ -147,8 +146,3 @@ def fleet_plan(spark, d):
 @query("SELECT event_id AS run, replace(replace(to_base64(encode(concat('{\"v\":1,\"watch_run_id\":', event_id, '}'))), '+', '-'), '/', '_') AS cursor FROM events")
 def feed_cursors(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("run"), tx.cursor_encode(F.col("event_id")).alias("cursor"))
-
-
-@query("SELECT user_id, sum(CASE WHEN k = 'a' THEN 1 ELSE 0 END) AS n FROM (SELECT user_id, 'a' AS k FROM events WHERE event_type = 'view') GROUP BY 1 HAVING count(*) > 1")
-def view_counts(spark, d):
-    return view(spark, d, "obs").filter("layer_key = 'view'").groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 1")

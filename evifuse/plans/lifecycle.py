@@ -100,7 +100,7 @@ def nested_values(spark, d):
     return table(spark, d, "events").select("event_id", signals.nested_value(deep, "k").alias("k"))
 
 
-@query("SELECT sha256('{\"k\":\"number\"}') AS fingerprint, count(*) AS n FROM events")
+@query("SELECT sha256('OBJECT<k: NUMBER>') AS fingerprint, count(*) AS n FROM events")
 def schema_fingerprints(spark, d):
     return table(spark, d, "events").groupBy(signals.json_fingerprint(F.col("props")).alias("fingerprint")).agg(F.count("*").alias("n"))
 

@@ -38,10 +38,22 @@ def test_normalize_domain(spark, raw, want):
         ("mailto:a@b.c", None, None),
         ("/relative", None, None),
         ("https://user:p@h.com/%7ea%2f", None, "https://h.com/~a%2F"),
+        ("//h.com/a/./b/..", None, "https://h.com/a/"),
+        ("https://h.com:08443/?b=&a=%C3%A9+1&amp;B=*~%zz&c", None, "https://h.com:8443/?a=%C3%A9%201&B=%2A~%25zz&b=&c="),
+        ("?q=1", "http://e.org/a/b?x=2", "http://e.org/a/b?q=1"),
+        ("#top", "http://e.org/a/b?x=2", "http://e.org/a/b?x=2"),
+        ("wss://[2001:DB8::1]:443/", None, "wss://[2001:db8::1]/"),
+        ("https://h.com:99999/", None, None),
+        ("https://a..b/", None, None),
+        ("ftp://h.com/", None, None),
+        ("https://h.com./%2e%2e/%", None, "https://h.com/%"),
+        ("  ", "http://e.org/", None),
+        (None, None, None),
     ],
 )
-def test_canonical_url(raw, base, want):
-    assert urls.canonical(raw, base) == want
+def test_canonical_url(spark, raw, base, want):
+    df = spark.createDataFrame([(raw, base)], "u string, b string")
+    assert df.select(urls.canonical_url(F.col("u"), F.col("b") if base else None).alias("c")).first()["c"] == want
 
 
 def test_path_pattern(spark):
