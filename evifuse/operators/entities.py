@@ -111,12 +111,29 @@ def merge_decision(left: Column, right: Column) -> Column:
     )
 
 
+def evidence_classes(candidates: DataFrame) -> DataFrame:
+    """Each candidate with ``class_id``, the smallest candidate with the same evidence, the order of lists aside."""
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    same = F.struct("entity_type", *[F.array_sort(F.array_distinct(c)).alias(c) for c in ("names", "domains")], *[entries(c).alias(c) for c in ("ids", "context")], "cited", "reliability")
+    keyed = candidates.withColumn("__same", F.sha2(F.to_json(same), 256))
+    return keyed.join(keyed.groupBy("__same").agg(F.min("candidate_id").alias("class_id")), "__same").drop("__same")
+
+
 def merge_pairs(candidates: DataFrame) -> DataFrame:
-    """Pairs of candidates that share an identifier or a name, with the decision; blocks meet by equality."""
-    keys = F.array_distinct(F.concat(F.transform(F.map_entries("ids"), lambda e: F.concat_ws("=", e["key"], e["value"])), F.transform("names", lambda n: F.concat(F.lit("name="), n))))
-    whole = F.struct("candidate_id", "entity_type", "names", "ids", "context", "domains", "cited", "reliability")
-    blocked = candidates.select(F.explode(keys).alias("block"), whole.alias("c"))
-    met = blocked.alias("x").join(blocked.alias("y"), "block").filter(F.col("x.c.candidate_id") < F.col("y.c.candidate_id"))
-    pairs = met.select(F.col("x.c").alias("left"), F.col("y.c").alias("right"))
-    out = pairs.select(F.col("left.candidate_id").alias("left_id"), F.col("right.candidate_id").alias("right_id"), merge_decision(F.col("left"), F.col("right")).alias("decision"))
+    """(left_id, right_id, left_count, right_count, decision) for evidence classes that share an identifier or a name.
+
+    A pair of classes decides for all pairs of their members, and ``left_id = right_id`` for the pairs within a class;
+    ``evidence_classes`` holds the membership. Copies of a candidate therefore never meet each other, however many share
+    a name. The work on one name grows with the square of its different evidence.
+    """
+    parts = ["entity_type", "names", "ids", "context", "domains", "cited", "reliability"]
+    one = F.when(F.col("candidate_id") == F.col("class_id"), F.struct(*parts))
+    reps = evidence_classes(candidates).groupBy("class_id").agg(F.first(one, ignorenulls=True).alias("c"), F.countDistinct("candidate_id").alias("n"))
+    ids = F.transform(F.map_entries("c.ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    keys = F.array_distinct(F.concat(ids, F.transform("c.names", lambda v: F.concat(F.lit("name="), v))))
+    side = lambda name: reps.select(F.explode(keys).alias("block"), F.struct("class_id", "n", "c").alias(name))
+    met = side("x").join(side("y"), "block").filter((F.col("x.class_id") < F.col("y.class_id")) | ((F.col("x.class_id") == F.col("y.class_id")) & (F.col("x.n") > 1)))
+    out = met.select(
+        F.col("x.class_id").alias("left_id"), F.col("y.class_id").alias("right_id"), F.col("x.n").alias("left_count"), F.col("y.n").alias("right_count"), merge_decision(F.col("x.c"), F.col("y.c")).alias("decision")
+    )
     return out.dropDuplicates(["left_id", "right_id"])

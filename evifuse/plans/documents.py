@@ -109,16 +109,27 @@ def active_suppressions(spark, d):
     return discovery.suppressed(c, s, F.lit("2024-01-01").cast("timestamp")).select(F.col("candidate_id").alias("page_id"))
 
 
-@query("SELECT a.page_id AS left_id, b.page_id AS right_id, CASE WHEN a.page_id % 2 <> b.page_id % 2 AND a.page_id % 3 = b.page_id % 3 THEN 'merge' ELSE 'ambiguous' END AS decision FROM pages a JOIN pages b ON a.page_id < b.page_id AND a.page_id // 5 = b.page_id // 5")
-def merge_decisions(spark, d):
-    """Same name; two shared contexts on equal page_id % 3, two domains on unequal page_id % 2."""
+NAME_SQL = f"WITH p AS (SELECT page_id, regexp_replace({HOST_SQL}, '^www\\.', '') AS name, page_id % 3 AS c, page_id % 2 AS d FROM pages), k AS (SELECT *, min(page_id) OVER (PARTITION BY name, c, d) AS class_id FROM p)"
+
+
+def _persons(spark, d):
+    """Persons named by the host of a page; two shared contexts on equal page_id % 3, two domains on unequal page_id % 2."""
     i = F.col("page_id")
     s = lambda c: c.cast("string")
-    p = table(spark, d, "pages").select(
-        i.alias("candidate_id"), F.lit("person").alias("entity_type"), F.array(s(F.floor(i / 5))).alias("names"), F.create_map().cast("map<string,string>").alias("ids"),
+    return table(spark, d, "pages").select(
+        i.alias("candidate_id"), F.lit("person").alias("entity_type"), F.array(tx.normalize_domain(F.col("url"))).alias("names"), F.create_map().cast("map<string,string>").alias("ids"),
         F.create_map(F.lit("city"), s(i % 3), F.lit("date"), s(i % 3)).alias("context"), F.array(s(i % 2)).alias("domains"), F.lit(True).alias("cited"), F.lit(0.8).alias("reliability"),
     )
-    return entities.merge_pairs(p)
+
+
+@query(f"{NAME_SQL}, r AS (SELECT class_id, name, c, d, count(*) AS n FROM k GROUP BY ALL) SELECT a.class_id AS left_id, b.class_id AS right_id, a.n AS left_count, b.n AS right_count, CASE WHEN a.d <> b.d AND a.c = b.c THEN 'merge' ELSE 'ambiguous' END AS decision FROM r a JOIN r b ON a.name = b.name AND (a.class_id < b.class_id OR a.class_id = b.class_id AND a.n > 1)")
+def merge_decisions(spark, d):
+    return entities.merge_pairs(_persons(spark, d))
+
+
+@query(f"{NAME_SQL} SELECT page_id AS candidate_id, class_id FROM k")
+def merge_classes(spark, d):
+    return entities.evidence_classes(_persons(spark, d)).select("candidate_id", "class_id")
 
 
 @query("SELECT lang, CASE WHEN c = 'archive_dataset' THEN 604800 WHEN lang = 'fr' THEN 300 WHEN lang = 'es' THEN 1800 WHEN lang = 'de' THEN 21600 WHEN c = 'api' THEN 3600 ELSE 86400 END AS seconds, count(*) AS n FROM (SELECT lang, CASE doc_id % 3 WHEN 0 THEN 'archive_dataset' WHEN 1 THEN 'api' ELSE 'html_page' END AS c FROM documents) GROUP BY 1, 2")

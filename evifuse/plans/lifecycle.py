@@ -27,25 +27,25 @@ def readiness(spark, d):
 
 
 @query(
-    """p AS (SELECT DISTINCT user_id AS provider_id, user_id % 6 <> 0 AS enabled FROM obs), a AS (SELECT user_id AS provider_id, count(*) AS n, count(*) FILTER (layer_key = 'error') AS f FROM obs WHERE user_id % 4 < 2 GROUP BY 1)
+    """p AS (SELECT c_custkey AS provider_id, c_acctbal >= 0 AS enabled FROM customer), a AS (SELECT user_id AS provider_id, count(*) AS n, count(*) FILTER (layer_key = 'error') AS f FROM obs GROUP BY 1)
 SELECT provider_id, coalesce(n, 0) AS attempt_count, coalesce(f, 0) AS failure_count, CASE WHEN f > 0 THEN 'degraded' WHEN n > 0 THEN 'healthy' WHEN NOT enabled THEN 'disabled' ELSE 'unknown' END AS state FROM p LEFT JOIN a USING (provider_id)""",
     ("obs",),
 )
 def provider_health(spark, d):
     o = view(spark, d, "obs")
-    providers = o.select(F.col("user_id").alias("provider_id"), (F.col("user_id") % 6 != 0).alias("enabled")).distinct()
-    tried = o.filter("user_id % 4 < 2").select(F.col("user_id").alias("provider_id"), F.when(F.col("layer_key") == "error", "failed").otherwise("completed").alias("status"))
+    providers = table(spark, d, "customer").select(F.col("c_custkey").alias("provider_id"), (F.col("c_acctbal") >= 0).alias("enabled"))
+    tried = o.select(F.col("user_id").alias("provider_id"), F.when(F.col("layer_key") == "error", "failed").otherwise("completed").alias("status"))
     return lifecycle.provider_health(providers, tried).select("provider_id", "attempt_count", "failure_count", "state")
 
 
 @query(
     f"""SELECT page_id AS candidate_id, CASE WHEN page_id % 5 = 0 THEN 'promoted' WHEN page_id % 3 = 0 THEN 'ignored' WHEN page_id % 3 = 1 THEN 'deferred' ELSE 'candidate' END AS status
-FROM (SELECT page_id, {HOST} AS h FROM pages) WHERE page_id % 2 = 0 AND (h = 'example.com' OR ends_with(h, '.example.com')) AND h <> 'spam-farm.example.com'"""
+FROM (SELECT page_id, {HOST} AS h FROM pages) WHERE (h = 'example.com' OR ends_with(h, '.example.com')) AND h <> 'spam-farm.example.com'"""
 )
 def released_candidates(spark, d):
     i = F.col("page_id")
     c = table(spark, d, "pages").select(
-        i.alias("candidate_id"), tx.normalize_domain(F.col("url")).alias("domain"), F.col("url").alias("canonical_url"), F.when(i % 2 == 0, "suppressed").otherwise("candidate").alias("status"),
+        i.alias("candidate_id"), tx.normalize_domain(F.col("url")).alias("domain"), F.col("url").alias("canonical_url"), F.lit("suppressed").alias("status"),
         F.when(i % 3 == 0, "ignore").when(i % 3 == 1, "revisit_later").otherwise("keep_candidate").alias("score_bucket"), F.lit(None).cast("string").alias("trust_level"), F.when(i % 5 == 0, i).alias("promoted_source_id"),
     )
     rows = [("domain", "example.com", "2020-01-01", "active"), ("domain", "spam-farm.example.com", None, "active"), ("domain", "example.net", "2030-01-01", "active"), ("domain", "example.org", "2020-01-01", "expired")]

@@ -66,12 +66,12 @@ def hash_distances(spark, d):
     return e.select("event_id", evidence.hex_hamming(F.lower(F.hex("event_id")), F.lower(F.hex(F.col("user_id") * 7919))).cast("tinyint").alias("distance"))
 
 
-EDGE_SQL = "edge AS (SELECT * FROM assertions WHERE confidence_score >= 0.93 AND jurisdiction = 'O')"
+EDGE_SQL = "edge AS (SELECT * FROM assertions)"
 
 
 def _edges(spark, d):
     a = view(spark, d, "assertions").withColumn("valid_from", F.col("valid_us")).withColumn("valid_to", F.col("valid_us"))
-    return graph.eligible(a, view(spark, d, "citations"), jurisdiction="O", min_confidence=0.93)
+    return graph.eligible(a, view(spark, d, "citations"))
 
 
 @query(f"{EDGE_SQL}, ends AS (SELECT assertion_id, confidence_score, subject_entity_id AS entity_id FROM edge UNION ALL SELECT assertion_id, confidence_score, object_entity_id FROM edge), b AS (SELECT entity_id, sum(confidence_score) AS c, count(*) AS n FROM ends GROUP BY 1), s AS (SELECT entity_id, count(DISTINCT source_uri) AS k FROM ends JOIN citations USING (assertion_id) GROUP BY 1) SELECT entity_id, n AS relationship_count, k AS distinct_source_count, round(c + 0.1::DOUBLE * k + 0.05::DOUBLE * n, 4) AS score FROM b JOIN s USING (entity_id)", ("assertions", "citations"))
@@ -80,27 +80,27 @@ def prominence(spark, d):
 
 
 @query(
-    """RECURSIVE edge AS (SELECT assertion_id, subject_entity_id AS a, object_entity_id AS b FROM assertions WHERE confidence_score >= 0.97 AND jurisdiction = 'O'),
+    """RECURSIVE edge AS (SELECT assertion_id, subject_entity_id AS a, object_entity_id AS b FROM assertions),
 both_ways AS (SELECT assertion_id, a AS u, b AS v FROM edge UNION ALL SELECT assertion_id, b, a FROM edge),
 walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT v, depth + 1 FROM walk JOIN both_ways ON u = node WHERE depth < 3)
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1""",
     ("assertions",),
 )
 def network_nodes(spark, d):
-    a = view(spark, d, "assertions").filter("confidence_score >= 0.97 and jurisdiction = 'O'")
+    a = view(spark, d, "assertions")
     nodes, _ = graph.network_slice(a, view(spark, d, "citations"), F.lit(1).cast("long"), 3)
     return nodes.select("node", "depth")
 
 
 @query(
-    """RECURSIVE edge AS (SELECT assertion_id, subject_entity_id AS a, object_entity_id AS b FROM assertions WHERE confidence_score >= 0.97 AND jurisdiction = 'O'),
+    """RECURSIVE edge AS (SELECT assertion_id, subject_entity_id AS a, object_entity_id AS b FROM assertions),
 both_ways AS (SELECT assertion_id, a AS u, b AS v FROM edge UNION ALL SELECT assertion_id, b, a FROM edge),
 walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT v, depth + 1 FROM walk JOIN both_ways ON u = node WHERE depth < 3)
 SELECT e.assertion_id, n AS evidence_count FROM edge e JOIN (SELECT assertion_id, count(*) AS n FROM citations GROUP BY 1) USING (assertion_id) WHERE e.assertion_id IN (SELECT assertion_id FROM both_ways JOIN walk ON u = node WHERE depth < 3)""",
     ("assertions", "citations"),
 )
 def network_relationships(spark, d):
-    a = view(spark, d, "assertions").filter("confidence_score >= 0.97 and jurisdiction = 'O'")
+    a = view(spark, d, "assertions")
     return graph.network_slice(a, view(spark, d, "citations"), F.lit(1).cast("long"), 3)[1].select("assertion_id", "evidence_count")
 
 
@@ -161,11 +161,11 @@ def run_warnings(spark, d):
     return discovery.run_warnings(r)
 
 
-@query("s AS (SELECT candidate_id, arg_max(run_id, revision_id) AS c, arg_max(score, revision_id) AS v FROM revisions WHERE run_id <= 1996 GROUP BY 1), f AS (SELECT candidate_id, arg_max(run_id, revision_id) AS c, arg_max(score, revision_id) AS v FROM revisions WHERE run_id = 1997 GROUP BY 1) SELECT coalesce(s.candidate_id, f.candidate_id) AS candidate_id, CASE WHEN s.v IS NULL OR f.v >= s.v THEN f.c ELSE s.c END AS campaign_id, CASE WHEN s.v IS NULL OR f.v >= s.v THEN f.v ELSE s.v END AS score FROM s FULL JOIN f ON s.candidate_id = f.candidate_id", ("revisions",))
+@query("s AS (SELECT candidate_id, arg_max(run_id, revision_id) AS c, arg_max(score, revision_id) AS v FROM revisions WHERE run_id <= 1996 GROUP BY 1), f AS (SELECT candidate_id, arg_max(run_id, revision_id) AS c, arg_max(score, revision_id) AS v FROM revisions WHERE run_id > 1996 GROUP BY 1) SELECT coalesce(s.candidate_id, f.candidate_id) AS candidate_id, CASE WHEN s.v IS NULL OR f.v >= s.v THEN f.c ELSE s.c END AS campaign_id, CASE WHEN s.v IS NULL OR f.v >= s.v THEN f.v ELSE s.v END AS score FROM s FULL JOIN f ON s.candidate_id = f.candidate_id", ("revisions",))
 def score_ownership(spark, d):
     last = lambda df: windows.latest(df.select("candidate_id", "revision_id", F.col("run_id").alias("campaign_id"), "score"), ["candidate_id"], "revision_id")
     r = view(spark, d, "revisions")
-    return discovery.keep_score(last(r.filter("run_id <= 1996")), last(r.filter("run_id = 1997")))
+    return discovery.keep_score(last(r.filter("run_id <= 1996")), last(r.filter("run_id > 1996")))
 
 
 @query(

@@ -162,6 +162,10 @@ def test_merge_decisions(spark):
     df = spark.createDataFrame(rows, "candidate_id long, entity_type string, names array<string>, ids map<string,string>, context map<string,string>, domains array<string>, cited boolean, reliability double")
     got = {(r.left_id, r.right_id): r.decision for r in entities.merge_pairs(df).collect()}
     assert got[(1, 2)] == "merge" and got[(1, 3)] == "do_not_merge" and got[(4, 5)] == "merge" and got[(1, 4)] == "ambiguous" and (2, 3) not in got
+    many = df.union(spark.range(100, 400).crossJoin(df.filter("candidate_id = 4").drop("candidate_id")))
+    pairs = {(r.left_id, r.right_id): (r.left_count, r.right_count, r.decision) for r in entities.merge_pairs(many).collect()}
+    assert set(pairs) - set(got) == {(4, 4)} and pairs[(4, 5)] == (301, 1, "merge") and pairs[(4, 4)] == (301, 301, "ambiguous")
+    assert {r.class_id for r in entities.evidence_classes(many).filter("candidate_id >= 100").collect()} == {4}
 
 
 def test_claims(spark):
