@@ -57,9 +57,20 @@ def point_wkt(lon: Column, lat: Column) -> Column:
     return F.concat(F.lit("POINT ("), wkt_number(lon), F.lit(" "), wkt_number(lat), F.lit(")"))
 
 
-def polygon_wkt(rings: Column) -> Column:
+def _rings_wkt(rings: Column) -> Column:
+    """The rings of one polygon in brackets; null where none holds a point."""
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", wkt_number(p[0]), wkt_number(p[1]))), ", "), F.lit(")"))
-    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
+    some = F.filter(rings, lambda r: F.size(r) > 0)
+    return F.when(F.size(some) > 0, F.concat(F.lit("("), F.array_join(F.transform(some, ring), ", "), F.lit(")")))
+
+
+def polygon_wkt(rings: Column) -> Column:
+    return F.concat(F.lit("POLYGON "), _rings_wkt(rings))
+
+
+def multipolygon_wkt(polygons: Column) -> Column:
+    parts = F.array_compact(F.transform(polygons, _rings_wkt))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("MULTIPOLYGON ("), F.array_join(parts, ", "), F.lit(")")))
 
 
 def mercator_to_wgs84(x: Column, y: Column) -> tuple[Column, Column]:

@@ -296,3 +296,37 @@ def watch_rule_fingerprints(spark, d):
 def redaction_visibility(spark, d):
     level = F.expr("CASE user_id % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'restricted' WHEN 2 THEN 'confidential' WHEN 3 THEN 'secret' ELSE 'odd' END")
     return view(spark, d, "obs").select(level.alias("level")).withColumn("shown", rules.visible(F.col("level"), "confidential")).groupBy("level", "shown").agg(F.count("*").alias("n"))
+
+
+WATCHES = [(1, "view", None, 200, 0.5, None, 200), (2, None, "s1.example.com", 50, 0.0, None, 50), (3, "click", "s3.example.com", 100, 0.6, None, 100), (4, None, None, 1000, 0.0, "7", 25), (5, "none", None, 20, 0.0, None, 20)]
+_WATCH_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in w) + ")" for w in WATCHES)
+
+
+@query(
+    f"""w(watch_id, wl, wd, depth, least, term, most) AS (VALUES {_WATCH_ROWS}),
+r AS (SELECT w.*, o.observation_id AS i, o.confidence_score AS c, o.content_json AS j, row_number() OVER (PARTITION BY watch_id ORDER BY o.observation_id DESC) AS n FROM w JOIN obs o ON coalesce(wl = o.layer_key, true) AND coalesce(wd = o.source_domain, true)),
+k AS (SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY i DESC) AS p FROM r WHERE n <= depth AND c >= least AND (term IS NULL OR contains(lower(j), term))),
+f AS (SELECT watch_id, count(*) AS matches, min(c) AS confidence, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i DESC) AS ids FROM k WHERE p <= most GROUP BY 1)
+SELECT w.watch_id::BIGINT AS watch_id, coalesce(matches, 0) AS matches, coalesce(confidence, 0.0::DOUBLE) AS confidence, sha256(coalesce(ids, '')) AS fingerprint FROM w LEFT JOIN f USING (watch_id)""",
+    ("obs",),
+)
+def observation_watches(spark, d):
+    rows = [(*w[:5], [w[5]] if w[5] else None, w[6]) for w in WATCHES]
+    w = spark.createDataFrame(rows, "watch_id long, layer_key string, source_domain string, read_limit int, min_confidence double, terms array<string>, max_results int")
+    return watches.observation_watches(w, view(spark, d, "obs"), F.col("content_json"), 1000).drop("ids")
+
+
+@query(
+    """w AS (SELECT c_custkey AS watch_id, CASE c_nationkey % 3 WHEN 0 THEN 'source_delta' WHEN 1 THEN 'source_health' ELSE 'investigation_watch' END AS kind, c_acctbal >= 0 AS enabled FROM customer),
+l AS (SELECT source_id, max(source_run_id) AS i, arg_max(status, source_run_id) AS s, arg_max(payload_sha256, source_run_id) AS p FROM runs GROUP BY 1),
+e AS (SELECT *, CASE WHEN kind = 'investigation_watch' AND NOT enabled THEN 'source is missing or disabled' WHEN kind <> 'source_health' AND i IS NULL THEN 'source has no run' END AS error FROM w LEFT JOIN l ON source_id = watch_id)
+SELECT watch_id, i AS source_run_id, error, CASE WHEN error IS NULL THEN CASE WHEN kind <> 'source_health' THEN p WHEN NOT enabled THEN 'disabled' WHEN i IS NULL THEN 'never_run' ELSE s END END AS fingerprint FROM e""",
+    ("runs",),
+)
+def source_watches(spark, d):
+    from evifuse.session import table
+
+    c = table(spark, d, "customer").withColumnRenamed("c_custkey", "source_id")
+    kind = F.expr("CASE c_nationkey % 3 WHEN 0 THEN 'source_delta' WHEN 1 THEN 'source_health' ELSE 'investigation_watch' END")
+    sources = c.select("source_id", (F.col("c_acctbal") >= 0).alias("enabled"))
+    return watches.source_watches(c.select(F.col("source_id").alias("watch_id"), "source_id", kind.alias("watch_type")), sources, view(spark, d, "runs"))

@@ -70,14 +70,34 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arcgis_features(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Attributes and WGS84 point of each feature; Web-Mercator coordinates are converted."""
+    """Attributes, WGS84 point and GeoJSON geometry of each feature; Web-Mercator coordinates are converted.
+
+    Points without two numbers drop out, and with them lines and rings that hold no other; a feature without any is kept
+    with a null geometry.
+    """
     from evifuse.functions.geo import mercator_to_wgs84
 
-    schema = "spatialReference struct<wkid:int,latestWkid:int>, features array<struct<attributes:map<string,string>,geometry:struct<x:double,y:double>>>"
-    f = payloads.select(F.from_json(payload, schema).alias("j")).select("j.spatialReference", F.explode("j.features").alias("f"))
-    lon, lat = mercator_to_wgs84(F.col("f.geometry.x"), F.col("f.geometry.y"))
-    mercator = F.coalesce("spatialReference.latestWkid", "spatialReference.wkid").isin(3857, 102100, 102113)
-    return f.select(F.col("f.attributes").alias("attributes"), F.when(mercator, lon).otherwise(F.col("f.geometry.x")).alias("lon"), F.when(mercator, lat).otherwise(F.col("f.geometry.y")).alias("lat"))
+    lines = "array<array<array<double>>>"
+    schema = f"spatialReference struct<wkid:int,latestWkid:int>, features array<struct<attributes:map<string,string>,geometry:struct<x:double,y:double,points:array<array<double>>,paths:{lines},rings:{lines}>>>"
+    f = payloads.select(F.from_json(payload, schema).alias("j")).select("j.spatialReference", F.explode("j.features").alias("f")).select("f.attributes", "f.geometry.*", F.coalesce("spatialReference.latestWkid", "spatialReference.wkid").alias("wkid"))
+    mercator = F.col("wkid").isin(3857, 102100, 102113)
+
+    def place(x, y):
+        lon, lat = mercator_to_wgs84(x, y)
+        return F.when(x.isNotNull() & y.isNotNull(), F.when(mercator, F.array(lon, lat)).otherwise(F.array(x, y)))
+
+    line = lambda points: F.array_compact(F.transform(points, lambda p: place(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
+    every = lambda parts: F.filter(F.transform(parts, line), lambda p: F.size(p) > 0)
+    shaped = f.select("attributes", place(F.col("x"), F.col("y")).alias("point"), line(F.col("points")).alias("points"), every(F.col("paths")).alias("paths"), every(F.col("rings")).alias("rings"))
+    geojson = lambda kind, value: F.to_json(F.struct(F.lit(kind).alias("type"), value.alias("coordinates")))
+    geometry = (
+        F.when(F.col("point").isNotNull(), geojson("Point", F.col("point")))
+        .when(F.size("points") > 0, geojson("MultiPoint", F.col("points")))
+        .when(F.size("paths") == 1, geojson("LineString", F.get("paths", F.lit(0))))
+        .when(F.size("paths") > 1, geojson("MultiLineString", F.col("paths")))
+        .when(F.size("rings") > 0, geojson("Polygon", F.col("rings")))
+    )
+    return shaped.select("attributes", F.get("point", F.lit(0)).alias("lon"), F.get("point", F.lit(1)).alias("lat"), geometry.alias("geometry"))
 
 
 def ckan_packages(payloads: DataFrame, payload: str = "payload") -> DataFrame:

@@ -262,6 +262,23 @@ def test_readers(spark, tmp_path):
     assert [(r.table_name, json.loads(r.payload)) for r in readers.read(spark, p("e.db")).collect()] == [("t", {"a": 1, "b": "x"})]
     arc = json.dumps({"spatialReference": {"wkid": 102100}, "features": [{"attributes": {"n": "x"}, "geometry": {"x": 111319.49079327358, "y": 0.0}}]})
     assert abs(readers.arcgis_features(spark.createDataFrame([(arc,)], "payload string")).first().lon - 1.0) < 1e-9
+    shapes = [{"points": [[1, 2], [None, 1]]}, {"paths": [[[1, 2], [3, 4]]]}, {"paths": [[[1, 2]], [], [[3, 4]]]}, {"rings": [[[0, 0], [1, 0], [0, 1]]]}, {"rings": [[]]}, None, {"x": 1.5, "y": "bad"}]
+    text = json.dumps({"features": [{"attributes": {"n": str(i)}, "geometry": g} for i, g in enumerate(shapes)]})
+    made = [r.geometry and json.loads(r.geometry) for r in readers.arcgis_features(spark.createDataFrame([(text,)], "payload string")).collect()]
+    assert [m and m["type"] for m in made] == ["MultiPoint", "LineString", "MultiLineString", "Polygon", None, None, None]
+    assert made[0]["coordinates"] == [[1.0, 2.0]] and made[2]["coordinates"] == [[[1.0, 2.0]], [[3.0, 4.0]]]
+    polygons = F.from_json(F.lit("[[[[0,0],[1,0.5],[0,0]]],[[]],[]]"), "array<array<array<array<double>>>>")
+    assert one(spark, geo.multipolygon_wkt(polygons)) == "MULTIPOLYGON (((0 0, 1 0.5, 0 0)))" and one(spark, geo.multipolygon_wkt(F.slice(polygons, 2, 2))) is None
+
+
+def test_watches_on_sources_and_images(spark):
+    w = spark.createDataFrame([(1, 1, "source_delta"), (2, 2, "source_health"), (3, 3, "investigation_watch"), (4, None, "source_delta"), (5, 2, "source_delta"), (6, 9, "source_health")], "watch_id long, source_id long, watch_type string")
+    sources = spark.createDataFrame([(1, False), (2, True), (3, False)], "source_id long, enabled boolean")
+    runs = spark.createDataFrame([(1, 1, "completed", "a"), (1, 2, "failed", None), (3, 3, "completed", "c")], "source_id long, source_run_id long, status string, payload_sha256 string")
+    got = {r.watch_id: (r.fingerprint, r.error) for r in watches.source_watches(w, sources, runs).collect()}
+    assert got == {1: ("2", None), 2: ("never_run", None), 3: (None, "source is missing or disabled"), 4: (None, "no source"), 5: (None, "source has no run"), 6: ("disabled", None)}
+    images = spark.createDataFrame([(1, "Image/PNG; q=1", b"x"), (2, "text/html", b"x"), (3, None, b"x")], "watch_id long, media_type string, content binary")
+    assert {r.watch_id: (r.fingerprint is not None, r.error) for r in watches.image_watches(images).collect()} == {1: (True, None), 2: (False, "unsupported media type"), 3: (False, "unsupported media type")}
 
 
 def test_archive_versions(spark, tmp_path):
