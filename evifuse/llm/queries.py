@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evifuse.llm import codes
+from evifuse.llm.codes import op12_vector_codes
 from evifuse.llm.decontaminate import op10_decontamination
 from evifuse.llm.langid import op9_language_id
 from evifuse.llm.packing import op2_packing
@@ -15,8 +17,8 @@ from evifuse.llm.vectors import op8_embedding_dedup
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_packing, op3_simhash_dedup, op4_substring_dedup, op5_pii, op6_url_filter, op7_secret_scan, op8_embedding_dedup, op9_language_id, op10_decontamination)
+    for f in (op1_toxicity, op2_packing, op3_simhash_dedup, op4_substring_dedup, op5_pii, op6_url_filter, op7_secret_scan, op8_embedding_dedup, op9_language_id, op10_decontamination, op12_vector_codes)
 }
 
-#: None of the ten is plain SQL: each returns what a model, a tokenizer or an iteration decides. tests/llm holds the brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: The others return what a model, a tokenizer or an iteration decides: not plain SQL. tests/llm holds the brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": codes.ORACLE}
