@@ -1,12 +1,13 @@
 """Collocations: phrases of up to five words whose parts occur together more often than apart.
 
-Counting sorts suffixes. Words are counted first; texts split at words rarer than the threshold, which no frequent phrase
-can hold (the broadcast that says which words are frequent is a bit per hash value, 2 MB at any size: a rare word
-that shares its bit only costs work). Each remaining position gives its suffix of at most ``max_n`` words; equal suffixes of
-a run of words are merged before they shuffle by language and first word. Each task reads its suffixes in reverse
-lexicographic order and counts all their prefixes with one stack. A first word with more than 1/``HOT_WORDS`` of all words
-is dealt by the whole suffix, and the counts of its prefixes are added up afterwards. Parts are joined to the phrases at
-the end, when only frequent ones are left.
+Counting sorts suffixes. Words are counted first, then pairs and triples of them; texts split at words, pairs and triples
+rarer than the threshold, which no frequent phrase can hold. Broadcasts say which are frequent, by a bit per hash value: 1, 8
+and 8 MB at any size. A rare one that shares its bit only costs work. Each remaining position gives its suffix of at most
+``MAX_N`` words; equal suffixes of a run of words are merged before they shuffle by language and first word. Each task
+reads its suffixes in reverse lexicographic order and counts all their prefixes with one stack. Where the first word
+holds more than 1/``HOT_WORDS`` of all words, the next words take part in the dealing, up to the first that is not hot; only
+prefixes of nothing but hot words are then added up from several tasks. Parts are joined to the phrases at the end, when
+only frequent ones are left.
 
 Defined results: a null text is empty; a null language is ``und``; repeated rows count each; rows without an id count like
 others (ids play no part); texts of any length are read whole, in slices; a phrase never leaves its piece; ties of score
@@ -16,10 +17,12 @@ no part; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,190 +30,242 @@ from pyspark.sql import functions as F
 from evifuse.llm.common import cut, join_skewed, table
 
 MAX_N, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bits that say which words are frequent, as a power of two.
-SIEVE = 24
-#: A first word with more than 1/HOT_WORDS of all words is dealt by the whole suffix; there are fewer than HOT_WORDS such.
+#: Bits that say which words, pairs and triples are frequent, as powers of two.
+SIEVES = 23, 26, 26
+#: A word with more than 1/HOT_WORDS of all words is hot; there are fewer than HOT_WORDS such.
 HOT_WORDS = 200
-#: Words that one run merges, and bytes of a text that are split at a time.
-RUN, SLICE = 1 << 21, 1 << 22
-#: Piece separators become "."; it then stands alone between words.
-_PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
-_CUTS = b" \t."
+#: Bytes of text that are split and merged at a time, and of one text.
+RUN = 1 << 21
+_PIECES = r"[.,;:!?\n\x0b\x0c\r]"
+_CUTS = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 #: Salts for the last ranking, so that one language is not sorted in one task.
 SALTS = 64
 
 
-def _slices(text: bytes):
-    """Lists of words and "." of a text, of about ``SLICE`` bytes each, cut between words."""
-    text = text.lower().translate(_PIECES)
-    at = 0
-    while at < len(text):
-        end = at + SLICE
-        if end < len(text):
-            end = min((x for x in (text.find(bytes([c]), end) for c in _CUTS) if x >= 0), default=len(text))
-        yield text[at:end].replace(b".", b" . ").split()
-        at = end
-
-
-def _name(lang: str | None) -> bytes:
+def _name(lang: str | None) -> str:
     """A language as a word without blanks: it stands second in the sort key."""
-    return ("und" if lang is None else lang).replace("%", "%25").replace(" ", "%20").replace("\t", "%09").encode()
+    return ("und" if lang is None else lang).replace("%", "%25").replace(" ", "%20").replace("\t", "%09")
 
 
-def _texts(batches):
+def _runs(batches):
+    """(language, texts, whether the text goes on): texts of one language, about ``RUN`` bytes; longer ones alone, in slices cut after a separator."""
+    held: dict[str, list[pa.Array]] = {}
+    size: dict[str, int] = {}
     for b in batches:
-        names = b.column("lang").to_pylist()
-        for i, text in enumerate(b.column("text").cast(pa.binary())):
-            if text.is_valid and len(text.as_buffer()):
-                yield _name(names[i]), text.as_py()
+        text = b.column("text")
+        length = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(length > RUN).tolist():
+            data, at = text[i].as_buffer().to_pybytes(), 0
+            while at < len(data):
+                m = _CUTS.search(data, at + RUN)
+                end = m.end() if m else len(data)
+                yield _name(b.column("lang")[i].as_py()), pa.array([data[at:end]], pa.binary()).cast(pa.string()), end < len(data)
+                at = end
+        codes = b.column("lang").dictionary_encode()
+        at = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for k in np.unique(at).tolist():
+            name = _name(codes.dictionary[k].as_py() if k >= 0 else None)
+            own = np.flatnonzero((at == k) & (length > 0) & (length <= RUN))
+            cuts = np.flatnonzero(np.diff(np.cumsum(length[own]) // RUN)) + 1
+            for part in np.split(own, cuts):
+                if len(part):
+                    held.setdefault(name, []).append(text.take(pa.array(part)))
+                    size[name] = size.get(name, 0) + int(length[part].sum())
+                    if size[name] >= RUN or sum(size.values()) >= 4 * RUN:
+                        most = max(size, key=size.get)
+                        size.pop(most)
+                        yield most, pa.concat_arrays(held.pop(most)), False
+    for name, texts in held.items():
+        yield name, pa.concat_arrays(texts), False
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Word numbers of all texts in order, with -1 before each text and between pieces, and the words by number."""
+    marked = pc.binary_join_element_wise(".", pc.replace_substring_regex(pc.ascii_lower(texts), _PIECES, " . "), " ")
+    codes = pc.ascii_split_whitespace(marked).flatten().dictionary_encode()
+    words = codes.dictionary.to_pylist()
+    stop = np.array([w in ("", ".") for w in words], bool)
+    at = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # empty strings, if any, stand where a text ends
+    return np.where(stop[at], -1, at), words
 
 
-def _runs(batches):
-    """(language, words with "." between pieces, whether the last text goes on) in runs of about ``RUN`` words, by language."""
-    held: dict[bytes, list[bytes]] = {}
-    for name, text in _texts(batches):
-        for k, words in enumerate(_slices(text)):
-            own = held.setdefault(name, [])
-            if not k:
-                own.append(b".")
-            own += words
-            if len(own) >= RUN:
-                yield name, own, True
-                # the last words begin suffixes that go on in the next slice
-                held[name] = own[-(MAX_N - 1) :]
-            elif sum(map(len, held.values())) >= 2 * RUN:
-                most = max(held, key=lambda x: len(held[x]))
-                goes_on = most == name
-                yield most, held[most], goes_on
-                held[most] = held[most][-(MAX_N - 1) :] if goes_on else []
-    for name, own in held.items():
-        yield name, own, False
+def _count_words(batches):
+    """(w, lang, n) with the counts of each run; Spark adds those of a task before they shuffle."""
+    for name, texts, _ in _runs(batches):
+        at, words = _words(texts)
+        counts = np.bincount(at[at >= 0], minlength=len(words))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"w": pa.array(words, pa.string()).take(pa.array(used)), "lang": pa.array([name] * len(used), pa.string()), "n": counts[used]})
 
 
-def _count_words(batches):
-    """(word, lang, n) with the counts of each run."""
-    for name, text in _merged_words(batches):
-        yield pa.RecordBatch.from_pydict({"w": pa.array(text, pa.binary()).cast(pa.string()), "lang": [name.decode()] * len(text), "n": list(text.values())})
+def _marks(name: str, words: list[str]) -> np.ndarray:
+    seed = zlib.crc32(f"{name} ".encode())
+    return np.fromiter((zlib.crc32(w.encode(), seed) for w in words), np.int64, len(words))
+
+
+def _look(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _bit(at, power: int):
+    """The place in a sieve of 2^power bits of a gram's hash, an array or a Column."""
+    if isinstance(at, np.ndarray):
+        return (at ^ at >> 31) & (1 << power) - 1
+    return at.bitwiseXOR(F.shiftright(at, 31)).bitwiseAND(F.lit((1 << power) - 1))
+
 
+def _look(sieve: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = _bit(at, len(sieve).bit_length() + 2)
+    return (sieve[at >> 3] >> (at & 7) & 1).astype(bool)
 
-def _merged_words(batches):
-    from collections import Counter
 
-    held: dict[bytes, Counter] = {}
-    for name, text in _texts(batches):
-        own = held.setdefault(name, Counter())
-        for words in _slices(text):
-            own.update(words)
-        if sum(map(len, held.values())) >= RUN // 2:
-            yield from _without_stops(held)
-            held = {}
-    yield from _without_stops(held)
+class _Run:
+    """A run's words as numbers (frequent words from 1, all else 0), and for each position whether a frequent gram of 1, 2, ... words may begin there, for as many sizes as there are sieves."""
 
+    def __init__(self, sieves: list[np.ndarray], name: str, texts: pa.Array):
+        at, words = _words(texts)
+        seed = zlib.crc32(f"{name} ".encode())
+        mark = np.fromiter((zlib.crc32(w.encode(), seed) for w in words), np.int64, len(words))
+        often = _look(sieves[0], mark)
+        a = np.append(np.where(often, np.cumsum(often), 0), 0)[at]
+        self.size, self.tokens, self.spelled = len(a), (at, words), ["", *(w for w, good in zip(words, often) if good)]
+        self.a = np.concatenate([a, np.zeros(MAX_N, np.int64)])
+        self.mark = np.concatenate([[0], mark[often]])[self.a]
+        self.ok = [self.a > 0]
+        for k, sieve in enumerate(sieves[1:], 2):
+            may = self.may(k)
+            self.ok.append(may & _look(sieve, self.hashes(k)))
 
-def _without_stops(held):
-    for name, counts in held.items():
-        counts.pop(b".", None)
-        if counts:
-            yield name, counts
+    def may(self, k: int) -> np.ndarray:
+        """Whether both grams of k - 1 words inside the gram of k words from here may be frequent."""
+        return self.ok[k - 2] & np.append(self.ok[k - 2][1:], False)
 
+    def hashes(self, k: int) -> np.ndarray:
+        """60 bits for the k words from each position."""
+        h = self.mark
+        for j in range(1, k):
+            h = (h << 28 ^ h >> 19 ^ np.append(self.mark[j:], np.zeros(j, np.int64))) & (1 << 60) - 1
+        return h
 
-def _bit(name: bytes, word: bytes) -> int:
-    return zlib.crc32(word, zlib.crc32(name + b" ")) & (1 << SIEVE) - 1
+    def tail(self, n: int) -> str:
+        """The last n words, with which the next slice of the same text begins."""
+        at, words = self.tokens
+        return " ".join("." if i < 0 else words[i] for i in at[-n:].tolist()) + " "
 
 
-class _Ids(dict):
-    """Numbers from 1 for frequent words in order of appearance; 0 for all others."""
+def _sieved_runs(sieves, batches, n: int):
+    """(language, run, whether its text goes on); the slice of a text begins with the last n words of the one before."""
+    tail = ""
+    for name, texts, goes_on in _runs(batches):
+        run = _Run(sieves, name, pa.array([tail + texts[0].as_py()], pa.string()) if tail else texts)
+        tail = run.tail(n) if goes_on else ""
+        yield name, run, goes_on
 
-    def __init__(self, name: bytes, bits: np.ndarray):
-        self.name, self.bits, self.words = name, bits, [b""]
 
-    def __missing__(self, word: bytes) -> int:
-        at = _bit(self.name, word)
-        n = 0
-        if word != b"." and self.bits[at >> 3] >> (at & 7) & 1:
-            n = len(self.words)
-            self.words.append(word)
-        self[word] = n
-        return n
+def _count_grams(sieves, k: int):
+    def run_task(batches):
+        """(at, n): hashes of grams of k words whose parts may be frequent, with their counts in the run."""
+        for _, run, _ in _sieved_runs(sieves.value, batches, k - 1):
+            at, n = np.unique(run.hashes(k)[run.may(k)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    return run_task
 
 
-def _suffixes(sieve, hot):
+def _suffixes(sieves, hot):
     def run_task(batches):
-        """(key, hot, n): a suffix of two words or more as "first lang second ..." with its count in the run; keys end in a blank, so that prefixes are whole words."""
-        for name, words, goes_on in _runs(batches):
-            ids = _Ids(name, sieve.value)
-            a = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            n = len(a) - (MAX_N - 1) if goes_on else len(a)
-            a = np.concatenate([a, np.zeros(MAX_N, np.int64)])
-            start = np.flatnonzero((a[: max(n, 0)] > 0) & (a[1 : 1 + max(n, 0)] > 0))
-            cols = [a[start], a[start + 1]]
+        """(key, hot, n): a suffix of two words or more as "first lang second ..." with its count in the run and the number of hot words that it begins with; keys end in a blank, so that prefixes are whole words. The suffix ends before a rare gram."""
+        for name, run, goes_on in _sieved_runs(sieves.value, batches, MAX_N - 1):
+            ok, size = run.ok, max(0, run.size - (MAX_N - 1)) if goes_on else run.size
+            start = np.flatnonzero(ok[1][:size])
+            if not len(start):
+                continue
+            cols = [run.a[start], run.a[start + 1]]
             for j in range(2, MAX_N):
-                cols.append(np.where(cols[-1] > 0, a[start + j], 0))
-            # words of a run number under 2^21 + 1 each, so three fit in one key
-            order = np.lexsort([(cols[3] << 22) | cols[4], (cols[0] << 42) | (cols[1] << 21) | cols[2]])
+                k = min(len(ok), j + 1)
+                cols.append(np.where((cols[-1] > 0) & ok[k - 1][start + j + 1 - k], run.a[start + j], 0))
+            # three numbers below 2^21 fit in one key
+            order = np.lexsort([cols[3] << 21 | cols[4], cols[0] << 42 | cols[1] << 21 | cols[2]] if len(run.spelled) <= 1 << 21 else cols[::-1])
             m = np.stack(cols, 1)[order]
-            new = np.concatenate([[True], (m[1:] != m[:-1]).any(1)]) if len(m) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(m)))
-            spelled = np.array([w + b" " if w else b"" for w in ids.words], object)
-            firsts = np.array([w + b" " + name + b" " for w in ids.words], object)
-            is_hot = np.array([(name, w) in hot for w in ids.words], bool)
-            for i in range(0, len(at), 100_000):
-                u = m[at[i : i + 100_000]]
-                keys = firsts[u[:, 0]] + spelled[u[:, 1]] + spelled[u[:, 2]] + spelled[u[:, 3]] + spelled[u[:, 4]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(is_hot[u[:, 0]]), pa.array(counts[i : i + 100_000])], names=["key", "hot", "n"])
+            first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]).any(1)]))
+            counts = np.diff(np.append(first, len(m)))
+            spelled = pa.array([w and w + " " for w in run.spelled], pa.string())
+            is_hot = np.array([(name, w) in hot for w in run.spelled], bool)
+            for i in range(0, len(first), 100_000):
+                u = m[first[i : i + 100_000]]
+                w = [spelled.take(pa.array(u[:, j])) for j in range(MAX_N)]
+                keys = pc.binary_join_element_wise(w[0], f"{name} ", *w[1:], "")
+                hots = np.logical_and.accumulate(is_hot[u], axis=1).sum(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(hots), pa.array(counts[i : i + 100_000])], names=["key", "hot", "n"])
 
     return run_task
 
 
 def _stack(least: int):
     def run_task(batches):
-        """(key, n) of all prefixes of two words or more: one stack over keys in reverse order. Counts under ``least`` stay only where a first word's suffixes are dealt to several tasks."""
-        words: list[bytes] = []
-        counts: list[int] = []
-        was_hot, out_keys, out_counts = False, [], []
-
-        def close(depth):
-            while len(words) > depth:
-                n = counts.pop()
-                # of the first two entries, word and language, no phrase is made
-                if len(words) > 2 and (n >= least or was_hot):
-                    out_keys.append(b" ".join(words))
-                    out_counts.append(n)
-                words.pop()
-                if counts:
-                    counts[-1] += n
-
-        def batch():
-            b = pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()).cast(pa.string()), pa.array(out_counts, pa.int64())], names=["key", "n"])
-            out_keys.clear()
-            out_counts.clear()
-            return b
+        """(key, n) of all prefixes of two words or more of keys that come in reverse order. The stack holds the open prefixes, one a depth; a batch closes those that end in it.
 
+        Counts under ``least`` stay only for prefixes of hot words, whose suffixes are dealt to several tasks.
+        """
+        depths = range(3, MAX_N + 2)
+        stack: dict[int, list] = {}
         for b in batches:
-            for key, is_hot, n in zip(b.column("key").cast(pa.binary()).to_pylist(), b.column("hot").to_pylist(), b.column("n").to_pylist()):
-                own = key[:-1].split(b" ")
-                common = 0
-                for x, y in zip(words, own):
-                    if x != y:
-                        break
-                    common += 1
-                if common < len(words):
-                    close(common)
-                was_hot = is_hot
-                fresh = len(own) - common
-                if fresh:
-                    words += own[common:]
-                    counts += [0] * fresh
-                counts[-1] += n
-            if len(out_keys) > 50_000:
-                yield batch()
-        close(0)
-        yield batch()
+            if not b.num_rows:
+                continue
+            key, hot, n = b.column("key"), b.column("hot").to_numpy(zero_copy_only=False), b.column("n").to_numpy()
+            split = pc.split_pattern(key, " ")
+            ends = split.offsets.to_numpy()
+            flat = split.flatten().dictionary_encode()
+            # one column a depth, -1 beyond the last word; keys end in a blank, so the last part of each is empty
+            size = np.diff(ends) - 1
+            ids = flat.indices.to_numpy(zero_copy_only=False)
+            m = np.full((len(n), MAX_N + 1), -1, np.int64)
+            for j in range(MAX_N + 1):
+                has = size > j
+                m[has, j] = ids[ends[:-1][has] - ends[0] + j]
+            same = np.logical_and.accumulate(m[1:] == m[:-1], axis=1)
+            out_keys, out_counts = [], []
+            for d in depths:
+                starts = np.concatenate([[0], np.flatnonzero(~same[:, d - 1]) + 1])
+                starts_words = m[starts, d - 1] >= 0
+                sums = np.add.reduceat(n, starts)
+                words = lambda i, d=d: " ".join(key[int(i)].as_py().split(" ")[:d])
+                parted = hot >= d - 1
+                open_key, open_n, open_parted = stack.pop(d, (None, 0, False))
+                if open_key is not None:
+                    if starts_words[0] and words(0) == open_key:
+                        sums[0] += open_n
+                    elif open_n >= least or open_parted:
+                        out_keys.append(pa.array([open_key], pa.string()))
+                        out_counts.append([open_n])
+                last = len(starts) - 1
+                if starts_words[last]:
+                    stack[d] = [words(starts[last]), int(sums[last]), bool(parted[starts[last]])]
+                done = starts_words & ((sums >= least) | parted[starts])
+                done[last] = False
+                if done.any():
+                    closed = pc.binary_join(pc.list_slice(split.take(pa.array(starts[done])), 0, d), " ")
+                    out_keys.append(closed)
+                    out_counts.append(sums[done])
+            if out_keys:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out_keys), pa.array(np.concatenate(out_counts), pa.int64())], names=["key", "n"])
+        left = [x for x in stack.values() if x[1] >= least or x[2]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in left], pa.string()), pa.array([x[1] for x in left], pa.int64())], names=["key", "n"])
 
     return run_task
 
 
+def _sieve(marks: DataFrame, power: int) -> np.ndarray:
+    """A bit for every ``at``, as bytes; Spark gathers it in blocks of 4 KB."""
+    one = marks.select((_bit(F.col("at"), power) + 1).alias("at"))
+    blocks = one.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(1 << power - 3, np.uint8)
+    for r in blocks.collect():
+        bits[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
 def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of every phrase of up to ``MAX_N`` words with f >= least, (lang, n) with all word occurrences) of ``docs(text, lang)``.
 
@@ -224,16 +279,15 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     totals = cut(kept.groupBy("lang").agg(F.sum("f").alias("n")))
     words = kept.filter("w is not null")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    hot = {(r.lang.encode(), r.w.encode()) for r in words.filter(F.col("f") * HOT_WORDS > total).select("lang", "w").collect()}
-    at = F.crc32(F.concat("lang", F.lit(" "), "w")).bitwiseAND(F.lit((1 << SIEVE) - 1)) + 1
-    # blocks of 4 KB, at most 2^SIEVE / 32768 of them
-    blocks = words.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = np.zeros(1 << SIEVE - 3, np.uint8)
-    for r in blocks.collect():
-        bits[(r.block - 1) * 4096 : r.block * 4096] = np.frombuffer(r.bits, np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
-    suffixes = rows.mapInArrow(_suffixes(sent, hot), "key string, hot boolean, n long")
-    dealt = suffixes.repartition(F.when(F.col("hot"), F.col("key")).otherwise(F.substring_index("key", " ", 2)))
+    hot = {(r.lang, r.w) for r in words.filter(F.col("f") * HOT_WORDS > total).select("lang", "w").collect()}
+    sieves = [_sieve(words.select(F.crc32(F.concat("lang", F.lit(" "), "w")).alias("at")), SIEVES[0])]
+    for k, power in enumerate(SIEVES[1:], 2):
+        # grams whose hashes agree count as one here: that keeps too many at worst
+        grams = rows.mapInArrow(_count_grams(spark.sparkContext.broadcast(sieves), k), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        sieves.append(_sieve(grams.filter(F.col("n") >= least), power))
+    suffixes = rows.mapInArrow(_suffixes(spark.sparkContext.broadcast(sieves), hot), "key string, hot int, n long")
+    # the language, the first word, and where that is hot the next ones up to the first that is not
+    dealt = suffixes.repartition(F.expr("substring_index(key, ' ', hot + 2)"))
     sums = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(_stack(least), "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
     w = F.split("key", " ")
     phrases = sums.filter(F.col("f") >= least).select(w[1].alias("lang"), F.concat_ws(" ", F.concat(F.slice(w, 1, 1), F.slice(w, 3, MAX_N))).alias("phrase"), (F.size(w) - 1).alias("words"), "f")
@@ -264,7 +318,9 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     cuts = cut(cuts)
     total = cuts.count()
     cuts = _with(cuts, counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"], total)
+    cuts = cut(cuts)
     cuts = _with(cuts, counts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"], total)
+    cuts = cut(cuts)
     cuts = _with(cuts, totals.withColumnRenamed("n", "words"), ["lang"], total).withColumnRenamed("words", "n")
     wide = lambda c: F.col(c).cast("decimal(17,0)")
     score = F.expr("div(cast(1000 as decimal(4,0)) * a0 * n0, l0 * r0)")
