@@ -22,8 +22,8 @@ def page_domains(spark, d):
 
 @query(f"WITH {CANON_SQL} SELECT page_id, canonical AS canonical_url, sha256(canonical) AS url_hash FROM canon")
 def canonical_urls(spark, d):
-    c = urls.canonical_url_plain(F.col("url"))
-    return table(spark, d, "pages").select("page_id", c.alias("canonical_url"), urls.url_hash(c).alias("url_hash"))
+    canonical = table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
+    return canonical.withColumn("url_hash", urls.url_hash(F.col("canonical_url")))
 
 
 @query(f"WITH {CANON_SQL} SELECT DISTINCT canonical AS canonical_url FROM canon")

@@ -351,3 +351,26 @@ def test_geo_relevance(spark):
     assert score(at, "point", {"points": [(2, 1)]}) == 95.0
     kind = lambda points, places, text: one(spark, signals.footprint(points, words(*places), words(), words(), F.lit(text)))
     assert [kind(at, [], ""), kind(none, [], "Nationwide"), kind(none, ["a"], ""), kind(none, [], "")] == ["point", "nationwide", "local_area", "unknown"]
+
+
+def test_registered_canonical_form_is_the_whole_one(spark, tmp_path):
+    from evifuse.plans import registry
+
+    given = {
+        "http://a.org/x/../y": "http://a.org/y", "http://a.org/x/./y": "http://a.org/x/y", "http://a.org/%7eb": "http://a.org/~b", "http://a.org./p": "http://a.org/p",
+        "http://a.org?b": "http://a.org/?b=", "http://a.org/?q=a b": "http://a.org/?q=a%20b", "http://a.org/?b=1&A=2": "http://a.org/?A=2&b=1", "a.org": "https://a.org/",
+        "wss://a.org:443/s": "wss://a.org/s", "HTTP://A.org:80//x": "http://a.org/x", "http://a.org/plain/p": "http://a.org/plain/p",
+    }
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(given)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.canonical_url for r in registry.queries()["canonical_urls"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(given))] == list(given.values())
+
+
+def test_nested_value_of_any_depth(spark):
+    from evifuse.functions import signals
+
+    deep = lambda n, inner: '{"a":[' * n + inner + "]}" * n
+    rows = [(0, deep(100_000, '{"k": "v, \\"]}"}')), (1, deep(900, '{"k": 7}')), (2, deep(100_000, "1")[:-1]), (3, '{"x": {"k": 1}, "k": " "}'), (4, None), (5, "]")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.v for r in df.select("i", signals.nested_value(F.col("t"), "k").alias("v")).collect()}
+    assert got == {0: 'v, "]}', 1: "7", 2: None, 3: "1", 4: None, 5: None}
