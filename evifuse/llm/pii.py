@@ -4,13 +4,13 @@ Regular expressions run inside the JVM; places come from the lengths of what lie
 possessive where no other split can match, so long runs neither recurse nor rescan. High-recall generators then propose
 overlapping candidates (other numbers of card length, local phone numbers, spelled-out addresses); a
 small gradient-boosted tree ensemble scores each from format and context features, written out as one SQL expression,
-its margins are calibrated to probabilities, and a threshold per kind selects. Candidates that overlap a base span or an accepted one are dropped.
+its margins are calibrated to probabilities, and a threshold per kind selects. Candidates that overlap a base span or one that was chosen before them, by falling probability, are dropped.
 
 The trees are trained on labelled candidates that a seeded generator writes (``TRAIN_ROWS``); their features come from
 the same columns that score documents.
 
 Defined results: null or empty text has no span; spans are (kind, start, end) in code points, end exclusive; base spans of
-different kinds may overlap and all count; of overlapping candidates the first by kind, then start, stays; repeated rows
+different kinds may overlap and all count; of overlapping candidates the likeliest stays, of equal ones the first by kind, then start, and a candidate that gave way drops no other; repeated rows
 and rows without an id scan alike; texts of any length are read whole; other columns of any name stay; an empty table
 gives no rows.
 """
@@ -129,6 +129,12 @@ def _overlaps(a: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (a["a"] < b["b"]) & (b["a"] < a["b"]))
 
 
+def _clear(spans: Column) -> Column:
+    """Of spans in order of preference those that overlap none that stayed before them."""
+    none = F.slice(spans, 1, 0)
+    return F.aggregate(spans, none, lambda kept, s: F.when(_overlaps(s, kept), kept).otherwise(F.concat(kept, F.array(s))))
+
+
 def _side(c: Column) -> Column:
     """0 at an edge or blank, 1 for a mark, 2 for a letter or digit."""
     return F.when((F.length(c) == 0) | c.rlike(r"^\s"), 0.0).when(c.rlike(r"^[\p{L}\p{N}_]"), 2.0).otherwise(1.0)
@@ -216,6 +222,8 @@ class BoostedTrees:
 
     def __init__(self, rounds: int = 24, rate: float = 0.35, least: int = 8):
         self.rounds, self.rate, self.least, self.trees, self.start = rounds, rate, least, [], 0.0
+        #: By kind: scale and shift that turn a margin into log-odds.
+        self.calibrated: dict[int, tuple[float, float]] = {}
 
     def _split(self, x, g, h, rows):
         best = None
@@ -311,6 +319,7 @@ def train(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[BoostedTrees, di
         own = np.sort(z[of & (y[cal] == 1)])
         scale, shift = platt(z[of], y[cal][of])
         even = -shift / scale if scale > 0 else np.inf
+        trees.calibrated[k] = scale, shift
         limits[k] = float(max(even, own[int((1 - REQUIRED_RECALL) * len(own))] if len(own) else even)) - 1e-9
     return trees, limits
 
@@ -324,17 +333,15 @@ def with_spans(spark: SparkSession, docs: DataFrame, text: str = "text") -> Data
     df = with_candidates(with_base(boxed(docs, t=F.coalesce(F.col(text).cast("string"), F.lit("")))))
     feature_struct = lambda s: F.struct(*[c.alias(n) for n, c in candidate_features(F.col("t"), s).items()])
 
-    def accept(s):
-        need = F.lit(float("inf"))
-        for k, v in limits.items():
-            need = F.when(s["k"] == k, v).otherwise(need)
-        return _let(feature_struct(s), lambda f: trees.column({n: f[n] for n in FEATURES})) >= need
-
-    good = F.when(F.size("wide") > 0, F.filter("wide", accept)).otherwise(F.col("wide"))
-    df = df.withColumn("good", good)
-    # of overlapping accepted candidates the first by kind order, then start, stays
-    clear = F.filter("good", lambda s, i: ~_overlaps(s, F.slice(F.col("good"), F.lit(1), i)))
-    df = df.withColumn("good", F.when(F.size("good") > 1, clear).otherwise(F.col("good")))
+    margin = lambda s: _let(feature_struct(s), lambda f: trees.column({n: f[n] for n in FEATURES}))
+    of = lambda s, values, none: F.element_at(F.array(*[F.lit(float(values.get(k, none))) for k in range(len(KINDS))]), s["k"] + 1)
+    scale, shift = ({k: c[i] for k, c in trees.calibrated.items()} for i in (0, 1))
+    scored = F.transform("wide", lambda s: F.struct(s.alias("s"), margin(s).alias("z")))
+    ranked = lambda x: F.struct((-F.round(x["z"] * of(x["s"], scale, 1.0) + of(x["s"], shift, 0.0), 6)).alias("p"), x["s"]["k"].alias("k"), x["s"]["a"].alias("a"), x["s"]["b"].alias("b"), x["s"].alias("s"))
+    good = F.transform(F.filter(scored, lambda x: x["z"] >= of(x["s"], limits, float("inf"))), ranked)
+    df = df.withColumn("good", F.when(F.size("wide") > 0, F.array_sort(good)).otherwise(F.slice(F.array_sort(good), 1, 0)))
+    # likeliest first; a candidate stays where none that stayed overlaps it
+    df = df.withColumn("good", F.transform(F.when(F.size("good") > 1, _clear(F.col("good"))).otherwise(F.col("good")), lambda x: x["s"]))
     spans = [F.array_sort(F.concat(F.col("base")[k], _of_kind(F.col("good"), i)), lambda x, y: x["a"] - y["a"]).alias(k) for i, k in enumerate(KINDS)]
     return df.withColumn("spans", F.when(F.size("good") > 0, F.struct(*spans)).otherwise(F.col("base"))).select("row", "t", "base", "spans")
 

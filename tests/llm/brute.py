@@ -89,7 +89,7 @@ def pii(text):
 
 
 def pii_spans(text, trees, limits):
-    """All spans as a digest: base spans, then accepted candidates by kind order and start where nothing overlaps."""
+    """All spans as a digest: base spans, then accepted candidates by falling log-odds where no chosen one overlaps."""
     from evifuse.llm import pii as p
 
     text = text or ""
@@ -104,10 +104,15 @@ def pii_spans(text, trees, limits):
             continue
         d, before = re.sub("[^0-9]", "", m), text[max(0, a - 18) : a]
         row = [k, len(d), float(bool(d) and luhn(d)), side(text[a - 1 : a] if a else ""), side(text[b : b + 1]), float(bool(re.search(p.HINTS, before))), float(bool(re.search(p.AGAINST, before))), len(re.sub("[0-9A-Za-z]", "", m))]
-        if trees.margin(np.array([row], float))[0] >= limits[k]:
-            kept.append((k, a, b))
-    # a candidate gives way to any accepted one before it, kept or not
-    kept = [s for i, s in enumerate(kept) if not any(s[1] < y and x < s[2] for _, x, y in kept[:i])]
+        z = trees.margin(np.array([row], float))[0]
+        if z >= limits[k]:
+            scale, shift = trees.calibrated[k]
+            kept.append((-round(z * scale + shift, 6), k, a, b))
+    chosen = []
+    for _, k, a, b in sorted(kept):
+        if not any(a < y and x < b for _, x, y in chosen):
+            chosen.append((k, a, b))
+    kept = chosen
     spans = sorted([(p.KINDS.index(k), a, b) for k, a, b in base] + kept)
     return ",".join(f"{p.KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
