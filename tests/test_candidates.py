@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evifuse.operators import candidates
+from evifuse.functions import urls
+from evifuse.operators import candidates, links
 
 SCHEMA = "url_hash string, canonical_url string, campaign_id long, run_id long, observed_at timestamp, score double, trust_level string, content_hash string, schema_hash string"
 
@@ -75,3 +76,34 @@ def test_sticky_states_collisions_and_gaps(spark, tmp_path):
     after = candidates.merge(held, spark.createDataFrame([seen("a", 1, 5, 20.0)], SCHEMA)).filter("kind = 'state'").collect()
     assert [(x.url_hash, x.status, x.score) for x in after] == [("a", "suppressed", 20.0)]
     assert candidates.states(spark, f"{root}/none").collect() == []
+
+
+LINKS = "parent_id long, position int, parent_url string, url string, relation string, link_source string, link_format string, same_domain boolean, depth int, search_page boolean, parent_type string"
+
+
+def link(i, url, relation="link", near=True, depth=0, search=False, fmt=None, source=None, parent="page"):
+    return (1, i, "https://h.org/p/", url, relation, source, fmt, near, depth, search, parent)
+
+
+def test_links_get_the_first_reason_that_holds(spark):
+    rows = [
+        link(0, "/a"), link(1, "/a#x"), link(2, "b.CSV?x=1"), link(3, "/c", depth=2), link(4, ""), link(5, None), link(6, "https://far.org/", near=False), link(7, "https://far.org/s", near=False, search=True),
+        link(8, "/map", source="xml_loc", parent="sitemap"), link(9, "/feed", "feed"), link(10, "mailto:x@y.org"), link(11, "/old"), link(12, "/no/x"), link(13, "https://sub.stop.org/", search=True), link(14, "https://late.org/", search=True), link(15, "/d", "stream", fmt="csv"),
+    ]
+    campaign = links.Campaign(modes=("neighborhood", "format_targeted"), max_depth=2, format_targets=("csv",), denied_paths=("/no/*",))
+    frontier = spark.createDataFrame([("https://h.org/old",)], "u string").select(urls.url_hash(F.col("u")).alias("url_hash"))
+    stop = spark.createDataFrame([("domain", "stop.org", None), ("domain", "late.org", datetime.datetime(2020, 1, 1))], "scope string, value string, expires_at timestamp")
+    run = lambda c, r: links.admit(spark.createDataFrame(r, LINKS), frontier, c, stop, F.lit("2024-01-01").cast("timestamp")).collect()
+    got = run(campaign, rows)
+    assert {(x.canonical_url, x.method, x.priority, x.depth) for x in got if x.state == "queued"} == {
+        ("https://h.org/a", "neighborhood", 50.0, 1), ("https://h.org/p/b.CSV?x=1", "format_targeted", 75.0, 1), ("https://far.org/s", "query_result", 85.0, 1), ("https://late.org/", "query_result", 85.0, 1), ("https://h.org/d", "format_targeted", 75.0, 1)}
+    assert {(x.state, x.canonical_url, x.reason, x.links) for x in got if x.state in ("blocked", "known", "repeated")} == {
+        ("blocked", "https://h.org/no/x", "path_denied", 1), ("blocked", "https://sub.stop.org/", "active_suppression", 1), ("known", "https://h.org/old", "known", 1), ("repeated", "https://h.org/a", "repeated", 1)}
+    skipped = {}
+    for x in got:
+        if x.state == "skipped":
+            skipped[x.reason] = skipped.get(x.reason, 0) + x.links
+    assert skipped == {"max_depth": 1, "no_url": 2, "cross_domain": 1, "mode_off": 1, "format_not_targeted": 1, "invalid_url": 1}
+    assert sum(x.links for x in got) == len(rows)
+    assert [x.reason for x in run(links.Campaign(modes=("query",)), rows[:1])] == ["mode_off"]
+    assert run(campaign, []) == []
