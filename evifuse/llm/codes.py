@@ -104,12 +104,14 @@ def first_books(kept: DataFrame, parts: int, entries: int, scale: int = SCALE) -
     """Codebooks (parts x entries x part width) from the vectors with the smallest ids; no entries for an empty table."""
     rows = kept.filter((F.size("v") > 0) & (F.size("v") % parts == 0)).orderBy(F.col("vec_id").asc_nulls_last(), "v")
     first = rows.limit(1).collect()
-    width = len(first[0].v) if first else 0
+    if not first:
+        return np.zeros((parts, 0, 0), np.int64)
+    width = len(first[0].v)
     if width > WIDEST * parts:
         raise ArithmeticError(f"parts are wider than {WIDEST}")
-    got = rows.filter(F.size("v") == width).limit(entries).collect() if first else []
+    got = rows.filter(F.size("v") == width).limit(entries).collect()
     x = integers(pa.array([r.v for r in got], pa.list_(pa.float64())), scale)
-    return x.reshape(len(got), parts, width // parts).swapaxes(0, 1) if first else np.zeros((parts, 0, 0), np.int64)
+    return x.reshape(len(got), parts, width // parts).swapaxes(0, 1)
 
 
 def fit(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> np.ndarray:
