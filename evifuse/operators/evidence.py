@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evifuse.functions import rules
 from evifuse.functions import text as tx
+from evifuse.operators.nearhash import near_duplicate_hashes  # noqa: F401
 
 CONSTRUCTION = "crane excavator construction building foundation steel scaffolding".split()  # fixed values
 
@@ -153,26 +154,5 @@ def visual_change(pairs: DataFrame, material: float = 0.70, possible: float = 0.
     return df.withColumn("classification", label).withColumn("score", F.when(settled, 0.0).otherwise(F.col("__score"))).drop("__score")
 
 
-def near_duplicate_hashes(hashes: DataFrame, limit: int = 4, bits: int = 64) -> DataFrame:
-    """For bit strings: each id with its nearest other id within ``limit`` bits, the smallest of equally near ones.
-
-    Equal strings collapse first, so copies never meet in pairs; different ones within the limit agree on one of limit + 1
-    bands and meet by equality of a band.
-    """
-    groups = hashes.groupBy("bits").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    second = hashes.join(groups.filter("n > 1"), "bits").filter("id <> low").groupBy("bits").agg(F.min("id").alias("next"))
-    cuts = [round(bits * i / (limit + 1)) for i in range(limit + 2)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("bits", a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-    x = groups.select("bits", "low", F.explode(bands).alias("s")).select("bits", "low", "s.*")
-    y = x.select(F.col("low").alias("other"), F.col("bits").alias("obits"), "band", "part")
-    distance = F.length(F.array_join(F.filter(F.zip_with(F.split("bits", ""), F.split("obits", ""), lambda p, q: F.when(p != q, "1")), lambda c: c.isNotNull()), ""))
-    met = x.join(y, ["band", "part"]).filter("bits <> obits").withColumn("distance", distance).filter(F.col("distance") <= limit)
-    near = met.groupBy("bits").agg(F.min(F.struct("distance", "other")).alias("m"))
-    own = hashes.join(groups.select("bits", "low"), "bits").join(second, "bits", "left").join(near, "bits", "left")
-    copy = F.when(F.col("id") != F.col("low"), F.col("low")).otherwise(F.col("next"))
-    out = own.select("id", F.coalesce(copy, F.col("m.other")).alias("nearest"), F.when(copy.isNotNull(), 0).otherwise(F.col("m.distance")).alias("distance"))
-    return out.filter("nearest is not null")
-
-
 def seen_before(df: DataFrame, key: str, order: str) -> Column:
     return F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1
