@@ -63,7 +63,7 @@ UNION ALL SELECT b.page_id, CASE t.page_id % 5 WHEN 0 THEN 'feed' WHEN 1 THEN 's
 m AS (SELECT *, CASE WHEN search THEN 'query_result' WHEN relation = 'sitemap' THEN 'sitemap_expansion' WHEN relation IN ('feed', 'image') THEN 'format_targeted' ELSE 'neighborhood' END AS method FROM l),
 r AS (SELECT *, CASE WHEN depth >= 3 THEN 'max_depth' WHEN method = 'format_targeted' AND relation <> 'feed' THEN 'format_not_targeted' WHEN method <> 'query_result' AND NOT near THEN 'cross_domain' END AS skip FROM m),
 e AS (SELECT u, count(*) AS n FROM r WHERE skip IS NULL GROUP BY u),
-j AS (SELECT n, regexp_replace(regexp_extract(u, '://([^/]*)', 1), '^www\.', '') AS host, regexp_extract(u, '://[^/?]*([^?]*)', 1) AS path, EXISTS (SELECT 1 FROM base b WHERE b.canonical = e.u AND b.page_id % 7 = 0) AS known FROM e),
+j AS (SELECT n, regexp_replace(regexp_extract(u, '://([^/]*)', 1), '^www\\.', '') AS host, regexp_extract(u, '://[^/?]*([^?]*)', 1) AS path, EXISTS (SELECT 1 FROM base b WHERE b.canonical = e.u AND b.page_id % 7 = 0) AS known FROM e),
 w AS (SELECT n, CASE WHEN known THEN 'known' WHEN ('.' || host) LIKE '%.tionsh.example.net' THEN 'active_suppression' WHEN host LIKE '%example.org' THEN 'domain_denylist' WHEN path LIKE '/the%' THEN 'path_denied' END AS reason FROM j)
 SELECT state, reason, count(*) AS entries, sum(links)::bigint AS links FROM (
 SELECT CASE WHEN reason = 'known' THEN 'known' WHEN reason IS NULL THEN 'queued' ELSE 'blocked' END AS state, reason, CASE WHEN reason = 'known' THEN n ELSE 1 END AS links FROM w
