@@ -9,7 +9,6 @@ and the work on a band value grows with its hashes, not with their square. Both
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,11 +52,19 @@ class Bands:
         return ["band", *[f"p{i}" for i in range(len(self.words))]]
 
     def neighbours(self, rows: DataFrame) -> DataFrame:
-        """Each row with every hash up to ``reach`` flips outside its band: words ``v0``, ... and ``flips``. The masks hold ``listed`` rows a band."""
-        masks = [(i, k, *self.mask(c)) for i, b in enumerate(self.bands) for k in range(self.reach + 1) for c in combinations([p for p in range(self.bits) if p not in b], k)]
-        table = rows.sparkSession.createDataFrame(masks, ", ".join(["band int", "flips int", *[f"m{i} long" for i in range(len(self.words))]]))
-        met = rows.join(F.broadcast(table), "band")
-        return met.withColumns({f"v{i}": F.col(w).bitwiseXOR(F.col(f"m{i}")) for i, w in enumerate(self.words)}).drop(*[f"m{i}" for i in range(len(self.words))])
+        """Each row with every hash up to ``reach`` flips outside its band: words ``v0``, ... and ``flips``.
+
+        Flips come one at a time, in rising position, so only the single flips travel: one row for each band and position.
+        """
+        single = [(i, p, *self.mask([p])) for i, b in enumerate(self.bands) for p in range(self.bits) if p not in b]
+        table = F.broadcast(rows.sparkSession.createDataFrame(single, ", ".join(["band int", "__p int", *[f"m{i} long" for i in range(len(self.words))]])))
+        at = rows.withColumns({f"v{i}": F.col(w) for i, w in enumerate(self.words)} | {"flips": F.lit(0), "__last": F.lit(-1)})
+        out = at
+        for k in range(1, self.reach + 1):
+            met = at.join(table, "band").filter("__p > __last")
+            at = met.withColumns({f"v{i}": F.col(f"v{i}").bitwiseXOR(F.col(f"m{i}")) for i in range(len(self.words))} | {"flips": F.lit(k), "__last": F.col("__p")}).select(*out.columns)
+            out = out.unionAll(at)
+        return out.drop("__last")
 
     @property
     def at(self) -> list[str]:

@@ -26,7 +26,7 @@ def crowd(r: random.Random, n: int, bits: int, band: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("bits, limit, most", [(64, 4, 20), (64, 4, 0), (64, 4, None), (40, 3, 5), (20, 2, 0), (8, 0, 0), (70, 1, 3)])
+@pytest.mark.parametrize("bits, limit, most", [(64, 4, 20), (64, 4, 0), (64, 4, None), (40, 3, 5), (24, 6, 3), (8, 0, 0), (70, 1, 3)])
 def test_nearest_in_crowded_bands(spark, bits, limit, most):
     r = random.Random(bits + limit)
     rows = list(enumerate(crowd(r, 120, bits, round(bits / (limit + 1)))))
