@@ -23,7 +23,7 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from evifuse.plans import analysis, candidates, documents, facts, fleet, lifecycle, listings, records, relations, streams  # noqa: F401
+    from evifuse.plans import analysis, candidates, documents, facts, fleet, lifecycle, listings, media, records, relations, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
