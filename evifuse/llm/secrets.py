@@ -131,7 +131,7 @@ def chosen(scored: list[tuple[float, tuple[int, int, int]]], base: list[tuple[in
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
     """Character codes of the candidate and its surroundings, the candidate at a fixed place."""
-    row = np.zeros(WIDTH, np.int64)
+    row = np.zeros(WIDTH, np.uint8)
     left = text[max(0, start - BEFORE) : start]
     body = text[start : min(end, start + LONGEST)]
     right = text[end : end + WIDTH - BEFORE - len(body)]
@@ -246,23 +246,38 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_batch(texts, net: CharCNN) -> pd.DataFrame:
-    bases, wide, rows, where = [], [], [], []
+    bases, wide, rows, where, blocks = [], [], [], [], []
     for i, t in enumerate(texts):
         t = t or ""
         base = base_spans(t)
         bases.append(base)
         wide.append([])
-        seen: dict[tuple[int, int], int] = {}
+        own: dict[tuple[int, int], int] = {}
+        shared: dict[int, tuple[int, int, int]] = {}
+        # by rising start, so the first long candidate of an end has all windows of the others
         for c in candidates(t, base):
-            for w in windows(c[0], c[2]):
-                if (w, c[2]) not in seen:
-                    seen[w, c[2]] = len(rows)
-                    rows.append(encode(t, w, c[2]))
-            where.append((i, c, [seen[w, c[2]] for w in windows(c[0], c[2])]))
+            a, _, b = c
+            if (a, b) not in own:
+                own[a, b] = len(rows)
+                rows.append(encode(t, a, b))
+            rest = own[a, b]
+            if b - a > LONGEST:
+                if b not in shared:
+                    more = windows(a, b)[1:]
+                    shared[b] = (a // STEP, len(rows), len(rows) + len(more))
+                    blocks.append(shared[b][1:])
+                    rows += [encode(t, w, b) for w in more]
+                first, low, high = shared[b]
+                rest = min(low + a // STEP - first, high - 1)
+            where.append((i, c, own[a, b], rest))
     if rows:
         p = net.probability(np.array(rows))
-        for i, c, at in where:
-            best = float(p[at].max())
+        # highest of a window and those after it, so a run costs its length however many candidates end with it
+        top = p.copy()
+        for low, high in blocks:
+            top[low:high] = np.maximum.accumulate(p[low:high][::-1])[::-1]
+        for i, c, at, rest in where:
+            best = float(max(p[at], top[rest]))
             if best >= net.threshold:
                 wide[i].append((best, c))
     wide = [chosen(more, base) if more else [] for base, more in zip(bases, wide)]
