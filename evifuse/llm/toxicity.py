@@ -30,7 +30,7 @@ from evifuse.llm.common import bounded_sample, crc_mod, cut, table
 
 #: Most labelled rows that are used.
 TRAIN_ROWS = 8_000
-#: Letters by which a word is known.
+#: Letters of the longest stem; a whole word of any length counts beside its stems.
 STEM = 16
 THRESHOLD = 0.7
 
@@ -144,8 +144,9 @@ def induce(sample: DataFrame, precision: float = 0.75, evidence: float = 12.0) -
     if not n_pos or not n_neg:
         return {}
     share = n_pos / n
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"\p{{L}}{{3,{STEM}}}"), 0))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), 0))
+    stems = F.transform(words, lambda w: F.transform(F.sequence(F.lit(3), F.least(F.length(w), F.lit(STEM))), lambda n: F.substring(w, F.lit(1), n)))
+    stems = F.array_union(F.flatten(stems), words)
     counts = sample.select("toxic", F.explode(stems).alias("p")).groupBy("p").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     pos, neg, q = F.col("pos"), F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
     told = pos * F.log(q / share) + F.when(neg > 0, neg * F.log((1 - q) / (1 - share))).otherwise(0.0)

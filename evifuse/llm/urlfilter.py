@@ -8,12 +8,13 @@ Bayes then adds up the words of host and path as block or allow.
 All counted words take part. Only runs of letters that hold a labelled word are split, each different run once: the
 others add nothing to a score however they split. The words of such a run come by an equi-join of its stretches with the
 counts, so neither the vocabulary nor the urls are gathered; runs and urls that fill the table meet their result by
-``join_skewed``.
+``join_skewed``, as do words that fill the counts.
 
 Defined results: a null url or one without ``://`` has empty host and path and is allowed by the method unless a rule
 fits; rows without a page_id are judged like others; repeated rows judge alike, equal splits take the shorter last word;
-an empty table gives no rows. Names of any length segment in linear time, in stretches of ``STRETCH`` letters; a word has
-at most ``LONGEST`` letters, longer runs between hyphens are no words.
+an empty table gives no rows. Words have any length: those of up to ``SHORT`` letters are found by equality, longer ones by
+their first ``SHORT`` letters and then whole. Names of any length segment in time linear in their length, in stretches of
+``STRETCH`` letters. Other columns of any name play no part.
 """
 
 from __future__ import annotations
@@ -44,13 +45,16 @@ ALLOWED_NAMES = """city-library public-school science-journal history-museum dai
 music-archive film-review book-store open-source-code software-docs math-lessons language-course health-clinic sports-club football-news
 university-research art-gallery local-government train-timetable photo-album language-wiki press-archive mail-server cloud-host
 tech-blog physics-lab bird-watching chess-club map-service data-archive law-review parent-forum school-blog news-feed video-lessons""".split()
-LONGEST = 24
+#: Letters of a word up to which it is looked up as a whole; longer ones are found by as many first letters.
+SHORT = 24
 #: Letters of a run that are looked up at a time.
 STRETCH = 1024
 #: Share of the labelled names in the probability of a word.
 LABELLED = 0.5
 UNKNOWN = math.log(1e-4)
 PER_LETTER = math.log(1 / 12)
+#: The two in units of 1e-9.
+STRANGE, LETTER = round(UNKNOWN * 1e9), round(PER_LETTER * 1e9)
 PRIOR_BLOCK = 0.35
 #: First labels that name a service, not a topic; they say nothing.
 SERVICES = ("www", "m", "mobile", "blog", "news", "shop", "mail")
@@ -84,19 +88,39 @@ class Segmenter:
         self.labelled = {w: LABELLED * words.count(w) / len(words) for w in set(words)}
         self.total = total
 
-    def logp(self, word: str, counted: dict[str, int]) -> float:
+    def price(self, word: str, counted: dict[str, int]) -> int | None:
+        """Log-probability in units of 1e-9, so that equal splits tie; None for unknown words and for what such a one beats."""
         p = self.labelled.get(word, 0.0) + ((1 - LABELLED) * counted.get(word, 0) / self.total if self.total else 0.0)
-        unknown = UNKNOWN + PER_LETTER * len(word)
-        return max(math.log(p), unknown) if p else unknown
+        own = round(math.log(p) * 1e9) if p else -math.inf
+        return own if own > STRANGE + LETTER * len(word) else None
 
     def split(self, run: str, counted: dict[str, int]) -> list[str]:
+        known = {w: self.price(w, counted) for w in {*self.labelled, *counted}}
+        known = {w: c for w, c in known.items() if c is not None}
+        sizes = sorted({len(w) for w in known if len(w) <= SHORT})
+        ends: dict[int, list[int]] = {}
+        for w in known:
+            if len(w) > SHORT:
+                at = run.find(w)
+                while at >= 0:
+                    ends.setdefault(at + len(w), []).append(len(w))
+                    at = run.find(w, at + 1)
         n = len(run)
-        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        best, back = [0] * (n + 1), [0] * (n + 1)
+        # an unknown word costs the same per letter wherever it starts, so the best start is kept
+        strange = (0, 0)
         for end in range(1, n + 1):
-            for start in range(end - 1, max(0, end - LONGEST) - 1, -1):
-                s = best[start] + self.logp(run[start:end], counted)
-                if s > best[end]:
-                    best[end], back[end] = s, start
+            tried = [(strange[0] + STRANGE + LETTER * end, strange[1])]
+            for k in sizes:
+                if k > end:
+                    break
+                c = known.get(run[end - k : end])
+                if c is not None:
+                    tried.append((best[end - k] + c, end - k))
+            tried += [(best[end - k] + known[run[end - k : end]], end - k) for k in ends.get(end, ())]
+            # of equal splits the later start, the shorter last word
+            best[end], back[end] = max(tried)
+            strange = max(strange, (best[end] - LETTER * end, end))
         words, at = [], n
         while at:
             words.append(run[back[at] : at])
@@ -133,7 +157,7 @@ def letter_runs(host: Column, path: Column) -> Column:
 
 def word_counts(urls: DataFrame) -> DataFrame:
     """(w, c): how often hyphens set each word apart in ``urls(host, path, n)``."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(rf"(?<=-)\p{{L}}{{2,{LONGEST}}}(?!\p{{L}})|(?<!\p{{L}})\p{{L}}{{2,{LONGEST}}}(?=-)"), 0)
+    words = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(?<=-)\p{L}{2,}+|(?<!\p{L})\p{L}{2,}+(?=-)"), 0)
     return urls.select(F.explode(words).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("c"))
 
 
@@ -144,10 +168,14 @@ def split_runs(runs: DataFrame, counts: DataFrame, labelled: list[str]) -> DataF
     # a word below the price of an unknown one never wins
     price = UNKNOWN + F.length("w") * PER_LETTER
     useful = counts.filter(F.log(F.col("c") * ((1 - LABELLED) / total)) > price) if total else counts
-    parts = F.transform(F.sequence(F.lit(0), F.length("run") - 1, F.lit(STRETCH)), lambda i: F.substring(F.col("run"), i + 1, F.lit(STRETCH + LONGEST - 1)))
-    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("part") - i + 1, F.lit(LONGEST))), lambda n: F.substring(F.col("part"), i, n))))
+    parts = F.transform(F.sequence(F.lit(0), F.length("run") - 1, F.lit(STRETCH)), lambda i: F.substring(F.col("run"), i + 1, F.lit(STRETCH + SHORT - 1)))
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.length("part") - i + 1, F.lit(SHORT))), lambda n: F.substring(F.col("part"), i, n))))
     keyed = runs.select("run", F.sha2("run", 256).alias("id"))
-    found = keyed.select("id", F.explode(parts).alias("part")).select("id", F.explode(F.array_distinct(windows)).alias("w")).distinct().join(useful, "w")
+    seen = keyed.select("id", F.explode(parts).alias("part")).select("id", F.explode(F.array_distinct(windows)).alias("w")).distinct()
+    long = useful.filter(F.length("w") > SHORT)
+    found = join_skewed(seen, useful.filter(F.length("w") <= SHORT).select("w", "c", F.col("c").alias("n")), "w", int(total))
+    begun = seen.join(long.select(F.substring("w", 1, SHORT).alias("w"), F.col("w").alias("whole"), "c"), "w").select("id", "whole", "c")
+    found = found.unionByName(begun.join(keyed, "id").filter(F.contains("run", "whole")).select("id", F.col("whole").alias("w"), "c").distinct())
     own = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "c"))).alias("counted"))
 
     @F.pandas_udf("array<string>")

@@ -207,21 +207,22 @@ def url_scores(urls, ids):
     named = [w for n in names for w in n.split("-")]
     counted = {}
     for host, path in urls:
-        for w in re.findall(r"(?<=-)[a-z]{2,24}(?![a-z])|(?<![a-z])[a-z]{2,24}(?=-)", f"{host}/{path}"):
+        for w in re.findall(r"(?<=-)[a-z]{2,}(?![a-z])|(?<![a-z])[a-z]{2,}(?=-)", f"{host}/{path}"):
             counted[w] = counted.get(w, 0) + 1
     total = sum(counted.values())
 
     def price(w):
         p = 0.5 * named.count(w) / len(named) + (0.5 * counted.get(w, 0) / total if total else 0)
-        return max(math.log(p) if p else -math.inf, math.log(1e-4) - len(w) * math.log(12))
+        nano = lambda x: round(x * 1e9)
+        return max(nano(math.log(p)) if p else -math.inf, nano(math.log(1e-4)) + len(w) * nano(math.log(1 / 12)))
 
     @functools.cache
     def best(run):
         """(score, words) of the likeliest split; of equal ones the shorter last word."""
         if not run:
-            return 0.0, ()
+            return 0, ()
         tried = []
-        for n in range(1, min(24, len(run)) + 1):
+        for n in range(1, len(run) + 1):
             s, words = best(run[:-n])
             tried.append((s + price(run[-n:]), -n, (*words, run[-n:])))
         s, _, words = max(tried)
@@ -293,7 +294,7 @@ def stems(rows, precision=0.75, evidence=12.0):
     n_pos, n = sum(once.values()), len(once)
     counts = {}
     for t, y in once.items():
-        for p in {w[:k] for w in re.findall(r"[^\W\d_]{3,16}", (t or "").lower()) for k in range(3, len(w) + 1)}:
+        for p in {w[:k] for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower()) for k in (*range(3, min(len(w), 16) + 1), len(w))}:
             counts.setdefault(p, [0, 0])[1 - y] += 1
     good = {}
     for p, (a, b) in counts.items():

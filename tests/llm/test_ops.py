@@ -424,9 +424,29 @@ def test_segmentation(spark):
     assert {r.run: r.words for r in got.collect()} == {r: urlfilter.Segmenter(urlfilter.BLOCKED_NAMES, 4).split(r, {"q" * 9: 4}) for r in (long, "a")}
 
 
+def test_words_of_forty_letters(spark):
+    """A counted word of any length is matched whole, also across stretches, and an unknown one may be as long."""
+    word, other = "winterbirdwatchingclubofthenorthwestcoast", "winterbirdwatchingclubofthenorthernlights"
+    counts = spark.createDataFrame([(word, 5), (other, 1), ("win", 3)], "w string, c long")
+    runs = ["cheap" + word + "pills", "x" * 1010 + word + "casino", "cheap" + "q" * 60 + "pills"]
+    got = {r.run: r.words for r in urlfilter.split_runs(spark.createDataFrame([(r,) for r in runs], "run string"), counts, urlfilter.BLOCKED_NAMES).collect()}
+    assert got[runs[0]] == ["cheap", word, "pills"] and got[runs[1]][-2:] == [word, "casino"] and got[runs[2]] == ["cheap", "q" * 60, "pills"]
+    urls = spark.createDataFrame([("a.org", f"/{word}-club/the-{other}", 2)], "host string, path string, n long")
+    assert {(r.w, r.c) for r in urlfilter.word_counts(urls).collect()} == {(word, 2), ("club", 2), ("the", 2), (other, 2)}
+
+
+def test_secret_windows_are_shared(monkeypatch):
+    """A run read by many candidates costs its length."""
+    read, plain = [], secrets.encode
+    monkeypatch.setattr(secrets, "encode", lambda *a: read.append(a) or plain(*a))
+    net = secrets.CharCNN()
+    assert len(secrets.scan_batch(["auth=" * 4_000], net)) == 1
+    assert len(read) <= 4_000 + 20_000 // secrets.STEP + 2
+
+
 def test_url_filter_equals_brute_force(spark, tmp_path):
     r = random.Random(8)
-    words = "cheap pills casino win city library news free blog x ads the er on te zz".split()
+    words = "cheap pills casino win city library news free blog x ads the er on te zz".split() + ["winterbirdwatchingclubofthenorthwestcoast"]
     name = lambda k: r.choice(["", "-", "."]).join(r.choice(words) for _ in range(k))
     urls = [f"http://{r.choice(['', 'www.', 'blog.'])}{name(r.randint(1, 3))}.{r.choice(['org', 'info'])}/{name(r.randint(0, 2))}/{name(1)}" for _ in range(150)]
     urls += urls[:40] + ["http://www.com/", None]
