@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evifuse.operators import analysis
+from evifuse.operators import analysis, markup
 from evifuse.plans.registry import query
 from evifuse.session import table
 
@@ -41,3 +41,22 @@ SELECT page_id, count(*) AS links FROM c GROUP BY 1""".replace("l AS (", "WITH l
 def page_link_counts(spark, d):
     """Different targets of each page; a page that links to itself is not among them."""
     return analysis.page_links(table(spark, d, "pages").select("page_id", "url", "html"), "page_id").filter("same_domain").groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+VISIBLE = "regexp_replace(coalesce(html, ''), '<style>.*?</style>|<script>.*?</script>|<!--.*?-->|<[^>]*>', '', 'gs')"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, {VISIBLE} AS seen, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS t FROM pages),
+plain AS (SELECT *, replace(replace(replace(replace(replace(seen, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM p)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href="[^"]+"')) AS anchors, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<script>(.*?)</script>')) AS scripts,
+sha256(coalesce(regexp_extract(html, '<script>(.*?)</script>', 1), '')) AS script_sha256, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_length, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha256 FROM plain"""
+)
+def page_markup(spark, d):
+    """Title, anchors, paragraphs, scripts and the visible text of every whole page."""
+    got = table(spark, d, "pages").select("page_id", markup.markup("html").alias("m"))
+    count = lambda tag: F.coalesce(F.element_at("m.tags", tag), F.lit(0)).cast("long")
+    return got.select(
+        "page_id", F.coalesce("m.title", F.lit("")).alias("title"), F.size(F.filter("m.links", lambda x: x["origin"] == "html_anchor")).cast("long").alias("anchors"), count("p").alias("paragraphs"),
+        F.size("m.scripts").cast("long").alias("scripts"), F.sha2(F.coalesce(F.get("m.scripts", F.lit(0)), F.lit("")), 256).alias("script_sha256"), F.length("m.text").cast("long").alias("text_length"), F.sha2("m.text", 256).alias("text_sha256"),
+    )
