@@ -31,12 +31,13 @@ STREAM_EXTENSIONS = ("m3u8", "mpd", "mjpg", "mjpeg")
 IMAGE_EXTENSIONS = ("avif", "bmp", "gif", "jpeg", "jpg", "png", "svg", "webp")
 JSON_TYPES = ("application/json", "application/geo+json", "application/x-ndjson")
 GEOJSON = ("feature", "featurecollection", "geometrycollection", "point", "multipoint", "linestring", "multilinestring", "polygon", "multipolygon")
-PLACES = "addresslocality areaserved city locality location place placename port spatialcoverage town".split()
-JURISDICTIONS = "addresscountry addressregion country county district jurisdiction province region state".split()
-ROUTES = "route routeid routename corridor line highway road".split()
-URL_KEYS = "url uri href link downloadurl endpoint serviceurl".split()
+PLACES = ("addresslocality", "areaserved", "city", "locality", "location", "place", "placename", "port", "spatialcoverage", "town")
+JURISDICTIONS = ("addresscountry", "addressregion", "country", "county", "district", "jurisdiction", "province", "region", "state")
+ROUTES = ("route", "routeid", "routename", "corridor", "line", "highway", "road")
+URL_KEYS = ("url", "uri", "href", "link", "downloadurl", "endpoint", "serviceurl")
 TIME_WORDS = "date|time|publish|modified|updated|created|issued|valid"
 LATITUDES, LONGITUDES = ("latitude", "lat"), ("longitude", "lon", "lng", "long")
+WEB = r"(?i)^(?:https?|wss?)://"
 NOT_LINKS = r"^(?:#|data:|javascript:|mailto:|tel:|file:)"
 
 _PAIR = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
@@ -176,6 +177,9 @@ class _Fields:
             if n == NODES:
                 return
             value = (e.text or "").strip()
+            target = e.get("href") or e.get("url")
+            if target:
+                self.fields.append((f"href@{e.get('rel') or local(e)}", target))
             if value:
                 self.fields.append((local(e), value))
             if value and local(e).lower() == "coordinates":
@@ -213,7 +217,7 @@ def fields(texts: pd.Series, formats: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fields", "points"])
 
 
-def _named(own: Column, names: list[str]) -> Column:
+def _named(own: Column, names: tuple[str, ...]) -> Column:
     clean = lambda s: F.trim(F.regexp_replace(s["value"], r"\s+", " "))
     of = F.filter(own, lambda s: F.regexp_replace(F.lower(s["key"]), "[^a-z0-9]+", "").isin(*names) & F.length(clean(s)).between(1, 300))
     return F.array_distinct(F.transform(of, clean))
@@ -305,3 +309,27 @@ def analyze(docs: DataFrame, url: str = "url", text: str = "text", media_type: s
     kind = once(F.struct(F.col(url).alias("u"), F.col("__host").alias("h"), F.coalesce("title", F.lit("")).alias("t"), article.alias("a")), lambda p: urls.page_type(p["u"], p["h"], p["t"], F.lit(""), F.lit(False), p["a"]))
     d = d.withColumn("document_type", F.when(html, kind).when(urls.is_social(F.col("__host")), "social_reference").otherwise(F.col("detected_format")))
     return d.withColumn("recommended_kind", recommended_kind(F.col(url), F.col("detected_format"), media, F.col("document_type"))).drop("__f", "__times", "__body", "__host")
+
+
+def record_links(docs: DataFrame, key: str, url: str = "url", text: str = "text", media_type: str | None = None) -> DataFrame:
+    """(key, position, canonical_url, origin, relation, same_domain): the links that fields of JSON, JSON lines, XML and CSV documents hold.
+
+    A field is a link if its name says so or its value begins with a scheme of the web; the first of equal targets stays,
+    ``LINKS`` a document, links of a document to itself aside. The bounds of the analysis hold.
+    """
+    media = F.col(media_type) if media_type else F.lit("")
+    body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, TEXT)
+    d = docs.select(key, F.col(url).alias("__url"), body.alias("__body"), media.alias("__media"))
+    d = d.withColumn("__kind", detected_format(F.col("__url"), F.col("__media"), F.col("__body")))
+    rows = d.select(key, "__url", "__kind", F.posexplode(fields(F.col("__body"), F.col("__kind"))["fields"]).alias("position", "s"))
+    name, value = F.lower("s.key"), F.trim("s.value")
+    is_json, is_csv, attribute = F.col("__kind").isin("json", "geojson", "openapi", "jsonl"), F.col("__kind") == "csv", name.startswith("href@")
+    named = F.regexp_replace(name, "[^a-z0-9]+", "").isin(*URL_KEYS) | attribute | (~is_json & ~is_csv & name.isin("loc", "guid")) | value.rlike(WEB)
+    origin = F.when(is_json, "json_url").when(is_csv, "csv_url").when(attribute, "xml_attribute").otherwise("xml_loc")
+    name = F.regexp_replace(name, "^href@", "")
+    rows = rows.filter(named & ~F.lower(value).rlike(NOT_LINKS)).select(key, "__url", "position", origin.alias("origin"), F.when(name == "", "reference").otherwise(name).alias("relation"), urls.canonical_url(value, F.col("__url")).alias("canonical_url"))
+    rows = rows.filter(F.col("canonical_url").isNotNull() & ~F.col("canonical_url").eqNullSafe(urls.canonical_url(F.col("__url"))))
+    first = rows.groupBy(key, "canonical_url").agg(F.min(F.struct("position", "origin", "relation", "__url")).alias("f"))
+    host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    out = first.select(key, "f.position", "canonical_url", "f.origin", "f.relation", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"))
+    return per_group_limit(out, [key], [F.col("position")], LINKS)

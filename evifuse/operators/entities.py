@@ -16,8 +16,8 @@ SIGNALS = {
     "vessel": ("vessel_name", "ship_name", "imo", "mmsi", "callsign"),
     "vehicle": ("tail_number", "registration"),
 }
-DISPLAY = "vessel_name ship_name full_name person_name organization org_name company employer callsign registration tail_number handle username email phone mmsi imo passport_number".split()
-PRIMARY = "imo mmsi passport_number email phone callsign tail_number registration handle username vessel_name ship_name full_name person_name organization org_name company employer".split()
+DISPLAY = ("vessel_name", "ship_name", "full_name", "person_name", "organization", "org_name", "company", "employer", "callsign", "registration", "tail_number", "handle", "username", "email", "phone", "mmsi", "imo", "passport_number")
+PRIMARY = ("imo", "mmsi", "passport_number", "email", "phone", "callsign", "tail_number", "registration", "handle", "username", "vessel_name", "ship_name", "full_name", "person_name", "organization", "org_name", "company", "employer")
 CONFIDENCE = {
     "imo": 0.9,
     "mmsi": 0.88,

@@ -145,3 +145,20 @@ def test_listings(spark):
         listings.exportable(rows.union(spark.createDataFrame([("restricted",)], "redaction_level string")), "public").collect()
     none = listings.entity_profile(F.lit(9).cast("long"), spark.createDataFrame([], "entity_id long, alias string"), spark.createDataFrame([], "assertion_id long, subject_entity_id long, object_entity_id long"), spark.createDataFrame([], "assertion_id long, source_uri string"))
     assert listings.coverage_status(none).first().status == "insufficient_evidence"
+
+
+def test_links_of_records(spark):
+    rows = [
+        ("https://a.org/d.json", '{"name": "x", "data_url": "/no", "downloadUrl": "/f?utm_campaign=x", "more": [{"see": "HTTPS://B.org:443/y"}, "wss://b.org/s"], "href": "mailto:a@b.org", "self": "https://a.org/d.json", "uri": "f"}'),
+        ("https://a.org/d.xml", "<r><loc>https://c.org/1</loc><loc>https://c.org/1</loc><name>plain</name><link rel='Next' href='?p=2'/><e url='/e'>t</e><guid>g7</guid></r>"),
+        ("https://a.org/d.csv", "id,link\n1,/p\n2,/q\n3,/p"),
+        ("https://a.org/d", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, url string, text string")
+    got = [(r.i, r.canonical_url, r.origin, r.relation, r.same_domain) for r in analysis.record_links(df, "i").orderBy("i", "position").collect()]
+    assert got == [
+        (0, "https://a.org/f", "json_url", "downloadurl", True), (0, "https://b.org/y", "json_url", "see", False), (0, "wss://b.org/s", "json_url", "more", False),
+        (1, "https://c.org/1", "xml_loc", "loc", False), (1, "https://a.org/d.xml?p=2", "xml_attribute", "next", True), (1, "https://a.org/e", "xml_attribute", "e", True), (1, "https://a.org/g7", "xml_loc", "guid", True),
+        (2, "https://a.org/p", "csv_url", "link", True), (2, "https://a.org/q", "csv_url", "link", True),
+    ]
+    assert analysis.record_links(df.limit(0), "i").count() == 0
