@@ -48,8 +48,8 @@ VISIBLE = "regexp_replace(coalesce(html, ''), '<style>.*?</style>|<script>.*?</s
 
 @query(
     f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, {VISIBLE} AS seen, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS t FROM pages),
-plain AS (SELECT *, replace(replace(replace(replace(replace(seen, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM p)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href="[^"]+"')) AS anchors, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<script>(.*?)</script>')) AS scripts,
+plain AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(seen, '&quot;', '"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM p)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href="[^"]+"')) AS anchors, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<script>(.*?)</script>')) AS scripts,
 sha256(coalesce(regexp_extract(html, '<script>(.*?)</script>', 1), '')) AS script_sha256, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_length, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text_sha256 FROM plain"""
 )
 def page_markup(spark, d):
