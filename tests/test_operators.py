@@ -303,6 +303,8 @@ def test_text_and_json_signals(spark):
     t = F.lit("lat: 10.5, lng=20 and longitude: -30 then latitude=95; State Route 7, I-95, Pacific Line on 2024-01-02T03:04Z see HTTPS://x.org/a?b.")
     assert [tuple(p) for p in one(spark, signals.text_points(t))] == [(10.5, 20.0)]
     assert one(spark, signals.routes(t))[:2] == ["State Route 7", "I-95"] and one(spark, signals.dates(t)) == ["2024-01-02T03:04Z"]
+    long = F.lit("near Route 10000, State Route-123456, Highway 98765; I-95 and Route x")
+    assert one(spark, signals.routes(long)) == ["Route 10000", "State Route-123456", "Highway 98765", "I-95"]
     assert one(spark, signals.web_addresses(t)) == ["HTTPS://x.org/a?b."]
     stamp = lambda *a: one(spark, signals.compact_timestamp(*[F.lit(x).cast("string") for x in a]))
     assert stamp("20240102", "0304", None) == "2024-01-02T03:04:00" and stamp("2024", "1", "Z") == "2024T1" and stamp("20240102", "030405", "+0100") == "2024-01-02T03:04:05+01:00"
