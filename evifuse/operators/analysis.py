@@ -11,6 +11,7 @@ import csv
 import io
 import json
 import re
+import sys
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -37,6 +38,8 @@ ROUTES = ("route", "routeid", "routename", "corridor", "line", "highway", "road"
 URL_KEYS = ("url", "uri", "href", "link", "downloadurl", "endpoint", "serviceurl")
 TIME_WORDS = "date|time|publish|modified|updated|created|issued|valid"
 LATITUDES, LONGITUDES = ("latitude", "lat"), ("longitude", "lon", "lng", "long")
+#: Largest latitude and longitude either way.
+GLOBE = (90.0, 180.0)
 WEB = r"(?i)^(?:https?|wss?)://"
 NOT_LINKS = r"^(?:#|data:|javascript:|mailto:|tel:|file:)"
 
@@ -131,13 +134,14 @@ def _number(v) -> float | None:
 
 
 class _Fields:
-    def __init__(self):
+    def __init__(self, bounds: tuple[float, float] | None = GLOBE):
+        self.lat, self.lon = bounds or (sys.float_info.max,) * 2
         self.fields: list[tuple[str, str]] = []
         self.points: dict[tuple[float, float], None] = {}
 
     def point(self, lat, lon) -> None:
         lat, lon = _number(lat), _number(lon)
-        if lat is not None and lon is not None and -90 <= lat <= 90 and -180 <= lon <= 180 and len(self.points) < POINTS:
+        if lat is not None and lon is not None and -self.lat <= lat <= self.lat and -self.lon <= lon <= self.lon and len(self.points) < POINTS:
             self.points[round(lat, 7), round(lon, 7)] = None
 
     def record(self, row: dict) -> None:
@@ -196,12 +200,10 @@ class _Fields:
             self.record(dict(zip(head, row)))
 
 
-@F.pandas_udf(FIELDS)
-def fields(texts: pd.Series, formats: pd.Series) -> pd.DataFrame:
-    """Scalar text fields and points of JSON, JSON lines, XML and CSV; empty for other formats and for text that does not parse."""
+def _read(texts: pd.Series, formats: pd.Series, bounds: tuple[float, float] | None) -> pd.DataFrame:
     out = []
     for text, kind in zip(texts, formats):
-        f = _Fields()
+        f = _Fields(bounds)
         try:
             if kind in ("json", "geojson", "openapi"):
                 f.walk(json.loads(text.lstrip("﻿\x00 \t\r\n")))
@@ -217,6 +219,19 @@ def fields(texts: pd.Series, formats: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["fields", "points"])
 
 
+def fields(texts: Column, formats: Column, bounds: tuple[float, float] | None = GLOBE) -> Column:
+    """Scalar text fields and points of JSON, JSON lines, XML and CSV; empty for other formats and for text that does not parse.
+
+    Points lie within ``bounds``; without them, any finite pair counts, as in documents with coordinates of their own.
+    """
+
+    @F.pandas_udf(FIELDS)
+    def read(texts: pd.Series, formats: pd.Series) -> pd.DataFrame:
+        return _read(texts, formats, bounds)
+
+    return read(texts, formats)
+
+
 def _named(own: Column, names: tuple[str, ...]) -> Column:
     clean = lambda s: F.trim(F.regexp_replace(s["value"], r"\s+", " "))
     of = F.filter(own, lambda s: F.regexp_replace(F.lower(s["key"]), "[^a-z0-9]+", "").isin(*names) & F.length(clean(s)).between(1, 300))
@@ -293,16 +308,16 @@ def recommended_kind(url: Column, detected: Column, media_type: Column, document
     )
 
 
-def analyze(docs: DataFrame, url: str = "url", text: str = "text", media_type: str | None = None) -> DataFrame:
-    """All columns of ``docs`` and the analysis of each document: format, hash, title, fields' hints, points, type, cadence, recommended kind."""
+def analyze(docs: DataFrame, url: str = "url", text: str = "text", media_type: str | None = None, bounds: tuple[float, float] | None = GLOBE) -> DataFrame:
+    """All columns of ``docs`` and the analysis of each document: format, hash, title, fields' hints, points within ``bounds``, type, cadence, recommended kind."""
     media = F.col(media_type) if media_type else F.lit("")
     d = docs.withColumn("__body", F.substring(F.coalesce(F.col(text), F.lit("")), 1, TEXT))
     body, once = F.col("__body"), lambda c, of: F.element_at(F.transform(F.array(c), of), 1)
     d = d.withColumn("detected_format", detected_format(F.col(url), media, body)).withColumn("content_hash", F.sha2(text, 256))
-    d = d.withColumn("__f", fields(body, F.col("detected_format")))
+    d = d.withColumn("__f", fields(body, F.col("detected_format"), bounds))
     own = F.col("__f.fields")
     d = d.withColumns(geo_hints(own)).withColumn("__times", field_times(own)).withColumns(temporal_hints(F.col("__times")))
-    d = d.withColumn("points", F.slice(F.array_distinct(F.concat("__f.points", signals.text_points(body))), 1, POINTS))
+    d = d.withColumn("points", F.slice(F.array_distinct(F.concat("__f.points", signals.text_points(body, bounds))), 1, POINTS))
     html = F.col("detected_format") == "html"
     d = d.withColumn("title", F.when(html, page_title(body))).withColumn("cadence", once(body, urls.cadence)).withColumn("__host", tx.normalize_domain(F.col(url)))
     article = F.contains(F.lower(body), F.lit("<article"))

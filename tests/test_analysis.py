@@ -60,6 +60,14 @@ def test_analysis_of_fields(spark):
     assert analysis.analyze(df.limit(0)).count() == 0
 
 
+def test_points_outside_the_globe(spark):
+    rows = ["lat,lon\n302.25,0.5\n-7.5,500.25", '{"lat": "302.25", "lon": "0.5"}\n{"lat": 1e999, "lon": 1}', "<r><lat>302.25</lat><lon>0.5</lon></r>", '{"type": "Feature", "geometry": {"type": "Point", "coordinates": [0.5, 302.25]}}', "text lat: 95, lon: 200"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string").withColumn("url", F.lit("http://a.org/d"))
+    points = lambda got: [[tuple(p) for p in r.points] for r in got.orderBy("i").collect()]
+    assert points(analysis.analyze(df)) == [[]] * 5
+    assert points(analysis.analyze(df, bounds=None)) == [[(302.25, 0.5), (-7.5, 500.25)], [(302.25, 0.5)], [(302.25, 0.5)], [(302.25, 0.5)], [(95.0, 200.0)]]
+
+
 def test_links(spark):
     page = '<base href="http://a.org/d/"><a href="x">1</a><A class="c" HREF=\'y#z\' rel="nofollow">2</A><a href="http://b.org/">3</a><a href="mailto:q@a.org">4</a><a href="x">5</a><a href="/p">self</a><a name="n">'
     got = analysis.page_links(spark.createDataFrame([(1, "http://a.org/p", page), (2, "http://a.org/q", None)], "page_id int, url string, html string"), "page_id").orderBy("position").collect()
