@@ -71,21 +71,44 @@ def _km(lon1, lat1, lon2, lat2):
     return EARTH_KM * 2 * math.atan2(math.sqrt(t), math.sqrt(1 - t))
 
 
+def _unit(lon: float, lat: float) -> tuple[float, float, float]:
+    lon, lat = math.radians(lon), math.radians(lat)
+    flat = math.cos(lat)
+    return flat * math.cos(lon), flat * math.sin(lon), math.sin(lat)
+
+
 class FirstFit:
     """First-fit clusters of observations that arrive in order of time and id. Only open clusters are held: those whose
-    last member is older than the window can never match again."""
+    last member is older than the window can never match again.
+
+    Most clusters are too far away, which the chord between unit vectors, or its height alone, shows for a fraction of what
+    a distance costs. Within a margin that exceeds their rounding, the distance decides.
+    """
 
     def __init__(self, window_us: int, km: float):
         self.window_us, self.km, self.open = window_us, km, []
+        #: No open cluster ends before this time plus the window.
+        self.oldest = -math.inf
+        self.far = (2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2))) ** 2 * (1 + 1e-9) + 1e-12
+        self.high = math.sqrt(self.far)
 
     def place(self, t: int, i: int, lon: float, lat: float) -> int:
         """The id of the first member of the observation's cluster."""
-        self.open = [c for c in self.open if t - c[1] <= self.window_us]
+        if t - self.oldest > self.window_us:
+            self.open = [c for c in self.open if t - c[1] <= self.window_us]
+            self.oldest = min((c[1] for c in self.open), default=t)
+        x, y, z = _unit(lon, lat)
+        high, far = self.high, self.far
         for c in self.open:
-            if _km(c[2] / c[4], c[3] / c[4], lon, lat) <= self.km:
-                c[1], c[2], c[3], c[4] = t, c[2] + lon, c[3] + lat, c[4] + 1
-                return c[0]
-        self.open.append([i, t, lon, lat, 1])
+            w = c[9] - z
+            if -high <= w <= high:
+                u, v = c[7] - x, c[8] - y
+                if u * u + v * v + w * w <= far and _km(c[5], c[6], lon, lat) <= self.km:
+                    c[1], c[2], c[3], c[4] = t, c[2] + lon, c[3] + lat, c[4] + 1
+                    c[5], c[6] = c[2] / c[4], c[3] / c[4]
+                    c[7], c[8], c[9] = _unit(c[5], c[6])
+                    return c[0]
+        self.open.append([i, t, lon, lat, 1, lon, lat, x, y, z])
         return i
 
 

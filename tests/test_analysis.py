@@ -102,6 +102,33 @@ def test_clusters_fold_batch_by_batch(spark):
     assert got == dict(zip([i for _, i, _, _ in order], fusion.fold(order, 3_600_000_000, 25.0))) and 10 < len(set(got.values())) < 390
 
 
+def test_far_clusters_cost_no_distance(monkeypatch):
+    """The same clusters as with every distance, for a few distances a row."""
+    r, plain, calls = random.Random(4), fusion._km, []
+
+    def every(rows, window_us, km):
+        alive, out = [], []
+        for t, i, lon, lat in rows:
+            alive = [c for c in alive if t - c[1] <= window_us]
+            c = next((c for c in alive if plain(c[2] / c[4], c[3] / c[4], lon, lat) <= km), None)
+            if c is None:
+                c = [i, t, 0.0, 0.0, 0]
+                alive.append(c)
+            c[1], c[2], c[3], c[4] = t, c[2] + lon, c[3] + lat, c[4] + 1
+            out.append(c[0])
+        return out
+
+    monkeypatch.setattr(fusion, "_km", lambda *a: calls.append(1) or plain(*a))
+    edge = 25.0 / fusion.EARTH_KM * 180 / 3.141592653589793
+    for spots in ([(3 + i * 0.05, 50 + j * 0.05) for i in range(40) for j in range(40)], [(r.choice([179.9, -179.9]), r.uniform(-1, 1)) for _ in range(99)], [(r.uniform(-180, 180), r.choice([90.0, 89.9, -89.9])) for _ in range(99)], [(0.0, edge), (0.0, 0.0), (edge, 0.0)]):
+        for km in (0.0, 25.0, 15_000.0):
+            rows = sorted((r.randrange(0, 40_000_000_000), i, *r.choice(spots)) for i in range(300))
+            assert fusion.fold(rows, 3_600_000_000, km) == every(rows, 3_600_000_000, km)
+    calls.clear()
+    rows = [(i * 1000, i, 3 + r.randrange(40) * 0.05, 50 + r.randrange(40) * 0.05) for i in range(3000)]
+    assert fusion.fold(rows, 3_600_000_000, 25.0) == every(rows, 3_600_000_000, 25.0) and len(calls) < 3 * len(rows)
+
+
 def test_research_plan_keeps_the_caps(spark):
     r = random.Random(3)
     rows = [(i % 3, i, r.choice("abc"), f"d{r.randrange(9)}", r.randrange(5), r.random()) for i in range(500)]
