@@ -5,6 +5,9 @@ few. Where more hold the value than a hash has neighbours within half the limit,
 hashes at distance d share one that is ceil(d / 2) from the one and floor(d / 2) from the other, so the sums of flips of
 what meets at a neighbour never go below a distance, and reach it. Smallest values per neighbour then answer the search,
 and the work on a band value grows with its hashes, not with their square. Both ways give the same rows.
+
+Positions in which all hashes agree tell nothing and belong to no band. Where even values spread evenly would crowd every
+band, one empty band replaces them: each hash lists its neighbours once, not once a band.
 """
 
 from __future__ import annotations
@@ -21,16 +24,30 @@ DEAL = 64
 class Bands:
     """Bands of ``bits`` positions for searches within ``limit``; hashes travel as words ``w0``, ``w1``, ... of up to 32 bits."""
 
-    def __init__(self, bits: int, limit: int):
+    def __init__(self, bits: int, limit: int, vary: list[int] | None = None, hashes: int = 0, most: int | None = None):
+        """``vary``: the positions in which hashes differ, all by default; ``hashes``: how many there are, for the choice of bands."""
         if not 0 <= limit < bits:
             raise ValueError("the limit must lie between 0 and the number of bits")
         self.bits, self.limit, self.reach = bits, limit, (limit + 1) // 2
         self.sizes = [min(32, bits - i) for i in range(0, bits, 32)]
         self.words = [f"w{i}" for i in range(len(self.sizes))]
-        cuts = [round(bits * i / (limit + 1)) for i in range(limit + 2)]
-        self.bands = [range(a, b) for a, b in zip(cuts, cuts[1:])]
+        self.vary = list(range(bits)) if vary is None else vary
+        n = len(self.vary)
+        cuts = [round(n * i / (limit + 1)) for i in range(limit + 2)]
+        self.bands = [self.vary[a:b] for a, b in zip(cuts, cuts[1:])]
         #: Neighbours that a hash lists in a crowded band, at most.
-        self.listed = max(sum(comb(bits - len(b), k) for k in range(self.reach + 1)) for b in self.bands)
+        self.listed = max(sum(comb(n - len(b), k) for k in range(self.reach + 1)) for b in self.bands)
+        if hashes > (self.listed if most is None else most) << max(map(len, self.bands)):
+            self.bands, self.listed = [[]], sum(comb(n, k) for k in range(self.reach + 1))
+
+    @classmethod
+    def of(cls, bits: int, limit: int, hashes: DataFrame, most: int | None = None) -> Bands:
+        """Bands for what ``hashes(w0, ...)`` hold: one aggregate of a row tells where they differ and how many there are."""
+        plain = cls(bits, limit)
+        found = hashes.agg(F.count("*").alias("n"), *[f(w).alias(f"{name}_{w}") for w in plain.words for name, f in (("some", F.bit_or), ("all", F.bit_and))]).first()
+        differ = [(found[f"some_{w}"] or 0) ^ (found[f"all_{w}"] or 0) for w in plain.words]
+        vary = [p for p in range(bits) if differ[p // 32] & plain.mask([p])[p // 32]]
+        return cls(bits, limit, vary, found["n"], most)
 
     def mask(self, positions) -> list[int]:
         out = [0] * len(self.sizes)
@@ -56,7 +73,7 @@ class Bands:
 
         Flips come one at a time, in rising position, so only the single flips travel: one row for each band and position.
         """
-        single = [(i, p, *self.mask([p])) for i, b in enumerate(self.bands) for p in range(self.bits) if p not in b]
+        single = [(i, p, *self.mask([p])) for i, b in enumerate(self.bands) for p in self.vary if p not in b]
         table = F.broadcast(rows.sparkSession.createDataFrame(single, ", ".join(["band int", "__p int", *[f"m{i} long" for i in range(len(self.words))]])))
         at = rows.withColumns({f"v{i}": F.col(w) for i, w in enumerate(self.words)} | {"flips": F.lit(0), "__last": F.lit(-1)})
         out = at
@@ -93,7 +110,9 @@ def near_duplicate_hashes(hashes: DataFrame, limit: int = 4, bits: int = 64, mos
     b = Bands(bits, limit)
     groups = hashes.filter(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     second = hashes.join(groups.filter("n > 1"), "bits").filter("id <> low").groupBy("bits").agg(F.min("id").alias("next"))
-    spread = b.spread(groups.filter(F.col("bits").rlike(f"^[01]{{{bits}}}$")).select("low", *b.parse(F.col("bits"))))
+    words = groups.filter(F.col("bits").rlike(f"^[01]{{{bits}}}$")).select("low", *b.parse(F.col("bits")))
+    b = Bands.of(bits, limit, words, most)
+    spread = b.spread(words)
     few, many = b.split(spread, b.crowded(spread, most), "low")
     other = few.select(*b.place, F.col("low").alias("other"), *[F.col(w).alias(f"o_{w}") for w in b.words])
     pairs = few.join(other, b.place).filter("low <> other").withColumn("distance", b.distance()).filter(F.col("distance") <= limit)
@@ -127,6 +146,7 @@ def first_duplicates(observations: DataFrame, known: DataFrame, limit: int = 4,
     hexed = lambda df: df.filter(F.col("perceptual_hash").rlike("^[0-9a-fA-F]{1,16}$"))
     asked = hexed(observations).select(half(0), half(1)).distinct()
     first = hexed(known).select("ordinal", half(0), half(1)).groupBy(*b.words).agg(F.min("ordinal").alias("ordinal"))
+    b = Bands.of(64, limit, asked.select(*b.words).unionAll(first.select(*b.words)), most)
     right, left = b.spread(first), b.spread(asked)
     # a value is crowded when what both sides hold of it is: either side alone may be small
     crowd = b.crowded(left.select(*b.place).unionAll(right.select(*b.place)), most)

@@ -40,6 +40,23 @@ def test_nearest_in_crowded_bands(spark, bits, limit, most):
     assert len(got) == len(want) and {x.id: (x.distance, x.nearest) for x in got} == want
 
 
+def test_positions_that_never_differ_belong_to_no_band(spark):
+    """24 of 64 bits differ: five bands of them while few hashes come, none once they crowd every band."""
+    r = random.Random(9)
+    codes = [r.getrandbits(24) for _ in range(60)] + [0, 0xFFFFFF]
+    words = spark.createDataFrame([(0, c) for c in codes], "w0 long, w1 long")
+    few, many = nearhash.Bands.of(64, 4, words), nearhash.Bands.of(64, 4, words, most=1)
+    assert [p for b in few.bands for p in b] == few.vary == list(range(40, 64)) and few.listed == 211
+    assert many.bands == [[]] and many.listed == 301 and nearhash.Bands(64, 4).listed == 1379
+    rows = [(i, f"{c:016x}") for i, c in enumerate(codes)]
+    want = {i: min(j for j, b in enumerate(codes) if (a ^ b).bit_count() <= 4) for i, a in enumerate(codes)}
+    seen = spark.createDataFrame(rows, "observation_id long, perceptual_hash string").selectExpr("observation_id", "'' AS exact_hash", "perceptual_hash")
+    for most in (None, 1):
+        got = nearhash.first_duplicates(seen, seen.withColumnRenamed("observation_id", "ordinal"), most=most).collect()
+        assert {x.observation_id: x.ordinal for x in got} == want
+    assert nearhash.Bands.of(64, 4, words.limit(0)).vary == [] and nearhash.Bands.of(64, 4, words.limit(1)).vary == []
+
+
 def test_odd_hashes(spark):
     rows = [(1, None), (2, None), (3, ""), (4, ""), (5, "01"), (6, "0" * 64), (7, "0" * 63 + "x")]
     got = nearhash.near_duplicate_hashes(spark.createDataFrame(rows, "id long, bits string"))
