@@ -15,6 +15,7 @@ import struct
 import zlib
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -323,21 +324,58 @@ def near_earlier(records: DataFrame, limit: int, most: int | None = None) -> Dat
     """(sha256, near_duplicate_of, distance): for ``records(bits, seq, sha256)`` the nearest earlier record within ``limit`` bits, the smallest name of equally near ones.
 
     A record with an equal hash before it has its answer at distance 0. So only the first record of each hash looks at
-    others, and of those only records that were the smallest name of their hash when they came can be an answer.
+    others, and of those only records that were the smallest name of their hash when they came can be an answer. First it
+    looks at close ones; most of a crowd of like pictures end there, and only the rest look at the whole limit.
     """
     b = Bands(GRID * GRID, limit)
     shared_dir(records.sparkSession)
     followed = earlier_smallest(records.filter(F.col("bits").rlike(f"^[01]{{{b.bits}}}$"))).checkpoint()
     same = followed.filter("before is not null").select("sha256", F.col("before").alias("near_duplicate_of"), F.lit(0).alias("distance"))
-    steps = b.spread(followed.filter("before is null or sha256 < before").select("seq", "sha256", *b.parse(F.col("bits"))))
-    asked = b.spread(followed.filter(F.col("before").isNull() & (F.col("seq") > KNOWN)).select("seq", "sha256", *b.parse(F.col("bits"))))
+    known = followed.filter("before is null or sha256 < before").select("seq", "sha256", *b.parse(F.col("bits")))
+    asked = followed.filter(F.col("before").isNull() & (F.col("seq") > KNOWN)).select("seq", "sha256", *b.parse(F.col("bits")))
+    best = lambda met: met.groupBy("sha256").agg(F.min(F.struct("distance", "name")).alias("m")).select("sha256", F.col("m.name").alias("near_duplicate_of"), "m.distance")
+    if limit < 4:
+        return same.union(best(_banded_earlier(b, asked, known, most)))
+    # whoever has a record within a quarter or half of the limit needs no look at farther ones
+    found = best(_banded_earlier(Bands(b.bits, limit // 4), asked, known, most)).checkpoint()
+    for within in (limit // 2, limit):
+        rest = asked.join(found.select("sha256"), "sha256", "left_anti")
+        found = found.union(best(_far_earlier(Bands(b.bits, within), limit // 3 + 1, rest, known, most))).checkpoint()
+    return same.union(found)
+
+
+def _banded_earlier(b: Bands, asked: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
+    """(sha256, distance, name) of what lies before within the limit of ``b``: pairs of a band value, neighbours where it is crowded. ``known`` holds ``asked``."""
+    asked, steps = b.spread(asked), b.spread(known)
     crowd = b.crowded(steps, most).checkpoint()
     (few, many), (few_known, many_known) = b.split(asked, crowd, "sha256"), b.split(steps, crowd, "sha256")
-    theirs = few_known.select(*b.place, F.col("seq").alias("o_seq"), F.col("sha256").alias("name"), *[F.col(w).alias(f"o_{w}") for w in b.words])
-    pairs = few.join(theirs, b.place).filter("o_seq < seq").withColumn("distance", b.distance()).filter(F.col("distance") <= limit).select("sha256", "distance", "name")
-    met = pairs if crowd.isEmpty() else pairs.union(_crowded_earlier(b, many, many_known, limit))
-    best = met.groupBy("sha256").agg(F.min(F.struct("distance", "name")).alias("m"))
-    return same.union(best.select("sha256", "m.name", "m.distance"))
+    pairs = _pairs(b, few, few_known, b.limit)
+    return pairs if crowd.isEmpty() else pairs.union(_crowded_earlier(b, many, many_known, b.limit))
+
+
+def _pairs(b: Bands, asked: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    theirs = known.select(*b.place, F.col("seq").alias("o_seq"), F.col("sha256").alias("name"), *[F.col(w).alias(f"o_{w}") for w in b.words])
+    return asked.join(theirs, b.place).filter("o_seq < seq").withColumn("distance", b.distance()).filter(F.col("distance") <= limit).select("sha256", "distance", "name")
+
+
+def _far_earlier(b: Bands, count: int, asked: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
+    """(sha256, distance, name) within the limit of ``b`` for few ``asked`` among many ``known``.
+
+    The limit is shared out over ``count`` wide bands: two hashes within it differ by at most the share of a band in one of
+    them. Each asked hash lists the values within that share, so that known ones meet it at 21 positions (limit 8), not at 7.
+    """
+    wide, (each, over) = Bands(b.bits, count - 1), divmod(b.limit + 1, count)
+    flips = [(i, *wide.mask(at)) for i, band in enumerate(wide.bands) for k in range(each + (i < over)) for at in combinations(band, k)]
+    table = F.broadcast(asked.sparkSession.createDataFrame(flips, ", ".join(["band int", *[f"m{i} long" for i in range(len(wide.words))]])))
+    listed = wide.spread(asked).join(table, "band").withColumns({f"p{i}": F.col(f"p{i}").bitwiseXOR(F.col(f"m{i}")) for i in range(len(wide.words))})
+    steps = wide.spread(known)
+    crowd = wide.crowded(steps, b.listed if most is None else most).checkpoint()
+    few, many = wide.split(steps, crowd, "sha256")
+    pairs = _pairs(wide, listed, few, b.limit)
+    if crowd.isEmpty():
+        return pairs
+    # what shares a crowded value is looked at by the narrow bands
+    return pairs.union(_banded_earlier(b, asked, many.select(*known.columns).union(asked.select(*known.columns)).distinct(), most))
 
 
 def _crowded_earlier(b: Bands, asked: DataFrame, known: DataFrame, limit: int) -> DataFrame:

@@ -153,6 +153,34 @@ def test_decisions_equal_a_fold(spark, most):
         assert [(got[s].status, got[s].reason, got[s].first) for s in (500, 501)] == [("quarantined", "malformed_png", True), ("quarantined", "malformed_png", False)]
 
 
+@pytest.mark.parametrize("limit, most", [(8, None), (4, 3)])
+def test_far_searches_equal_a_fold(spark, limit, most):
+    """Close, far and too far pictures, with known ones, in sparse and in crowded values."""
+    r, limits = random.Random(8), media.Limits(near_distance=limit)
+    bases = ["".join(r.choice("01") for _ in range(64)) for _ in range(12)]
+    rows = []
+    for seq in range(160):
+        bits = list(r.choice(bases))
+        for i in r.sample(range(64), r.choice([0, 1, 2, 3, 4, 5, 6, 8, 9, 14])):
+            bits[i] = "10"[int(bits[i])]
+        rows.append((seq, f"{r.randrange(10**6):06d}", "".join(bits)))
+    known = {n + "k": b for _, n, b in r.sample(rows, 15)}
+    seen = spark.createDataFrame([(*x, None) for x in rows], "seq long, sha256 string, perceptual_hash string, reason string")
+    old = spark.createDataFrame(list(known.items()), "sha256 string, perceptual_hash string")
+    got = {x.seq: (x.reason, x.duplicate_of, x.near_duplicate_of) for x in media.decide(seen, old, limits, most).collect()}
+    assert got == fold(rows, limit, dict(known))
+
+
+def test_the_far_search_meets_few(spark, monkeypatch):
+    """3,000 unlike pictures: a pair of 7-bit bands each would meet 316,000 times; the far search lists values of 21 bits."""
+    r, met = random.Random(9), []
+    whole = media._pairs
+    monkeypatch.setattr(media, "_pairs", lambda b, asked, known, limit: met.append(asked.select(*b.place).join(known.select(*b.place), b.place).count()) or whole(b, asked, known, limit))
+    rows = [(i, f"{i:05d}", f"{r.getrandbits(64):064b}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, sha256 string, bits string")
+    assert media.near_earlier(df, 8).count() == 0 and sum(met) < 50_000
+
+
 def test_batches_store_each_content_once(spark, tmp_path):
     root, at = str(tmp_path / "media"), lambda v: png(8, 8, [b"\0" + bytes([v + (y > 3) * 200] * 8) for y in range(8)])
     first = frame(spark, [(at(0), "image/png"), (at(0), None), (b"x", None), (at(1), "audio/wav")])
