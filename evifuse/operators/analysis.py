@@ -274,15 +274,21 @@ def page_title(page: Column) -> Column:
     return tx.blank_to_null(F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
 
 
+def _elsewhere(target: Column) -> Column:
+    """Rows with a target, other than ``__own``, as ``canonical_url``. A filter would be pushed below the projection and repeat the long expression for each mention."""
+    return F.explode(F.filter(F.array(target), lambda c: c.isNotNull() & ~c.eqNullSafe(F.col("__own")))).alias("canonical_url")
+
+
 def page_links(pages: DataFrame, key: str, url: str = "url", page: str = "html") -> DataFrame:
     """(key, position, canonical_url, same_domain, nofollow): the first ``LINKS`` different links of a page, without those to itself.
 
     The base element, if any, resolves relative links. Pages are keyed by an id, so duplicates drop by it.
     """
     base = F.coalesce(tx.blank_to_null(F.regexp_extract(page, r"(?is)<base\s[^>]*href\s*=\s*[\"']([^\"']*)", 1)), F.col(url))
-    rows = pages.select(key, F.col(url).alias("__url"), base.alias("__base"), F.posexplode(html_anchors(F.col(page))).alias("position", "a"))
-    rows = rows.filter(~F.lower(F.trim("a.href")).rlike(NOT_LINKS)).withColumn("canonical_url", urls.canonical_url(F.col("a.href"), F.col("__base")))
-    rows = rows.filter(F.col("canonical_url").isNotNull() & ~F.col("canonical_url").eqNullSafe(urls.canonical_url(F.col("__url"))))
+    # what a page has once is found before its anchors multiply it; its text does not travel with them
+    rows = pages.select(key, F.col(url).alias("__url"), base.alias("__base"), urls.canonical_url(F.col(url)).alias("__own"), F.col(page).alias("__page"))
+    rows = rows.select(key, "__url", "__base", "__own", F.posexplode(html_anchors(F.col("__page"))).alias("position", "a")).filter(~F.lower(F.trim("a.href")).rlike(NOT_LINKS))
+    rows = rows.select(key, "__url", "position", "a", _elsewhere(urls.canonical_url(F.col("a.href"), F.col("__base"))))
     first = rows.groupBy(key, "canonical_url").agg(F.min_by(F.struct("position", "a.nofollow", "__url"), "position").alias("f"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     out = first.select(key, "f.position", "canonical_url", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"), "f.nofollow")
@@ -336,14 +342,14 @@ def record_links(docs: DataFrame, key: str, url: str = "url", text: str = "text"
     body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, TEXT)
     d = docs.select(key, F.col(url).alias("__url"), body.alias("__body"), media.alias("__media"))
     d = d.withColumn("__kind", detected_format(F.col("__url"), F.col("__media"), F.col("__body")))
-    rows = d.select(key, "__url", "__kind", F.posexplode(fields(F.col("__body"), F.col("__kind"))["fields"]).alias("position", "s"))
+    rows = d.select(key, "__url", "__kind", urls.canonical_url(F.col("__url")).alias("__own"), fields(F.col("__body"), F.col("__kind"))["fields"].alias("__fields"))
+    rows = rows.select(key, "__url", "__kind", "__own", F.posexplode("__fields").alias("position", "s"))
     name, value = F.lower("s.key"), F.trim("s.value")
     is_json, is_csv, attribute = F.col("__kind").isin("json", "geojson", "openapi", "jsonl"), F.col("__kind") == "csv", name.startswith("href@")
     named = F.regexp_replace(name, "[^a-z0-9]+", "").isin(*URL_KEYS) | attribute | (~is_json & ~is_csv & name.isin("loc", "guid")) | value.rlike(WEB)
     origin = F.when(is_json, "json_url").when(is_csv, "csv_url").when(attribute, "xml_attribute").otherwise("xml_loc")
     name = F.regexp_replace(name, "^href@", "")
-    rows = rows.filter(named & ~F.lower(value).rlike(NOT_LINKS)).select(key, "__url", "position", origin.alias("origin"), F.when(name == "", "reference").otherwise(name).alias("relation"), urls.canonical_url(value, F.col("__url")).alias("canonical_url"))
-    rows = rows.filter(F.col("canonical_url").isNotNull() & ~F.col("canonical_url").eqNullSafe(urls.canonical_url(F.col("__url"))))
+    rows = rows.filter(named & ~F.lower(value).rlike(NOT_LINKS)).select(key, "__url", "position", origin.alias("origin"), F.when(name == "", "reference").otherwise(name).alias("relation"), _elsewhere(urls.canonical_url(value, F.col("__url"))))
     first = rows.groupBy(key, "canonical_url").agg(F.min(F.struct("position", "origin", "relation", "__url")).alias("f"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     out = first.select(key, "f.position", "canonical_url", "f.origin", "f.relation", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"))

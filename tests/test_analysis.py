@@ -197,3 +197,12 @@ def test_links_of_records(spark):
         (2, "https://a.org/p", "csv_url", "link", True), (2, "https://a.org/q", "csv_url", "link", True),
     ]
     assert analysis.record_links(df.limit(0), "i").count() == 0
+
+
+def test_links_are_put_in_canonical_form_once(spark):
+    """Once for the page and once for each link: the form is a long expression, and a filter on it used to repeat it."""
+    pages = spark.createDataFrame([(1, "https://a.example/x", '<a href="/y">y</a><a href="/x">x</a><a href="mailto:z">z</a>')], "id long, url string, html string")
+    records = pages.select("id", "url", F.lit('{"url": "https://b.example/"}').alias("text"))
+    for df in (analysis.page_links(pages, "id"), analysis.record_links(records, "id")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("dclid") <= 2
+        assert df.count() == 1
