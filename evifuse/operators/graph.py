@@ -19,7 +19,8 @@ def eligible(assertions: DataFrame, citations: DataFrame, entities: DataFrame |
     if until is not None:
         out = out.filter(F.col("valid_from").isNull() | (F.col("valid_from") <= until))
     cited = citations if reliability is None else citations.filter(F.col("source_reliability").isin(*reliability))
-    out = out.join(cited.select("assertion_id").distinct(), "assertion_id", "left_semi")
+    # a semi join needs no distinct keys, and a table of all of them would fill a task's memory
+    out = out.join(cited.select("assertion_id"), "assertion_id", "left_semi")
     if entities is not None and max_redaction is not None:
         shown = entities.filter(rules.visible(F.col("redaction_level"), max_redaction)).select("entity_id")
         for side in ("subject_entity_id", "object_entity_id"):
@@ -44,7 +45,9 @@ def prominence(edges: DataFrame, citations: DataFrame) -> DataFrame:
     """Confidence sum, 0.1 per distinct source, 0.05 per edge."""
     ends = incident(edges)
     base = ends.groupBy("entity_id").agg(F.sum("confidence_score").alias("confidence_sum"), F.count("*").alias("relationship_count"))
-    sources = ends.select("assertion_id", "entity_id").join(citations.filter("source_uri is not null").select("assertion_id", "source_uri"), "assertion_id").groupBy("entity_id").agg(F.countDistinct("source_uri").alias("distinct_source_count"))
+    # edges meet their citations in the order that they have, and only then give a row for each end
+    cited = edges.select("assertion_id", "subject_entity_id", "object_entity_id").join(citations.filter("source_uri is not null").select("assertion_id", "source_uri"), "assertion_id")
+    sources = incident(cited).groupBy("entity_id").agg(F.countDistinct("source_uri").alias("distinct_source_count"))
     out = base.join(sources, "entity_id", "left").fillna(0, ["distinct_source_count"])
     return out.withColumn("score", F.col("confidence_sum") + 0.1 * F.col("distinct_source_count") + 0.05 * F.col("relationship_count"))
 

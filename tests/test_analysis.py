@@ -206,3 +206,12 @@ def test_links_are_put_in_canonical_form_once(spark):
     for df in (analysis.page_links(pages, "id"), analysis.record_links(records, "id")):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("dclid") <= 2
         assert df.count() == 1
+
+
+def test_prominence_holds_no_table_of_assertions(spark):
+    """A task neither hashes all assertion ids for a semi join nor sorts edges again, once for each end."""
+    edges = spark.createDataFrame([(1, 7, 8, 0.5), (2, 7, 9, 0.5)], "assertion_id long, subject_entity_id long, object_entity_id long, confidence_score double")
+    cited = spark.createDataFrame([(1, "u"), (1, "v"), (2, "u")], "assertion_id long, source_uri string")
+    df = graph.prominence(graph.eligible(edges, cited), cited)
+    assert "Aggregate [assertion_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.entity_id, r.relationship_count, r.distinct_source_count) for r in df.collect()} == {(7, 2, 2), (8, 1, 2), (9, 1, 1)}
