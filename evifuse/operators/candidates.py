@@ -23,6 +23,8 @@ REVISION = "revision_number long, revision_kind string, changed boolean, campaig
 _STATE = [c.split()[0] for c in STATE.split(", ")]
 _REVISION = [c.split()[0] for c in REVISION.split(", ")]
 _OUT = ["kind", *_STATE, *_REVISION]
+#: Rows that the fold holds as Python objects at a time.
+PART = 1_000
 OBSERVATION = ["url_hash", "canonical_url", "campaign_id", "run_id", "observed_at", "score", "trust_level", "content_hash", "schema_hash"]
 
 
@@ -44,7 +46,7 @@ def _fold(batches):
     state: dict | None = None
     key, known = None, True
     out: list[dict] = []
-    for rows in batches:
+    for rows in (b.iloc[i : i + PART] for b in batches for i in range(0, len(b), PART)):
         for r in rows.to_dict("records"):
             if r["url_hash"] != key:
                 if state and not known:
@@ -69,7 +71,7 @@ def _fold(batches):
             }
             out.append({"kind": "revision", "revision_number": state["revisions"], "revision_kind": "discovered" if created else "rediscovered", "changed": changed}
                 | {k: r[k] for k in ("url_hash", "canonical_url", "campaign_id", "run_id", "observed_at", "observed_score", "observed_bucket", "content_hash", "schema_hash")})
-        if len(out) > 10_000:
+        if len(out) >= PART:
             yield _frame(out)
             out = []
     if state and not known:

@@ -6,6 +6,7 @@ import datetime
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,12 @@ def test_links_get_the_first_reason_that_holds(spark):
     assert sum(x.links for x in got) == len(rows)
     assert [x.reason for x in run(links.Campaign(modes=("query",)), rows[:1])] == ["mode_off"]
     assert run(campaign, []) == []
+
+
+def test_fold_holds_few_rows_at_a_time():
+    row = dict.fromkeys([*candidates._STATE, *candidates._REVISION, "trust_level"]) | {"from_state": False, "canonical_url": "u", "campaign_id": 1, "observed_score": 1.0, "observed_bucket": "ignore"}
+    rows = pd.DataFrame([row | {"url_hash": f"h{i // 2:05d}", "run_id": i} for i in range(9_000)], dtype=object)
+    frames = list(candidates._fold([rows]))
+    assert max(map(len, frames)) <= 2 * candidates.PART + 1
+    out = pd.concat(frames)
+    assert out.kind.value_counts().to_dict() == {"revision": 9_000, "state": 4_500} and set(out[out.kind == "state"].revisions) == {2}
