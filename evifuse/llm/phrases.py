@@ -1,13 +1,13 @@
 """Collocations: phrases of up to five words whose parts occur together more often than apart.
 
-Counting sorts suffixes. Words are counted first, then pairs and triples of them; texts split at words, pairs and triples
-rarer than the threshold, which no frequent phrase can hold. Broadcasts say which are frequent, by a bit per hash value: 1, 8
-and 8 MB at any size. A rare one that shares its bit only costs work. Each remaining position gives its suffix of at most
-``MAX_N`` words; equal suffixes of a run of words are merged before they shuffle by language and first word. Each task
-reads its suffixes in reverse lexicographic order and counts all their prefixes with one stack. Where the first word
-holds more than 1/``HOT_WORDS`` of all words, the next words take part in the dealing, up to the first that is not hot; only
-prefixes of nothing but hot words are then added up from several tasks. Parts are joined to the phrases at the end, when
-only frequent ones are left.
+Counting sorts suffixes, in ``ROUNDS``: after the words are counted, suffixes of two words, then those of three or more. Texts
+split at words and pairs rarer than the threshold, which no frequent phrase can hold; the counts of the rounds before tell
+them. Broadcasts say which are frequent, by a bit per hash value: 1 and 8 MB at any size. A rare one that shares its bit only
+costs work. In a round each position gives its suffix if that has the round's number of words; equal suffixes of a run of
+words are merged before they shuffle by language and first word. Each task reads its suffixes in reverse lexicographic order
+and counts their prefixes with one stack. Where the first word holds more than 1/``HOT_WORDS`` of all words, the next words
+take part in the dealing, up to the first that is not hot; only prefixes of nothing but hot words are then added up from
+several tasks. Parts are joined to the phrases at the end, when only frequent ones are left.
 
 Defined results: a null text is empty; a null language is ``und``; repeated rows count each; rows without an id count like
 others (ids play no part); texts of any length are read whole, in slices; a phrase never leaves its piece; ties of score
@@ -17,6 +17,7 @@ no part; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from evifuse.llm.common import cut, join_skewed, table
 
 MAX_N, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bits that say which words, pairs and triples are frequent, as powers of two.
-SIEVES = 23, 26, 26
+#: Fewest and most words of the suffixes of each round.
+ROUNDS = (2, 2), (3, MAX_N)
+#: Bits that say which words and pairs are frequent, as powers of two.
+SIEVES = 23, 26
 #: A word with more than 1/HOT_WORDS of all words is hot; there are fewer than HOT_WORDS such.
 HOT_WORDS = 200
 #: Bytes of text that are split and merged at a time, and of one text.
@@ -163,30 +166,30 @@ def _sieved_runs(sieves, batches, n: int):
         yield name, run, goes_on
 
 
-def _count_grams(sieves, k: int):
-    def run_task(batches):
-        """(at, n): hashes of grams of k words whose parts may be frequent, with their counts in the run."""
-        for _, run, _ in _sieved_runs(sieves.value, batches, k - 1):
-            at, n = np.unique(run.hashes(k)[run.may(k)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
-
-    return run_task
+def _gram_hash(words, lang: str, k: int):
+    """``_Run.hashes`` of k words, an array Column."""
+    mark = lambda j: F.crc32(F.concat(F.col(lang), F.lit(" "), words[j]))
+    h = mark(0)
+    for j in range(1, k):
+        h = F.shiftleft(h, 28).bitwiseXOR(F.shiftright(h, 19)).bitwiseXOR(mark(j)).bitwiseAND(F.lit((1 << 60) - 1))
+    return h
 
 
-def _suffixes(sieves, hot):
+def _suffixes(sieves, hot, least: int, most: int):
     def run_task(batches):
-        """(key, hot, n): a suffix of two words or more as "first lang second ..." with its count in the run and the number of hot words that it begins with; keys end in a blank, so that prefixes are whole words. The suffix ends before a rare gram."""
-        for name, run, goes_on in _sieved_runs(sieves.value, batches, MAX_N - 1):
-            ok, size = run.ok, max(0, run.size - (MAX_N - 1)) if goes_on else run.size
-            start = np.flatnonzero(ok[1][:size])
+        """(key, hot, n): a suffix of ``least`` to ``most`` words as "first lang second ..." with its count in the run and the number of hot words that it begins with; keys end in a blank, so that prefixes are whole words. The suffix ends before a rare gram."""
+        for name, run, goes_on in _sieved_runs(sieves.value, batches, most - 1):
+            ok, size = run.ok, max(0, run.size - (most - 1)) if goes_on else run.size
+            start = np.flatnonzero(run.may(least)[:size])
             if not len(start):
                 continue
-            cols = [run.a[start], run.a[start + 1]]
-            for j in range(2, MAX_N):
+            cols = [run.a[start + j] for j in range(least)]
+            for j in range(least, most):
                 k = min(len(ok), j + 1)
                 cols.append(np.where((cols[-1] > 0) & ok[k - 1][start + j + 1 - k], run.a[start + j], 0))
             # three numbers below 2^21 fit in one key
-            order = np.lexsort([cols[3] << 21 | cols[4], cols[0] << 42 | cols[1] << 21 | cols[2]] if len(run.spelled) <= 1 << 21 else cols[::-1])
+            keys = [functools.reduce(lambda x, y: x << 21 | y, cols[i : i + 3]) for i in range(0, most, 3)] if len(run.spelled) <= 1 << 21 else cols
+            order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
             m = np.stack(cols, 1)[order]
             first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]).any(1)]))
             counts = np.diff(np.append(first, len(m)))
@@ -194,7 +197,7 @@ def _suffixes(sieves, hot):
             is_hot = np.array([(name, w) in hot for w in run.spelled], bool)
             for i in range(0, len(first), 100_000):
                 u = m[first[i : i + 100_000]]
-                w = [spelled.take(pa.array(u[:, j])) for j in range(MAX_N)]
+                w = [spelled.take(pa.array(u[:, j])) for j in range(most)]
                 keys = pc.binary_join_element_wise(w[0], f"{name} ", *w[1:], "")
                 hots = np.logical_and.accumulate(is_hot[u], axis=1).sum(1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(hots), pa.array(counts[i : i + 100_000])], names=["key", "hot", "n"])
@@ -202,13 +205,13 @@ def _suffixes(sieves, hot):
     return run_task
 
 
-def _stack(least: int):
+def _stack(least: int, fewest: int, most: int):
     def run_task(batches):
-        """(key, n) of all prefixes of two words or more of keys that come in reverse order. The stack holds the open prefixes, one a depth; a batch closes those that end in it.
+        """(key, n) of all prefixes of ``fewest`` words or more of keys that come in reverse order and have ``most`` at most. The stack holds the open prefixes, one a depth; a batch closes those that end in it.
 
         Counts under ``least`` stay only for prefixes of hot words, whose suffixes are dealt to several tasks.
         """
-        depths = range(3, MAX_N + 2)
+        depths = range(fewest + 1, most + 2)
         stack: dict[int, list] = {}
         for b in batches:
             if not b.num_rows:
@@ -220,8 +223,8 @@ def _stack(least: int):
             # one column a depth, -1 beyond the last word; keys end in a blank, so the last part of each is empty
             size = np.diff(ends) - 1
             ids = flat.indices.to_numpy(zero_copy_only=False)
-            m = np.full((len(n), MAX_N + 1), -1, np.int64)
-            for j in range(MAX_N + 1):
+            m = np.full((len(n), most + 1), -1, np.int64)
+            for j in range(most + 1):
                 has = size > j
                 m[has, j] = ids[ends[:-1][has] - ends[0] + j]
             same = np.logical_and.accumulate(m[1:] == m[:-1], axis=1)
@@ -281,17 +284,17 @@ def frequent(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = {(r.lang, r.w) for r in words.filter(F.col("f") * HOT_WORDS > total).select("lang", "w").collect()}
     sieves = [_sieve(words.select(F.crc32(F.concat("lang", F.lit(" "), "w")).alias("at")), SIEVES[0])]
-    for k, power in enumerate(SIEVES[1:], 2):
-        # grams whose hashes agree count as one here: that keeps too many at worst
-        grams = rows.mapInArrow(_count_grams(spark.sparkContext.broadcast(sieves), k), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-        sieves.append(_sieve(grams.filter(F.col("n") >= least), power))
-    suffixes = rows.mapInArrow(_suffixes(spark.sparkContext.broadcast(sieves), hot), "key string, hot int, n long")
-    # the language, the first word, and where that is hot the next ones up to the first that is not
-    dealt = suffixes.repartition(F.expr("substring_index(key, ' ', hot + 2)"))
-    sums = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(_stack(least), "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
-    w = F.split("key", " ")
-    phrases = sums.filter(F.col("f") >= least).select(w[1].alias("lang"), F.concat_ws(" ", F.concat(F.slice(w, 1, 1), F.slice(w, 3, MAX_N))).alias("phrase"), (F.size(w) - 1).alias("words"), "f")
-    return cut(words.select("lang", F.col("w").alias("phrase"), F.lit(1).alias("words"), "f").union(phrases)), totals
+    found, w = words.select("lang", F.col("w").alias("phrase"), F.lit(1).alias("words"), "f"), F.split("key", " ")
+    for fewest, most in ROUNDS:
+        suffixes = rows.mapInArrow(_suffixes(spark.sparkContext.broadcast(sieves), hot, fewest, most), "key string, hot int, n long")
+        # the language, the first word, and where that is hot the next ones up to the first that is not
+        dealt = suffixes.repartition(F.expr("substring_index(key, ' ', hot + 2)"))
+        sums = dealt.sortWithinPartitions(F.col("key").desc()).mapInArrow(_stack(least, fewest, most), "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
+        phrases = cut(sums.filter(F.col("f") >= least).select(w[1].alias("lang"), F.concat_ws(" ", F.concat(F.slice(w, 1, 1), F.slice(w, 3, MAX_N))).alias("phrase"), (F.size(w) - 1).alias("words"), "f"))
+        found = found.union(phrases)
+        if most < MAX_N:
+            sieves = [*sieves, _sieve(phrases.select(_gram_hash(F.split("phrase", " "), "lang", most).alias("at")), SIEVES[most - 1])]
+    return cut(found), totals
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:

@@ -117,6 +117,35 @@ def test_collocations(spark, monkeypatch):
     assert phrases.collocations(df.limit(0)).collect() == []
 
 
+def test_suffix_rows_grow_with_the_texts(spark, monkeypatch):
+    """Five times the texts make no more than nine times the suffixes in all, though far more phrases reach the threshold; a round makes one a word at most."""
+    r, plain = random.Random(6), phrases._suffixes
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 3) for i in range(400)]
+    texts = [" ".join(r.choices(vocabulary, weights, k=200)) for _ in range(300)]
+    made = []
+    for part in (texts[:60], texts):
+        rounds = []
+
+        def counted(*a, rounds=rounds):
+            rows, make = spark.sparkContext.accumulator(0), plain(*a)
+            rounds.append(rows)
+
+            def run_task(batches):
+                for b in make(batches):
+                    rows.add(b.num_rows)
+                    yield b
+
+            return run_task
+
+        monkeypatch.setattr(phrases, "_suffixes", counted)
+        df = spark.createDataFrame([(t, "en") for t in part], "text string, lang string").repartition(4)
+        assert sorted(tuple(x) for x in phrases.collocations(df, 20, top=50).collect()) == plain_phrases([(t, "en") for t in part], 20, top=50)
+        made.append([x.value for x in rounds])
+    few, many = made
+    assert sum(many) <= 9 * sum(few) and max(many) <= 200 * len(texts), made
+
+
 # --- language model --------------------------------------------------------------------------------------------------
 
 
