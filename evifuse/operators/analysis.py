@@ -2,7 +2,7 @@
 
 Formats, hints and ladders are Column expressions. One small Arrow UDF flattens a document's JSON, XML or CSV to its
 scalar fields and points, since Spark has no function for nesting of unknown depth; a document is bounded as in ``NODES``,
-``POINTS``, ``LINKS`` and ``CSV_ROWS``, which are part of the analysis. Documents are rows; nothing is shuffled.
+``POINTS`` and ``CSV_ROWS``, which are part of the analysis. Documents are rows; only links shuffle, by document and target.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from pyspark.sql import types as T
 
 from evifuse.functions import signals, urls
 from evifuse.functions import text as tx
-from evifuse.operators.windows import per_group_limit
 
 #: Bounds of the analysis of one document.
-TEXT, NODES, POINTS, LINKS, CSV_ROWS, ITEMS = 256 * 1024, 10_000, 200, 500, 200, 1_000
+TEXT, NODES, POINTS, CSV_ROWS, ITEMS = 256 * 1024, 10_000, 200, 200, 1_000
 
 # Fixed values.
 STREAM_TYPES = ("application/vnd.apple.mpegurl", "application/x-mpegurl", "application/dash+xml", "multipart/x-mixed-replace", "text/event-stream", "video/mp2t")
@@ -280,7 +279,7 @@ def _elsewhere(target: Column) -> Column:
 
 
 def page_links(pages: DataFrame, key: str, url: str = "url", page: str = "html") -> DataFrame:
-    """(key, position, canonical_url, same_domain, nofollow): the first ``LINKS`` different links of a page, without those to itself.
+    """(key, position, canonical_url, same_domain, nofollow): all different links of a page, each where it stands first, without those to itself.
 
     The base element, if any, resolves relative links. Pages are keyed by an id, so duplicates drop by it.
     """
@@ -291,8 +290,7 @@ def page_links(pages: DataFrame, key: str, url: str = "url", page: str = "html")
     rows = rows.select(key, "__url", "position", "a", _elsewhere(urls.canonical_url(F.col("a.href"), F.col("__base"))))
     first = rows.groupBy(key, "canonical_url").agg(F.min_by(F.struct("position", "a.nofollow", "__url"), "position").alias("f"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    out = first.select(key, "f.position", "canonical_url", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"), "f.nofollow")
-    return per_group_limit(out, [key], [F.col("position")], LINKS)
+    return first.select(key, "f.position", "canonical_url", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"), "f.nofollow")
 
 
 def recommended_kind(url: Column, detected: Column, media_type: Column, document_type: Column) -> Column:
@@ -336,7 +334,7 @@ def record_links(docs: DataFrame, key: str, url: str = "url", text: str = "text"
     """(key, position, canonical_url, origin, relation, same_domain): the links that fields of JSON, JSON lines, XML and CSV documents hold.
 
     A field is a link if its name says so or its value begins with a scheme of the web; the first of equal targets stays,
-    ``LINKS`` a document, links of a document to itself aside. The bounds of the analysis hold.
+    links of a document to itself aside. The bounds of the analysis of fields hold.
     """
     media = F.col(media_type) if media_type else F.lit("")
     body = F.substring(F.coalesce(F.col(text), F.lit("")), 1, TEXT)
@@ -352,5 +350,4 @@ def record_links(docs: DataFrame, key: str, url: str = "url", text: str = "text"
     rows = rows.filter(named & ~F.lower(value).rlike(NOT_LINKS)).select(key, "__url", "position", origin.alias("origin"), F.when(name == "", "reference").otherwise(name).alias("relation"), _elsewhere(urls.canonical_url(value, F.col("__url"))))
     first = rows.groupBy(key, "canonical_url").agg(F.min(F.struct("position", "origin", "relation", "__url")).alias("f"))
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    out = first.select(key, "f.position", "canonical_url", "f.origin", "f.relation", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"))
-    return per_group_limit(out, [key], [F.col("position")], LINKS)
+    return first.select(key, "f.position", "canonical_url", "f.origin", "f.relation", (host(F.col("canonical_url")) == host(F.col("f.__url"))).alias("same_domain"))

@@ -74,6 +74,15 @@ def test_links(spark):
     assert [(r.page_id, r.canonical_url, r.same_domain, r.nofollow) for r in got] == [(1, "http://a.org/d/x", True, False), (1, "http://a.org/d/y", True, True), (1, "http://b.org/", False, False)]
 
 
+def test_all_links_of_a_page_count(spark):
+    """Before, links after the first 500 of a page or document were dropped, also where the first 500 led elsewhere."""
+    page = "".join(f'<a href="http://b.org/{i}">e</a>' for i in range(500)) + "".join(f'<a href="/own/{i % 700}">o</a>' for i in range(1400))
+    got = analysis.page_links(spark.createDataFrame([(1, "http://a.org/p", page)], "page_id int, url string, html string"), "page_id")
+    assert got.count() == 1200 and got.filter("same_domain").count() == 700 and got.agg(F.max("position")).first()[0] == 1199
+    text = "[" + ", ".join(f'{{"url": "/r/{i}"}}' for i in range(600)) + "]"
+    assert analysis.record_links(spark.createDataFrame([(1, "http://a.org/d.json", text)], "i int, url string, text string"), "i").count() == 600
+
+
 def test_geofences_of_any_size(spark):
     box = lambda w, s, e, n: [[[[w, s], [e, s], [e, n], [w, n]]]]
     fences = [(1, True, box(-179.0, -89.0, 179.0, 89.0)), (2, True, box(3.0, 50.0, 4.0, 51.0)), (3, True, box(-90.0, -45.0, 90.0, 45.0)), (4, False, box(0.0, 0.0, 1.0, 1.0)), (5, True, [])]
