@@ -229,3 +229,29 @@ def test_lm_probabilities_sum_to_one(spark):
     for context in (b"the a", b"\xff\xff\xff\xff\xff", b"zzzzz", b"n the", "ünï".encode()[:5]):
         base = int.from_bytes(context, "big") << 8
         assert (10 ** trie.log10(base + np.arange(256))).sum() == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("known", [1, 60])
+def test_lm_rare_grams_cost_the_same(spark, monkeypatch, known):
+    """Grams that are not broadcast meet what they cost by a join; the result is that of all counts."""
+    monkeypatch.setattr(ppm, "KNOWN", known)
+    monkeypatch.setattr(ppm, "CHUNK", 2000)
+    monkeypatch.setattr(ppm, "STEP", 700)
+    rows = lm_rows()
+    training = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id or -1, x.score) for x in ppm.scores(df).collect())
+    want = sorted((i or -1, s) for (i, _), s in zip(rows, plain_ppm(training, [t for _, t in rows], 1 << 40)))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-4, abs=1e-3)
+
+
+def test_lm_learns_what_a_large_corpus_holds_once(spark):
+    """Before, entries with less than 1/2^21 of the training bytes were left out, so a passage that training holds scored as one that it does not."""
+    r = random.Random(2)
+    passage, other = ("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(300)) for _ in range(2))
+    rows = [(1, "a plain text of the same words " * 160_000), (2, passage), (3, passage), (4, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trains = df["doc_id"] <= 2
+    got = {x.doc_id: x.score for x in ppm.scores(df, ~trains, trains).collect()}
+    assert got[3] == got[2] > 0.5 * got[4]
